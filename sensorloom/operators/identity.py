@@ -6,23 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.operators.scan import lookup_join
-from sensorloom.schemas import ARRIVAL
+from sensorloom.runtime import materialize
+from sensorloom.schemas import ARRIVAL, SOURCE_KEY
 
 
 def not_rejected() -> Column:
     return F.col("outcome") != "REJECTED"
 
 
-def first_arrivals(accepted: DataFrame, order: list[str] = ARRIVAL) -> DataFrame:
+def first_arrivals(accepted: DataFrame, order: list[str] = ARRIVAL, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per observation id with the order of its first arrival and its copies.
 
     The minimum is combined before the shuffle, so a much re-delivered id costs one
-    row per task.
+    row per task. ``carry`` keeps more columns of the first arrival.
     """
+    kept = [*order, *[c for c in carry if c not in order]]
     return (
         accepted.groupBy("observation_id")
-        .agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("copies"))
-        .select("observation_id", "copies", *[F.col(f"_first.{c}").alias(c) for c in order])
+        .agg(F.min(F.struct(*kept)).alias("_first"), F.count(F.lit(1)).alias("copies"))
+        .select("observation_id", "copies", *[F.col(f"_first.{c}").alias(c) for c in kept])
     )
 
 
@@ -36,20 +38,46 @@ def mark_known(accepted: DataFrame, canonical: DataFrame) -> DataFrame:
     )
 
 
-def drop_known(firsts: DataFrame, canonical: DataFrame) -> DataFrame:
-    return firsts.join(canonical.select("observation_id"), "observation_id", "left_anti")
+def drop_known(firsts: DataFrame, canonical: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """Drop ids that are stored already. ``firsts`` holds one row per id.
+
+    An id contains its source key and sequence, so one beyond the highest stored
+    sequence of its key is new for certain. With ``positions`` only the other ids are
+    looked up, in the part of the history that their sequences span; usually there
+    are none and the history is not read at all.
+    """
+    if positions is None:
+        return firsts.join(canonical.select("observation_id"), "observation_id", "left_anti")
+    firsts = materialize(firsts, "firsts")
+    arrivals = firsts.groupBy(*SOURCE_KEY).agg(F.count(F.lit(1)).alias("_arrivals"))
+    reached = arrivals.join(positions.select(*SOURCE_KEY, "max_sequence"), SOURCE_KEY)
+    placed = lookup_join(firsts, reached, SOURCE_KEY, ["max_sequence"], "_arrivals", ["observation_id"])
+    doubtful = materialize(
+        placed.where("source_sequence <= max_sequence").select("observation_id", "source_sequence"), "doubtful"
+    )
+    span = doubtful.agg(F.min("source_sequence").alias("low"), F.max("source_sequence").alias("high")).first()
+    if span["low"] is None:
+        return firsts
+    history = canonical.where(F.col("source_sequence").between(span["low"], span["high"])).select("observation_id")
+    stored = history.join(doubtful.select("observation_id"), "observation_id", "left_semi")
+    return firsts.join(stored, "observation_id", "left_anti")
 
 
 def mark_canonical(
-    accepted: DataFrame, canonical_prior: DataFrame | None = None, order: list[str] = ARRIVAL
+    accepted: DataFrame,
+    canonical_prior: DataFrame | None = None,
+    order: list[str] = ARRIVAL,
+    positions_prior: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``is_canonical``: first non-rejected arrival of an id that is not stored yet.
 
     Joining on the id and the arrival order spreads the copies of one id over all tasks.
     """
-    firsts = first_arrivals(accepted, order)
-    if canonical_prior is not None:
-        firsts = drop_known(firsts, canonical_prior)
+    if canonical_prior is None:
+        firsts = first_arrivals(accepted, order)
+    else:
+        carried = first_arrivals(accepted, order, (*SOURCE_KEY, "source_sequence"))
+        firsts = drop_known(carried, canonical_prior, positions_prior)
     keys = ["observation_id", *order]
     return (
         accepted.join(firsts.select(*keys, F.lit(True).alias("_won")), keys, "left")

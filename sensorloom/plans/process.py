@@ -35,7 +35,7 @@ def decide(
     """
     if positions_prior is None and canonical_prior is not None:
         positions_prior = source_positions(canonical_prior)
-    accepted = mark_canonical(evaluated.where(not_rejected()), canonical_prior)
+    accepted = mark_canonical(evaluated.where(not_rejected()), canonical_prior, positions_prior=positions_prior)
     ordered = flag_out_of_order(accepted, positions_prior).withColumn(
         "outcome", F.when(F.col("is_canonical"), F.col("outcome")).otherwise(F.lit("DUPLICATE"))
     )

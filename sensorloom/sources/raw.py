@@ -147,11 +147,11 @@ def write_raw_batches(batches: DataFrame, root: str, known: DataFrame | None = N
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-    fresh = batches
+    # Receipts are reduced to one row per batch id before anything is joined on it.
+    first = batches.groupBy("batchId").agg(F.min("received_at").alias("received_at"))
     if known is not None:
-        fresh = fresh.join(known.select(F.col("batch_id").alias("batchId")), "batchId", "left_anti")
-    first = fresh.groupBy("batchId").agg(F.min("received_at").alias("received_at"))
-    fresh = fresh.join(first, ["batchId", "received_at"], "left_semi").dropDuplicates(["batchId"])
+        first = first.join(known.select(F.col("batch_id").alias("batchId")), "batchId", "left_anti")
+    fresh = batches.join(first, ["batchId", "received_at"], "left_semi").dropDuplicates(["batchId"])
     laid_out = fresh.select(
         *[f.name for f in schemas.RAW_BATCH.fields],
         F.col("facilityId").alias("facility"),
