@@ -831,12 +831,12 @@ def telemetry_query(spark, d):
 @register(
     "telemetry_page",
     sql(f"""SELECT {_SAMPLE} FROM canonical, bounds WHERE observed_at >= day0 + INTERVAL 5 DAY AND observed_at < day0 + INTERVAL 6 DAY
-    ORDER BY observed_at, observation_id LIMIT 25 OFFSET 25"""),
+    ORDER BY observed_at, observation_id LIMIT 10 OFFSET 10"""),
 )
 def telemetry_page(spark, d):
     day = fx.bounds(spark, d)["first"].replace(hour=0, minute=0, second=0, microsecond=0) + timedelta(days=5)
     page = lambda cursor: query.telemetry_page(
-        _canonical(spark, d), "facility-alpha", day, day + timedelta(days=1), page_size=25, cursor=cursor
+        _canonical(spark, d), "facility-alpha", day, day + timedelta(days=1), page_size=10, cursor=cursor
     )
     _, following = page(None)
     second, _ = page(following)

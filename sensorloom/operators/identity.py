@@ -38,8 +38,8 @@ def mark_known(accepted: DataFrame, canonical: DataFrame) -> DataFrame:
     )
 
 
-def drop_known(firsts: DataFrame, canonical: DataFrame, positions: DataFrame | None = None) -> DataFrame:
-    """Drop ids that are stored already. ``firsts`` holds one row per id.
+def known_ids(firsts: DataFrame, canonical: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """The ids of ``firsts`` (one row per id) that are stored already.
 
     An id contains its source key and sequence, so one beyond the highest stored
     sequence of its key is new for certain. With ``positions`` only the other ids are
@@ -47,8 +47,7 @@ def drop_known(firsts: DataFrame, canonical: DataFrame, positions: DataFrame | N
     are none and the history is not read at all.
     """
     if positions is None:
-        return firsts.join(canonical.select("observation_id"), "observation_id", "left_anti")
-    firsts = materialize(firsts, "firsts")
+        return firsts.select("observation_id").join(canonical.select("observation_id"), "observation_id", "left_semi")
     arrivals = firsts.groupBy(*SOURCE_KEY).agg(F.count(F.lit(1)).alias("_arrivals"))
     reached = arrivals.join(positions.select(*SOURCE_KEY, "max_sequence"), SOURCE_KEY)
     placed = lookup_join(firsts, reached, SOURCE_KEY, ["max_sequence"], "_arrivals", ["observation_id"])
@@ -57,10 +56,9 @@ def drop_known(firsts: DataFrame, canonical: DataFrame, positions: DataFrame | N
     )
     span = doubtful.agg(F.min("source_sequence").alias("low"), F.max("source_sequence").alias("high")).first()
     if span["low"] is None:
-        return firsts
+        return doubtful.select("observation_id")
     history = canonical.where(F.col("source_sequence").between(span["low"], span["high"])).select("observation_id")
-    stored = history.join(doubtful.select("observation_id"), "observation_id", "left_semi")
-    return firsts.join(stored, "observation_id", "left_anti")
+    return history.join(doubtful.select("observation_id"), "observation_id", "left_semi")
 
 
 def mark_canonical(
@@ -71,19 +69,25 @@ def mark_canonical(
 ) -> DataFrame:
     """Add ``is_canonical``: first non-rejected arrival of an id that is not stored yet.
 
-    Joining on the id and the arrival order spreads the copies of one id over all tasks.
+    Only contested ids, which arrived more than once or are stored, are joined back.
+    While those are few the join is a broadcast and the rows are not shuffled.
     """
     if canonical_prior is None:
-        firsts = first_arrivals(accepted, order)
+        firsts = first_arrivals(accepted, order).withColumn("_known", F.lit(False))
     else:
         carried = first_arrivals(accepted, order, (*SOURCE_KEY, "source_sequence"))
-        firsts = drop_known(carried, canonical_prior, positions_prior)
-    keys = ["observation_id", *order]
-    return (
-        accepted.join(firsts.select(*keys, F.lit(True).alias("_won")), keys, "left")
-        .withColumn("is_canonical", F.coalesce("_won", F.lit(False)))
-        .drop("_won")
+        carried = materialize(carried, "firsts")
+        stored = known_ids(carried, canonical_prior, positions_prior).withColumn("_stored", F.lit(True))
+        firsts = carried.join(stored, "observation_id", "left").withColumn(
+            "_known", F.coalesce("_stored", F.lit(False))
+        )
+    contested = firsts.where((F.col("copies") > 1) | F.col("_known")).select(
+        "observation_id", "copies", "_known", F.struct(*order).alias("_first")
     )
+    joined = lookup_join(accepted, contested, ["observation_id"], ["_known", "_first"], "copies", order)
+    uncontested = F.col("_known").isNull()
+    wins = ~F.col("_known") & F.struct(*order).eqNullSafe(F.col("_first"))
+    return joined.withColumn("is_canonical", F.coalesce(uncontested | wins, F.lit(False))).drop("_known", "_first")
 
 
 def dedup_first(
