@@ -13,6 +13,7 @@ from checks.fixtures import plain, sql
 from sensorloom.functions.identity import checksum, content_digest
 from sensorloom.operators import aggregate, documents, evaluate, fleet, identity, order, query, validate, work
 from sensorloom.operators.aggregate import COUNTS
+from sensorloom.plans.accept import accept_batches
 from sensorloom.plans.process import process_batches
 from sensorloom.plans.replay import replay
 from sensorloom.runtime import configure, materialize, scratch_path
@@ -968,6 +969,39 @@ def process_twice(spark, d):
     return again.outcomes.select("batch_id", "item_order", "outcome")
 
 
+@register(
+    "accept_batches",
+    sql(""", delivered AS (
+      SELECT batch_id, batch_no, checksum, received_at, observation_count, 0 AS k FROM manifest
+      UNION ALL SELECT batch_id, batch_no, checksum, received_at + INTERVAL 1 SECOND, observation_count, 1 FROM manifest WHERE batch_no % 7 = 0
+      UNION ALL SELECT batch_id, batch_no, 'sha256:other', received_at + INTERVAL 2 SECOND, observation_count, 2 FROM manifest WHERE batch_no % 11 = 0),
+    valid AS (SELECT *, batch_no % 21 = 0 AND k = 0 AS refused FROM delivered)
+    SELECT batch_id, k::BIGINT AS k, CASE WHEN refused THEN 'UNSUPPORTED_CONTRACT_VERSION' WHEN n = 1 THEN 'ACCEPTED'
+      WHEN checksum = first_sum THEN 'ALREADY_ACCEPTED' ELSE 'BATCH_CHECKSUM_CONFLICT' END AS receipt,
+      CASE WHEN NOT refused AND n = 1 THEN observation_count END AS manifest_count
+    FROM (SELECT *, row_number() OVER w AS n, first_value(checksum) OVER w AS first_sum FROM valid
+      WINDOW w AS (PARTITION BY batch_id, refused ORDER BY k))"""),
+)
+def accept_batches_(spark, d):
+    keys = fx.manifest(spark, d).select(F.col("batch_id").alias("batchId"), "object_key", "checksum")
+    base = fx.raw_documents(spark, d).join(keys, "batchId").withColumn("n", F.substring("batchId", 25, 12).cast("long"))
+    delivered = base.withColumn("k", F.lit(0))
+    for k, by, content in ((1, 7, F.col("checksum")), (2, 11, F.lit("sha256:other"))):
+        again = base.where(F.col("n") % by == 0).withColumn("checksum", content).withColumn("k", F.lit(k))
+        delivered = delivered.unionByName(
+            again.withColumn("received_at", F.timestamp_micros(F.unix_micros("received_at") + k * 1_000_000))
+        )
+    refused = (F.col("n") % 21 == 0) & (F.col("k") == 0)
+    delivered = delivered.withColumn(
+        "contractVersion", F.when(refused, F.lit("raw-observation.batch.v2")).otherwise(F.col("contractVersion"))
+    ).withColumn("delivery_id", F.concat_ws("/", "batchId", "k")).drop("n")
+    done = accept_batches(delivered)
+    counts = done.manifests.select("batch_id", F.lit("ACCEPTED").alias("receipt"), F.col("observation_count").alias("manifest_count"))
+    return done.receipts.join(counts, ["batch_id", "receipt"], "left").select(
+        "batch_id", F.element_at(F.split("delivery_id", "/"), -1).cast("long").alias("k"), "receipt", "manifest_count"
+    )
+
+
 _REPLAY_SQL = """
 replayed AS (
   SELECT d.* REPLACE (last_ts + INTERVAL 2 DAY AS processed_at)

@@ -7,7 +7,7 @@ whole-stage-codegen span: no shuffle, no join and a single read of the raw data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.identity import observation_id
@@ -15,7 +15,7 @@ from sensorloom.functions.text import is_blank
 from sensorloom.functions.timing import floor_seconds
 from sensorloom.operators.scan import lookup_join
 from sensorloom.operators.validate import field_limit_failure
-from sensorloom.rules import MappingRules, QualityRules, mapping_table
+from sensorloom.rules import MappingRules, QualityRules
 
 MAX_INLINE_RULES = 64
 
@@ -95,24 +95,8 @@ def _map_inline(obs: DataFrame, mapping: MappingRules) -> DataFrame:
 
 def _map_distinct(obs: DataFrame, mapping: MappingRules, spread: list[str]) -> DataFrame:
     tags = obs.groupBy("source_tag").agg(F.count(F.lit(1)).alias("copies"))
-    # The rule table is built from a driver-side list, so its size is bounded.
-    rules = F.broadcast(mapping_table(obs.sparkSession, mapping))
-    pattern = F.concat(F.lit(r"\A(?:"), F.col("tag_pattern"), F.lit(r")\z"))
-    hits = tags.join(rules, F.call_function("rlike", F.col("source_tag"), pattern))
-    zone = F.call_function("regexp_extract", F.col("source_tag"), pattern, F.col("zone_group"))
-    first = Window.partitionBy("source_tag").orderBy("rule_ordinal")
-    resolved = (
-        hits.withColumn("_rank", F.row_number().over(first))
-        .where("_rank = 1")
-        .withColumn("asset_id", F.replace(F.col("asset_id_template"), F.lit("${zone}"), zone))
-        .select(
-            "source_tag", "copies", "asset_id", "signal_id", F.col("expected_source_unit").alias("expected_unit"),
-            F.col("canonical_unit").alias("unit"),
-        )
-    )
-    return lookup_join(
-        obs, resolved, ["source_tag"], ["asset_id", "signal_id", "expected_unit", "unit"], "copies", spread
-    )
+    mapped = ["asset_id", "signal_id", "expected_unit", "unit"]
+    return lookup_join(obs, _map_inline(tags, mapping), ["source_tag"], mapped, "copies", spread)
 
 
 def map_tags(

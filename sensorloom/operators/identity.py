@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from sensorloom.operators.scan import lookup_join
 from sensorloom.runtime import materialize
 from sensorloom.schemas import ARRIVAL, SOURCE_KEY
 
+# Stored canonical rows, or a function that opens them only if they are needed.
+History = DataFrame | Callable[[], DataFrame]
+
 
 def not_rejected() -> Column:
     return F.col("outcome") != "REJECTED"
@@ -38,7 +43,7 @@ def mark_known(accepted: DataFrame, canonical: DataFrame) -> DataFrame:
     )
 
 
-def known_ids(firsts: DataFrame, canonical: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+def known_ids(firsts: DataFrame, canonical: History, positions: DataFrame | None = None) -> DataFrame:
     """The ids of ``firsts`` (one row per id) that are stored already.
 
     An id contains its source key and sequence, so one beyond the highest stored
@@ -47,6 +52,7 @@ def known_ids(firsts: DataFrame, canonical: DataFrame, positions: DataFrame | No
     are none and the history is not read at all.
     """
     if positions is None:
+        canonical = canonical() if callable(canonical) else canonical
         return firsts.select("observation_id").join(canonical.select("observation_id"), "observation_id", "left_semi")
     arrivals = firsts.groupBy(*SOURCE_KEY).agg(F.count(F.lit(1)).alias("_arrivals"))
     reached = arrivals.join(positions.select(*SOURCE_KEY, "max_sequence"), SOURCE_KEY)
@@ -57,13 +63,14 @@ def known_ids(firsts: DataFrame, canonical: DataFrame, positions: DataFrame | No
     span = doubtful.agg(F.min("source_sequence").alias("low"), F.max("source_sequence").alias("high")).first()
     if span["low"] is None:
         return doubtful.select("observation_id")
+    canonical = canonical() if callable(canonical) else canonical
     history = canonical.where(F.col("source_sequence").between(span["low"], span["high"])).select("observation_id")
     return history.join(doubtful.select("observation_id"), "observation_id", "left_semi")
 
 
 def mark_canonical(
     accepted: DataFrame,
-    canonical_prior: DataFrame | None = None,
+    canonical_prior: History | None = None,
     order: list[str] = ARRIVAL,
     positions_prior: DataFrame | None = None,
 ) -> DataFrame:

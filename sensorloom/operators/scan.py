@@ -84,7 +84,8 @@ def running(sliced: Sliced, columns: dict[str, Running], seeds: DataFrame | None
                 carries = carries.withColumn(f"_carry_{name}", r.combine(F.col(f"_carry_{name}"), F.col(r.seed)))
         carries = carries.select(*keys, SLICE, *[f"_carry_{n}" for n in columns])
     inside = Window.partitionBy(*keys, SLICE).orderBy(*sliced.order)
-    out = rows.join(carries, [*keys, SLICE], "left")
+    # The window needs this exchange of the rows anyway; hashing the few carries adds no sort.
+    out = rows.join(carries.hint("shuffle_hash"), [*keys, SLICE], "left")
     computed = {}
     for name, r in columns.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)

@@ -13,8 +13,7 @@ def _bad_item(o: Column) -> Column:
     return (
         bad_identifier(o["sourceSystem"])
         | bad_uuid(o["sourceEpoch"])
-        | o["sourceSequence"].isNull()
-        | (o["sourceSequence"] < 0)
+        | F.coalesce(o["sourceSequence"] < 0, F.lit(False))
         | bad_text(o["sourceTag"], 256)
         | bad_text(o["rawUnit"], 32)
         | o["observedAt"].isNull()

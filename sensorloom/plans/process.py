@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom import schemas
 from sensorloom.operators.aggregate import batch_outcome_counts
 from sensorloom.operators.evaluate import evaluate_observations, numeric_value
-from sensorloom.operators.identity import mark_canonical, not_rejected
+from sensorloom.operators.identity import History, mark_canonical, not_rejected
 from sensorloom.operators.order import flag_out_of_order, source_positions
 from sensorloom.rules import MappingRules, QualityRules
 from sensorloom.runtime import materialize
@@ -25,7 +25,7 @@ class Processed:
 
 
 def decide(
-    evaluated: DataFrame, canonical_prior: DataFrame | None = None, positions_prior: DataFrame | None = None
+    evaluated: DataFrame, canonical_prior: History | None = None, positions_prior: DataFrame | None = None
 ) -> DataFrame:
     """Final outcome of every evaluated observation.
 
@@ -34,6 +34,7 @@ def decide(
     Rejected rows bypass both shuffles.
     """
     if positions_prior is None and canonical_prior is not None:
+        canonical_prior = canonical_prior() if callable(canonical_prior) else canonical_prior
         positions_prior = source_positions(canonical_prior)
     accepted = mark_canonical(evaluated.where(not_rejected()), canonical_prior, positions_prior=positions_prior)
     ordered = flag_out_of_order(accepted, positions_prior).withColumn(
@@ -46,10 +47,17 @@ def decide(
 
 
 def with_clock(obs: DataFrame, manifests: DataFrame | None, processed_at: Column | None) -> DataFrame:
-    """Receipt time from the manifest and one processing instant per attempt."""
+    """Receipt time from the manifest and one processing instant per attempt.
+
+    An observation whose batch has no manifest fails the job instead of vanishing.
+    """
     if manifests is not None:
-        receipts = manifests.select("batch_id", *[c for c in ("received_at", "processing_attempt_count") if c in manifests.columns])
-        obs = obs.drop("received_at").join(receipts, "batch_id")
+        receipts = manifests.select(
+            "batch_id", *[c for c in ("received_at", "processing_attempt_count") if c in manifests.columns]
+        )
+        missing = F.raise_error(F.concat(F.lit("Batch manifest is missing: "), "batch_id"))
+        obs = obs.drop("received_at").join(receipts, "batch_id", "left")
+        obs = obs.withColumn("received_at", F.coalesce("received_at", missing.cast("timestamp")))
     if processed_at is not None:
         obs = obs.withColumn("processed_at", processed_at)
     return obs
@@ -60,7 +68,7 @@ def process_batches(
     mapping: MappingRules,
     quality: QualityRules,
     manifests: DataFrame | None = None,
-    canonical_prior: DataFrame | None = None,
+    canonical_prior: History | None = None,
     positions_prior: DataFrame | None = None,
     processed_at: Column | None = None,
     replay_id: str | None = None,

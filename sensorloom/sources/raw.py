@@ -42,7 +42,10 @@ def scan_batch_documents(spark: SparkSession, path: str, multiline: bool = True)
 
 
 def explode_observations(batches: DataFrame) -> DataFrame:
-    """One row per observation with its order in the batch; a batch without any gives one empty row."""
+    """One row per observation with its order in the batch; a batch without any gives one empty row.
+
+    A missing sequence counts as zero.
+    """
     kept = [c for c in ("received_at", "object_path") if c in batches.columns]
     exploded = batches.select(
         F.col("batchId").alias("batch_id"),
@@ -57,7 +60,7 @@ def explode_observations(batches: DataFrame) -> DataFrame:
         "batch_id", "collector_id", "collector_version", "facility_id", "created_at", *kept, "item_order",
         F.col("_o.sourceSystem").alias("source_system"),
         F.col("_o.sourceEpoch").alias("source_epoch"),
-        F.col("_o.sourceSequence").alias("source_sequence"),
+        F.when(F.col("_o").isNotNull(), F.coalesce("_o.sourceSequence", F.lit(0))).alias("source_sequence"),
         F.col("_o.sourceTag").alias("source_tag"),
         F.col("_o.observedAt").alias("observed_at"),
         F.col("_o.rawValue").alias("raw_value"),

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sensorloom.operators.identity import merge_rejections
 from sensorloom.operators.order import flag_out_of_order, merge_positions, source_positions
+from sensorloom.operators.validate import validate_batches
 from sensorloom.plans.process import process_batches
 from sensorloom.rules import MappingRules, QualityRules
 from sensorloom.runtime import materialize
@@ -36,6 +37,35 @@ def read_before(spark: SparkSession, path: str, micro_batch: int | None = None)
     return stored if micro_batch is None else stored.where(F.col(MICRO_BATCH) < micro_batch)
 
 
+def carried_positions(spark: SparkSession, out: str, micro_batch: int) -> DataFrame | None:
+    """Source positions after the previous micro-batch: one row per source key."""
+    try:
+        return spark.read.parquet(f"{out}/positions/{MICRO_BATCH}={micro_batch - 1}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    earlier = read_before(spark, f"{out}/positions", micro_batch)
+    return None if earlier is None else merge_positions(earlier.drop(MICRO_BATCH))
+
+
+def save_positions(canonical: DataFrame, carried: DataFrame | None, out: str, micro_batch: int) -> None:
+    reached = source_positions(canonical)
+    merged = reached if carried is None else merge_positions(carried, reached)
+    merged.write.mode("overwrite").parquet(f"{out}/positions/{MICRO_BATCH}={micro_batch}")
+
+
+def rejections_before(spark: SparkSession, out: str, micro_batch: int, attempts: DataFrame) -> DataFrame | None:
+    """Recorded rejections of the batches in ``attempts``; read only if one was attempted before."""
+    tried = read_before(spark, f"{out}/attempts", micro_batch)
+    if tried is None:
+        return None
+    again = materialize(tried.select("batch_id").join(attempts.select("batch_id"), "batch_id", "left_semi").distinct(), "again")
+    if again.isEmpty():
+        return None
+    recorded = read_before(spark, f"{out}/rejections", micro_batch)
+    return None if recorded is None else recorded.join(again, "batch_id", "left_semi")
+
+
 def raw_batch_stream(spark: SparkSession, root: str, multiline: bool = False, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(STORED_BATCH).options(**json_options(multiline))
     if files_per_trigger:
@@ -57,7 +87,7 @@ def stream_process(
 ) -> StreamingQuery:
     """Process new raw files under ``root`` into ``out``/canonical, rejections, outcomes, attempts, positions.
 
-    ``manifests`` is read anew for each micro-batch and gives the receipt times.
+    Batches with an invalid envelope go to ``out``/refused. ``manifests`` is read anew for each micro-batch and gives the receipt times.
     ``processed_at`` may use the columns of an observation. Files must arrive in
     receipt order between micro-batches; within one the arrival order is restored.
     """
@@ -65,22 +95,25 @@ def stream_process(
     def effect(batch: DataFrame, micro_batch: int) -> None:
         session = batch.sparkSession
         folder = lambda name: f"{out}/{name}/{MICRO_BATCH}={micro_batch}"
-        landed = materialize(explode_observations(batch), "landed")
-        canonical = read_before(session, f"{out}/canonical", micro_batch)
-        positions = read_before(session, f"{out}/positions", micro_batch)
+        checked = materialize(validate_batches(batch), "checked")
+        refused = checked.where(F.col("reason_code").isNotNull())
+        refused.select("batchId", "collectorId", "facilityId", "reason_code").write.mode("overwrite").parquet(folder("refused"))
+        sound = checked.where(F.col("reason_code").isNull())
+        carried = carried_positions(session, out, micro_batch)
+        history = lambda: read_before(session, f"{out}/canonical", micro_batch)
         done = process_batches(
-            landed,
+            explode_observations(sound),
             mapping,
             quality,
             manifests=manifests(),
-            canonical_prior=canonical,
-            positions_prior=None if positions is None else merge_positions(positions.drop(MICRO_BATCH)),
+            canonical_prior=None if carried is None else history,
+            positions_prior=carried,
             processed_at=processed_at,
         )
-        recorded = read_before(session, f"{out}/rejections", micro_batch)
+        recorded = rejections_before(session, out, micro_batch, done.attempts)
         write_canonical(done.canonical, folder("canonical"), mode="overwrite")
         write_rejections(merge_rejections(recorded, done.rejections), folder("rejections"), mode="overwrite")
-        source_positions(done.canonical).write.mode("overwrite").parquet(folder("positions"))
+        save_positions(done.canonical, carried, out, micro_batch)
         done.outcomes.write.mode("overwrite").parquet(folder("outcomes"))
         done.attempts.write.mode("overwrite").parquet(folder("attempts"))
 
@@ -103,14 +136,10 @@ def stream_order_state(
     """
 
     def effect(batch: DataFrame, micro_batch: int) -> None:
-        session = batch.sparkSession
-        positions = read_before(session, f"{out}/positions", micro_batch)
-        carried = None if positions is None else merge_positions(positions.drop(MICRO_BATCH))
+        carried = carried_positions(batch.sparkSession, out, micro_batch)
         flagged = flag_out_of_order(batch, carried, order)
         flagged.write.mode("overwrite").parquet(f"{out}/flagged/{MICRO_BATCH}={micro_batch}")
-        source_positions(batch.where("is_canonical")).write.mode("overwrite").parquet(
-            f"{out}/positions/{MICRO_BATCH}={micro_batch}"
-        )
+        save_positions(batch.where("is_canonical"), carried, out, micro_batch)
 
     return (
         accepted.writeStream.foreachBatch(effect)
