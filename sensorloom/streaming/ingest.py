@@ -18,7 +18,7 @@ from sensorloom.operators.order import flag_out_of_order, merge_positions, sourc
 from sensorloom.operators.validate import validate_batches
 from sensorloom.plans.process import process_batches
 from sensorloom.rules import MappingRules, QualityRules
-from sensorloom.runtime import materialize
+from sensorloom.runtime import materialize, scratch_scope
 from sensorloom.schemas import ARRIVAL
 from sensorloom.sources.canonical import write_canonical, write_rejections
 from sensorloom.sources.raw import STORED_BATCH, explode_observations, json_options
@@ -93,6 +93,10 @@ def stream_process(
     """
 
     def effect(batch: DataFrame, micro_batch: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            process(batch, micro_batch)
+
+    def process(batch: DataFrame, micro_batch: int) -> None:
         session = batch.sparkSession
         folder = lambda name: f"{out}/{name}/{MICRO_BATCH}={micro_batch}"
         checked = materialize(validate_batches(batch), "checked")
@@ -136,10 +140,11 @@ def stream_order_state(
     """
 
     def effect(batch: DataFrame, micro_batch: int) -> None:
-        carried = carried_positions(batch.sparkSession, out, micro_batch)
-        flagged = flag_out_of_order(batch, carried, order)
-        flagged.write.mode("overwrite").parquet(f"{out}/flagged/{MICRO_BATCH}={micro_batch}")
-        save_positions(batch.where("is_canonical"), carried, out, micro_batch)
+        with scratch_scope(batch.sparkSession):
+            carried = carried_positions(batch.sparkSession, out, micro_batch)
+            flagged = flag_out_of_order(batch, carried, order)
+            flagged.write.mode("overwrite").parquet(f"{out}/flagged/{MICRO_BATCH}={micro_batch}")
+            save_positions(batch.where("is_canonical"), carried, out, micro_batch)
 
     return (
         accepted.writeStream.foreachBatch(effect)

@@ -121,3 +121,16 @@ def test_replay_without_batches_is_completed(spark):
     request = ReplayRequest("r-2", "facility-alpha", T0 + timedelta(days=3), T0 + timedelta(days=4), V1.version, "none")
     done = replay(request, manifest, obs, live.canonical, F.lit(T0))
     assert (done.runs.first().status, done.runs.first().matching_batch_count) == ("COMPLETED", 0)
+
+
+def test_scratch_tables_are_dropped_with_their_scope(spark, tmp_path):
+    from pathlib import Path
+
+    from sensorloom.runtime import scratch_scope
+
+    with scratch_scope(spark) as folder:
+        done = process_batches(frame(spark, random_rows(5, 50)), V0, QUALITY)
+        done.canonical.write.parquet(str(tmp_path / "out"))
+        assert len(list(Path(folder).iterdir())) >= 3
+    assert not Path(folder).exists()
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
