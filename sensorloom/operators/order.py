@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators.scan import Running, Sliced, continue_scan, running, slice_rows
+from sensorloom.runtime import materialize
 from sensorloom.schemas import ARRIVAL, SOURCE_KEY
 
 
@@ -25,19 +26,20 @@ def merge_positions(*positions: DataFrame) -> DataFrame:
     )
 
 
-def flag_out_of_order(
-    accepted: DataFrame,
+def compare_with_earlier(
+    marked: DataFrame,
     positions_prior: DataFrame | None = None,
     order: list[str] = ARRIVAL,
     slices: int | None = None,
 ) -> DataFrame:
-    """Compare each non-rejected row with the maxima of earlier canonical rows of its source key.
+    """Arrival order, ``is_canonical`` and ``out_of_order`` of each non-rejected row.
 
-    Needs ``is_canonical``. Adds ``out_of_order``; canonical rows that are out of order
-    get the flag and become ``FLAGGED``. Duplicates are compared too but keep their
-    outcome.
+    A row is out of order when its sequence or event time is below the maximum of
+    earlier canonical rows of its source key. Only the columns this needs are
+    shuffled; needs ``is_canonical``.
     """
-    sliced = slice_rows(accepted, SOURCE_KEY, order, slices)
+    needed = dict.fromkeys([*SOURCE_KEY, *order, "source_sequence", "observed_at", "is_canonical"])
+    sliced = slice_rows(marked.select(*needed), SOURCE_KEY, order, slices)
     scanned = running(
         sliced,
         {
@@ -49,16 +51,32 @@ def flag_out_of_order(
         positions_prior,
     )
     behind = (F.col("source_sequence") < F.col("_seen_sequence")) | (F.col("observed_at") < F.col("_seen_at"))
+    return scanned.select(*order, "is_canonical", F.coalesce(behind, F.lit(False)).alias("out_of_order"))
+
+
+def raise_out_of_order(rows: DataFrame) -> DataFrame:
+    """Canonical rows that are out of order get the flag and become ``FLAGGED``."""
     raised = F.col("out_of_order") & F.col("is_canonical")
-    return (
-        scanned.withColumn("out_of_order", F.coalesce(behind, F.lit(False)))
-        .withColumn(
-            "flags",
-            F.when(raised, F.concat("flags", F.array(F.lit("OUT_OF_ORDER")))).otherwise(F.col("flags")),
-        )
-        .withColumn("outcome", F.when(raised, F.lit("FLAGGED")).otherwise(F.col("outcome")))
-        .drop("_seen_sequence", "_seen_at", "_slice")
-    )
+    return rows.withColumn(
+        "flags", F.when(raised, F.concat("flags", F.array(F.lit("OUT_OF_ORDER")))).otherwise(F.col("flags"))
+    ).withColumn("outcome", F.when(raised, F.lit("FLAGGED")).otherwise(F.col("outcome")))
+
+
+def flag_out_of_order(
+    accepted: DataFrame,
+    positions_prior: DataFrame | None = None,
+    order: list[str] = ARRIVAL,
+    slices: int | None = None,
+) -> DataFrame:
+    """Add ``out_of_order`` to each non-rejected row and flag the canonical ones.
+
+    Duplicates are compared too but keep their outcome. Only out-of-order rows are
+    joined back; ``order`` must be total.
+    """
+    compared = compare_with_earlier(accepted, positions_prior, order, slices)
+    behind = materialize(compared.where("out_of_order").select(*order, "out_of_order"), "behind")
+    joined = accepted.join(behind, order, "left").withColumn("out_of_order", F.coalesce("out_of_order", F.lit(False)))
+    return raise_out_of_order(joined).select(*accepted.columns, "out_of_order")
 
 
 def hysteresis(

@@ -11,9 +11,10 @@ from sensorloom import schemas
 from sensorloom.operators.aggregate import batch_outcome_counts
 from sensorloom.operators.evaluate import evaluate_observations, numeric_value
 from sensorloom.operators.identity import History, mark_canonical, not_rejected
-from sensorloom.operators.order import flag_out_of_order, source_positions
+from sensorloom.operators.order import compare_with_earlier, raise_out_of_order, source_positions
 from sensorloom.rules import MappingRules, QualityRules
 from sensorloom.runtime import materialize
+from sensorloom.schemas import ARRIVAL, SOURCE_KEY
 
 
 @dataclass(frozen=True)
@@ -27,23 +28,35 @@ class Processed:
 def decide(
     evaluated: DataFrame, canonical_prior: History | None = None, positions_prior: DataFrame | None = None
 ) -> DataFrame:
-    """Final outcome of every evaluated observation.
+    """Final outcome of every evaluated observation; ``evaluated`` should be a stored table.
 
     Canonical rows are settled first (first non-rejected arrival of a new id), then
-    compared in arrival order with earlier canonical rows of their source key.
-    Rejected rows bypass both shuffles.
+    compared in arrival order with earlier canonical rows of their source key. Both
+    steps move only a few columns of the non-rejected rows. Their result is the list of
+    exceptions, duplicates and out-of-order rows, which is joined back: a broadcast
+    while it is small, one balanced shuffle otherwise.
     """
     if positions_prior is None and canonical_prior is not None:
         canonical_prior = canonical_prior() if callable(canonical_prior) else canonical_prior
         positions_prior = source_positions(canonical_prior)
-    accepted = mark_canonical(evaluated.where(not_rejected()), canonical_prior, positions_prior=positions_prior)
-    ordered = flag_out_of_order(accepted, positions_prior).withColumn(
-        "outcome", F.when(F.col("is_canonical"), F.col("outcome")).otherwise(F.lit("DUPLICATE"))
+    slim = evaluated.where(not_rejected()).select(
+        "observation_id", *dict.fromkeys([*SOURCE_KEY, *ARRIVAL, "source_sequence", "observed_at"])
     )
-    rejected = evaluated.where(~not_rejected()).select(
-        "*", F.lit(False).alias("is_canonical"), F.lit(False).alias("out_of_order")
+    marked = mark_canonical(slim, canonical_prior, positions_prior=positions_prior)
+    compared = compare_with_earlier(marked, positions_prior)
+    exceptions = materialize(compared.where("out_of_order or not is_canonical"), "exceptions")
+    joined = evaluated.join(exceptions, ARRIVAL, "left").withColumns(
+        {
+            "is_canonical": F.coalesce("is_canonical", not_rejected()),
+            "out_of_order": F.coalesce("out_of_order", F.lit(False)),
+        }
+    )
+    duplicate = not_rejected() & ~F.col("is_canonical")
+    return (
+        raise_out_of_order(joined)
+        .withColumn("outcome", F.when(duplicate, F.lit("DUPLICATE")).otherwise(F.col("outcome")))
+        .select(*evaluated.columns, "is_canonical", "out_of_order")
     )
-    return ordered.unionByName(rejected)
 
 
 def with_clock(obs: DataFrame, manifests: DataFrame | None, processed_at: Column | None) -> DataFrame:
@@ -73,7 +86,7 @@ def process_batches(
     processed_at: Column | None = None,
     replay_id: str | None = None,
 ) -> Processed:
-    """One evaluation and one decision of ``obs``, each written once, read by four outputs.
+    """One evaluation of ``obs``, written once, and its exceptions, read by four outputs.
 
     ``canonical_prior`` is the stored history (for known ids); ``positions_prior`` its
     compact per-source maxima, derived from it when not given. Running the same input
@@ -87,12 +100,12 @@ def process_batches(
     )
     # Three branches read the evaluation: decode, join and match rules only once.
     evaluated = materialize(evaluated, "evaluated")
-    decided = materialize(decide(evaluated, canonical_prior, positions_prior), "decided")
+    decided = decide(evaluated, canonical_prior, positions_prior)
     attempt = F.sha2(
         F.concat_ws("|", "batch_id", F.coalesce("replay_id", F.lit("live")), F.unix_micros("processed_at").cast("string")), 256
     )
     return Processed(
-        canonical_of(decided), rejections_of(decided, attempt), decided, attempts_of(decided, attempt)
+        canonical_of(decided), rejections_of(evaluated, attempt), decided, attempts_of(decided, attempt)
     )
 
 
@@ -104,9 +117,9 @@ def canonical_of(decided: DataFrame) -> DataFrame:
     )
 
 
-def rejections_of(decided: DataFrame, attempt: Column) -> DataFrame:
+def rejections_of(evaluated: DataFrame, attempt: Column) -> DataFrame:
     """Created at the processing instant; equal for every rejection of an attempt."""
-    return decided.where(F.col("outcome") == "REJECTED").select(
+    return evaluated.where(F.col("outcome") == "REJECTED").select(
         "observation_id", "batch_id", "replay_id", "source_tag", "reason_code", "reason", "mapping_version",
         "quality_rules_version", attempt.alias("processing_attempt_id"), F.col("processed_at").alias("created_at"),
     )
