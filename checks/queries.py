@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.fixtures import plain, sql
 from sensorloom.functions.identity import checksum, content_digest
-from sensorloom.operators import aggregate, documents, evaluate, fleet, identity, order, query, validate, work
+from sensorloom.operators import aggregate, alerts, documents, evaluate, fleet, identity, order, query, validate, work
 from sensorloom.operators.aggregate import COUNTS
 from sensorloom.plans.accept import accept_batches
 from sensorloom.plans.process import process_batches
@@ -749,6 +749,42 @@ def rejection_ratio(spark, d):
     return aggregate.rejection_ratio(_outcomes(spark, d), "5 minutes")
 
 
+def _alert_sql(series: str, condition: str, name: str, severity: str, seconds: int, columns: str) -> str:
+    return sql(f""", series AS ({series}),
+    held AS (SELECT *, {condition} AS active, count(CASE WHEN NOT ({condition}) THEN 1 END) OVER (ORDER BY window_start
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM series),
+    dated AS (SELECT *, min(CASE WHEN active THEN window_start END) OVER (PARTITION BY island) AS since FROM held)
+    SELECT '{name}' AS alert, '{severity}' AS severity, {columns}, CASE WHEN active THEN since END AS active_since,
+      CASE WHEN NOT active THEN 'inactive' WHEN epoch_us(window_start) - epoch_us(since) >= {seconds}000000 THEN 'firing'
+        ELSE 'pending' END AS state FROM dated""")
+
+
+@register(
+    "rejection_spike_alert",
+    _alert_sql(
+        f"SELECT {_bucket('processed_at', 300)} AS window_start, count(CASE WHEN outcome = 'REJECTED' THEN 1 END) AS rejected, "
+        "count(*) AS observations FROM decided GROUP BY 1",
+        "rejected / observations > 0.05", "RejectionSpike", "warning", 300, "window_start, rejected, observations",
+    ),
+)
+def rejection_spike_alert(spark, d):
+    ratio = aggregate.rejection_ratio(_outcomes(spark, d), "5 minutes")
+    return alerts.evaluate_alert(ratio, "RejectionSpike").drop("ratio", "spike")
+
+
+@register(
+    "stage_failure_alert",
+    _alert_sql(
+        f"SELECT {_bucket('completed_at', 86400)} AS window_start, count(CASE WHEN status <> 'COMPLETED' THEN 1 END) AS failures "
+        "FROM attempt GROUP BY 1",
+        "failures > 3", "DatabaseWritesFailing", "critical", 60, "window_start, failures",
+    ),
+)
+def stage_failure_alert(spark, d):
+    stats = aggregate.stage_stats(fx.attempts(spark, d), "1 day").select("window_start", "failures")
+    return alerts.evaluate_alert(stats, "DatabaseWritesFailing")
+
+
 _B = aggregate.LAG_BOUNDS
 _LE = ", ".join(f"count(CASE WHEN lag_ms <= {b}000 THEN 1 END) AS le_{b}" for b in _B)
 _P99 = " ".join(
@@ -1021,6 +1057,16 @@ def replay_(spark, d):
     return _replayed(spark, d).result.outcomes.select(*_RESULT.split(", "))
 
 
+@register("replay_from_store", sql(f"SELECT {_RESULT} FROM decided2", extra=_REPLAY_SQL))
+def replay_from_store(spark, d):
+    """The same replay, reading only the selected batches of the raw store."""
+    root = _raw_store(spark, d)
+    read = lambda selected: raw.explode_observations(raw.scan_selected_batches(spark, root, selected, multiline=False))
+    at = F.lit(fx.bounds(spark, d)["last"] + timedelta(days=2))
+    done = replay(fx.replay_requests(spark, d)[0], fx.manifest(spark, d), read, _canonical(spark, d), at)
+    return done.result.outcomes.select(*_RESULT.split(", "))
+
+
 @register(
     "replay_run",
     sql(f"""SELECT r.replay_id, 'COMPLETED' AS status, (SELECT count(*) FROM {_OVERLAP} WHERE replay_id LIKE '%1') AS matching_batch_count,

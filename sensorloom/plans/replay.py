@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from sensorloom.operators.query import filter_interval
 from sensorloom.operators.work import replay_runs, select_replay_batches
 from sensorloom.plans.process import Processed, process_batches
 from sensorloom.rules import ReplayRequest, mapping_rules, quality_rules
+from sensorloom.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -24,25 +26,34 @@ class Replayed:
 def replay(
     request: ReplayRequest,
     manifests: DataFrame,
-    obs: DataFrame,
+    obs: DataFrame | Callable[[DataFrame], DataFrame],
     canonical_prior: DataFrame,
     processed_at: Column,
     positions_prior: DataFrame | None = None,
 ) -> Replayed:
     """Process the exact requested event interval again under the pinned versions.
 
-    Only new ids become canonical, so repeating a replay adds nothing. Manifests are
+    ``obs`` holds the stored observations, or is a function that reads those of the
+    selected batches only. Only new ids become canonical, so repeating a replay adds nothing. Manifests are
     never changed.
     """
     request.check()
-    selected = select_replay_batches(manifests, [request]).select("replay_id", "batch_id")
-    wanted = obs.join(selected.select("batch_id"), "batch_id", "left_semi")
+    selected = materialize(
+        select_replay_batches(manifests, [request])
+        .select("replay_id", "batch_id")
+        .join(manifests.select("batch_id", "facility_id", "collector_id", "received_at"), "batch_id"),
+        "replay-batches",
+    )
+    if callable(obs):
+        wanted = obs(selected)
+    else:
+        wanted = obs.join(selected.select("batch_id"), "batch_id", "left_semi")
     inside = filter_interval(wanted, request.from_time, request.to_time)
     result = process_batches(
         inside,
         mapping_rules(request.mapping_version),
         quality_rules(request.quality_rules_version),
-        manifests=None if "received_at" in obs.columns else manifests,
+        manifests=None if "received_at" in wanted.columns else selected,
         canonical_prior=canonical_prior,
         positions_prior=positions_prior,
         processed_at=processed_at,
@@ -55,7 +66,7 @@ def replay(
         *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS],
     )
     matching = batches.groupBy("replay_id").agg(F.count(F.lit(1)).alias("matching_batch_count"))
-    runs = replay_runs(obs.sparkSession, [request]).join(matching, "replay_id", "left").select(
+    runs = replay_runs(manifests.sparkSession, [request]).join(matching, "replay_id", "left").select(
         "*", *[F.lit(0).cast("long").alias(c) for c in ("processed_observation_count", *COUNTS)],
     )
     runs = runs.withColumn("matching_batch_count", F.coalesce("matching_batch_count", F.lit(0))).withColumn(

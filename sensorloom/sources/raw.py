@@ -36,6 +36,28 @@ def scan_raw_batches(spark: SparkSession, root: str, multiline: bool = True) ->
     )
 
 
+def scan_selected_batches(spark: SparkSession, root: str, selected: DataFrame, multiline: bool = True) -> DataFrame:
+    """Only the given batches (batch_id, facility_id, collector_id, received_at) of the store.
+
+    The receipt days bound the folders up front; the folder join then prunes to the
+    exact hours at run time, and the id join keeps the exact batches.
+    """
+    folders = selected.select(
+        F.col("facility_id").alias("facility"),
+        F.date_format("received_at", "yyyy-MM-dd").alias("date"),
+        F.date_format("received_at", "HH").alias("hour"),
+        F.col("collector_id").alias("collector"),
+    ).distinct()
+    days = folders.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+    within = F.col("date").between(days["first"], days["last"]) if days["first"] else F.lit(False)
+    return (
+        scan_raw_batches(spark, root, multiline)
+        .where(within)
+        .join(folders, schemas.RAW_PARTITIONS, "left_semi")
+        .join(selected.select(F.col("batch_id").alias("batchId")), "batchId", "left_semi")
+    )
+
+
 def scan_batch_documents(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Batches from a folder without the partition layout."""
     return spark.read.schema(schemas.RAW_BATCH).options(**json_options(multiline)).json(path)
