@@ -44,13 +44,17 @@ def replay_runs(spark, requests: list[ReplayRequest]) -> DataFrame:
     )
 
 
-def select_replay_batches(manifests: DataFrame, requests: list[ReplayRequest]) -> DataFrame:
-    """Batches whose event interval touches a request, per request in receipt order."""
+def overlapping_batches(manifests: DataFrame, requests: list[ReplayRequest]) -> DataFrame:
+    """Manifest rows whose event interval touches a request, with its ``replay_id``."""
     wanted = replay_runs(manifests.sparkSession, requests).select("replay_id", "facility_id", "from_time", "to_time")
     overlaps = (F.col("minimum_observed_at") < F.col("to_time")) & (F.col("maximum_observed_at") >= F.col("from_time"))
+    return manifests.join(F.broadcast(wanted), "facility_id").where(overlaps).drop("from_time", "to_time")
+
+
+def select_replay_batches(manifests: DataFrame, requests: list[ReplayRequest]) -> DataFrame:
+    """The batches to replay, per request in receipt order."""
     return (
-        manifests.join(F.broadcast(wanted), "facility_id")
-        .where(overlaps)
+        overlapping_batches(manifests, requests)
         .select("replay_id", "batch_id", "received_at")
         .orderBy("replay_id", "received_at", "batch_id")
     )

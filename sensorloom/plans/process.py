@@ -38,7 +38,7 @@ def decide(
     """
     if positions_prior is None and canonical_prior is not None:
         canonical_prior = canonical_prior() if callable(canonical_prior) else canonical_prior
-        positions_prior = source_positions(canonical_prior)
+        positions_prior = materialize(source_positions(canonical_prior), "positions")
     slim = evaluated.where(not_rejected()).select(
         "observation_id", *dict.fromkeys([*SOURCE_KEY, *ARRIVAL, "source_sequence", "observed_at"])
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators.aggregate import COUNTS, rollup_replays
 from sensorloom.operators.query import filter_interval
-from sensorloom.operators.work import replay_runs, select_replay_batches
+from sensorloom.operators.work import overlapping_batches, replay_runs
 from sensorloom.plans.process import Processed, process_batches
 from sensorloom.rules import ReplayRequest, mapping_rules, quality_rules
 from sensorloom.runtime import materialize
@@ -38,10 +38,9 @@ def replay(
     never changed.
     """
     request.check()
+    kept = ["batch_id", "facility_id", "collector_id", "received_at", "processing_attempt_count"]
     selected = materialize(
-        select_replay_batches(manifests, [request])
-        .select("replay_id", "batch_id")
-        .join(manifests.select("batch_id", "facility_id", "collector_id", "received_at"), "batch_id"),
+        overlapping_batches(manifests, [request]).select("replay_id", *[c for c in kept if c in manifests.columns]),
         "replay-batches",
     )
     if callable(obs):
