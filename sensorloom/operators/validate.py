@@ -25,11 +25,13 @@ def _has_bad_item() -> Column:
     return F.coalesce(F.exists("observations", _bad_item), F.lit(False))
 
 
-def _envelope_reason(maximum: int) -> Column:
+def _envelope_reason(batches: DataFrame, maximum: int) -> Column:
+    unreadable = F.col(schemas.CORRUPT).isNotNull() if schemas.CORRUPT in batches.columns else F.lit(False)
     size = F.coalesce(F.size("observations"), F.lit(0))
     invalid = F.lit("INVALID_ENVELOPE")
     return (
-        F.when(~F.col("contractVersion").eqNullSafe(schemas.RAW_BATCH_CONTRACT), F.lit("UNSUPPORTED_CONTRACT_VERSION"))
+        F.when(unreadable, invalid)
+        .when(~F.col("contractVersion").eqNullSafe(schemas.RAW_BATCH_CONTRACT), F.lit("UNSUPPORTED_CONTRACT_VERSION"))
         .when(bad_uuid(F.col("batchId")), invalid)
         .when(bad_identifier(F.col("collectorId")), invalid)
         .when(bad_text(F.col("collectorVersion"), 64), invalid)
@@ -40,8 +42,11 @@ def _envelope_reason(maximum: int) -> Column:
 
 
 def validate_batches(batches: DataFrame, maximum: int = schemas.MAX_OBSERVATIONS) -> DataFrame:
-    """Add ``reason_code`` of the first failing envelope check, null when valid."""
-    return batches.withColumn("reason_code", _envelope_reason(maximum))
+    """Add ``reason_code`` of the first failing envelope check, null when valid.
+
+    A document that did not parse, or holds a field of the wrong type, is invalid first.
+    """
+    return batches.withColumn("reason_code", _envelope_reason(batches, maximum))
 
 
 def validate_batch_items(batches: DataFrame) -> DataFrame:
@@ -51,7 +56,7 @@ def validate_batch_items(batches: DataFrame) -> DataFrame:
 
 def validate_contract(batches: DataFrame, maximum: int = schemas.MAX_OBSERVATIONS) -> DataFrame:
     """Envelope checks first, then the items."""
-    reason = F.coalesce(_envelope_reason(maximum), F.when(_has_bad_item(), F.lit("INVALID_ENVELOPE")))
+    reason = F.coalesce(_envelope_reason(batches, maximum), F.when(_has_bad_item(), F.lit("INVALID_ENVELOPE")))
     return batches.withColumn("reason_code", reason)
 
 

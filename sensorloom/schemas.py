@@ -38,6 +38,9 @@ RAW_BATCH = T.StructType(
     ]
 )
 
+# Holds the text of a document that does not parse into the contract.
+CORRUPT = "_corrupt_record"
+
 # Partition folders of the raw store, by receipt time in UTC.
 RAW_PARTITIONS = ["facility", "date", "hour", "collector"]
 

@@ -13,13 +13,17 @@ from sensorloom.functions.identity import checksum, content_digest
 _INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 # Folder names are read as text, so that "07" stays an hour and not a number.
-STORED_BATCH = T.StructType(
-    [*schemas.RAW_BATCH.fields, *[T.StructField(c, T.StringType()) for c in schemas.RAW_PARTITIONS]]
-)
+DOCUMENT = T.StructType([*schemas.RAW_BATCH.fields, T.StructField(schemas.CORRUPT, T.StringType())])
+STORED_BATCH = T.StructType([*DOCUMENT.fields, *[T.StructField(c, T.StringType()) for c in schemas.RAW_PARTITIONS]])
 
 
 def json_options(multiline: bool) -> dict[str, str]:
-    return {"multiLine": str(multiline).lower(), "allowNonNumericNumbers": "false"}
+    return {
+        "multiLine": str(multiline).lower(),
+        "allowNonNumericNumbers": "false",
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": schemas.CORRUPT,
+    }
 
 
 def scan_raw_batches(spark: SparkSession, root: str, multiline: bool = True) -> DataFrame:
@@ -60,7 +64,7 @@ def scan_selected_batches(spark: SparkSession, root: str, selected: DataFrame, m
 
 def scan_batch_documents(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Batches from a folder without the partition layout."""
-    return spark.read.schema(schemas.RAW_BATCH).options(**json_options(multiline)).json(path)
+    return spark.read.schema(DOCUMENT).options(**json_options(multiline)).json(path)
 
 
 def explode_observations(batches: DataFrame) -> DataFrame:

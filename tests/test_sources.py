@@ -81,6 +81,11 @@ def test_envelope_and_item_validation(spark, tmp_path):
         (document(observedAt=...), "INVALID_ENVELOPE"),
         (document(rawValue=...), "INVALID_ENVELOPE"),
         (document(sourceEpoch="nope"), "INVALID_ENVELOPE"),
+        (document(rawValue=None), None),
+        (document(sourceSequence=...), None),
+        (document(observedAt="yesterday", contractVersion="raw-observation.batch.v2"), "INVALID_ENVELOPE"),
+        ({"contractVersion": 5}, "UNSUPPORTED_CONTRACT_VERSION"),
+        ("no document", "INVALID_ENVELOPE"),
     ]
     root = store(tmp_path, [c for c, _ in cases])
     got = validate.validate_contract(raw.scan_raw_batches(spark, root)).orderBy("object_path").collect()
