@@ -675,6 +675,15 @@ def batch_outcome_counts(spark, d):
     return aggregate.batch_outcome_counts(_outcomes(spark, d)).drop("replay_id")
 
 
+@register(
+    "out_of_order_counts",
+    sql("""SELECT count(CASE WHEN out_of_order THEN 1 END) AS out_of_order_arrivals,
+      count(CASE WHEN is_canonical AND out_of_order THEN 1 END) AS out_of_order_samples FROM decided"""),
+)
+def out_of_order_counts(spark, d):
+    return aggregate.out_of_order_counts(_outcomes(spark, d))
+
+
 @register(
     "replay_rollup",
     sql(_REPLAY_BATCH + """ SELECT replay_id, CAST(4 * count(CASE WHEN status = 'COMPLETED' THEN 1 END) AS BIGINT) AS processed_observation_count,
@@ -739,6 +748,15 @@ def outcome_rates_sliding(spark, d):
     return aggregate.outcome_rates(_outcomes(spark, d), "30 minutes", slide="5 minutes")
 
 
+@register(
+    "out_of_order_rates",
+    sql(f"""SELECT {_bucket('processed_at', 1800)} AS window_start, out_of_order, count(*) AS observations,
+      count(*) / 1800.0::DOUBLE AS per_second FROM decided GROUP BY 1, 2"""),
+)
+def out_of_order_rates(spark, d):
+    return aggregate.outcome_rates(_outcomes(spark, d), "30 minutes", ("out_of_order",))
+
+
 @register(
     "rejection_ratio",
     sql(f"""SELECT window_start, rejected, observations, rejected / observations::DOUBLE AS ratio, rejected / observations::DOUBLE > 0.05 AS spike

@@ -47,6 +47,14 @@ def batch_outcome_counts(outcomes: DataFrame, by: tuple[str, ...] = ("batch_id",
     )
 
 
+def out_of_order_counts(outcomes: DataFrame) -> DataFrame:
+    """Rows found out of order, duplicates included, and the canonical ones that carry the flag."""
+    return outcomes.agg(
+        F.count_if("out_of_order").alias("out_of_order_arrivals"),
+        F.count_if(F.array_contains("flags", "OUT_OF_ORDER")).alias("out_of_order_samples"),
+    )
+
+
 def rollup_replays(runs: DataFrame, replay_batches: DataFrame) -> DataFrame:
     """Counters and status of each replay from its batches; a failed run stays as it is."""
     sums = replay_batches.groupBy("replay_id").agg(
