@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def utc(at: datetime) -> datetime:
+    """A datetime without zone is meant in UTC, whatever the driver's own zone is."""
+    return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+
+
 def _floor_div(value: Column, by: int) -> Column:
     return ((value - F.pmod(value, F.lit(by))) / F.lit(by)).cast("long")
 

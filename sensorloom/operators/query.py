@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.cursor import decode_cursor, encode_cursor
+from sensorloom.functions.timing import utc
 from sensorloom.rules import check_page_size, check_query_range
 from sensorloom.sources.canonical import PARTITION
 
@@ -20,9 +21,10 @@ def filter_interval(df: DataFrame, from_: datetime | None, to: datetime | None)
     """
     if from_ is None or to is None:
         return df
-    kept = df.where((F.col("observed_at") >= F.lit(from_)) & (F.col("observed_at") < F.lit(to)))
+    low, high = F.lit(utc(from_)), F.lit(utc(to))
+    kept = df.where((F.col("observed_at") >= low) & (F.col("observed_at") < high))
     if PARTITION in df.columns:
-        kept = kept.where(F.col(PARTITION).between(F.to_date(F.lit(from_)), F.to_date(F.lit(to))))
+        kept = kept.where(F.col(PARTITION).between(F.to_date(low), F.to_date(high)))
     return kept
 
 
@@ -76,7 +78,7 @@ def query_telemetry(
 
 
 def _after(observed_at: datetime, observation_id: str) -> Column:
-    at = F.lit(observed_at)
+    at = F.lit(utc(observed_at))
     return (F.col("observed_at") > at) | ((F.col("observed_at") == at) & (F.col("observation_id") > observation_id))
 
 

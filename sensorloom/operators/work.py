@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.functions.timing import utc
 from sensorloom.rules import ReplayRequest
 
 # Requests come from the caller's own list; this keeps their broadcast small.
@@ -35,8 +36,8 @@ def replay_runs(spark, requests: list[ReplayRequest]) -> DataFrame:
         raise ValueError(f"at most {MAX_REQUESTS} replay requests per job")
     return spark.createDataFrame(
         [
-            (r.replay_id, r.facility_id, r.from_time, r.to_time, r.mapping_version, r.quality_rules_version,
-             r.reason, r.requested_at)
+            (r.replay_id, r.facility_id, utc(r.from_time), utc(r.to_time), r.mapping_version,
+             r.quality_rules_version, r.reason, r.requested_at and utc(r.requested_at))
             for r in (r.check() for r in requests)
         ],
         "replay_id string, facility_id string, from_time timestamp, to_time timestamp, mapping_version string, "

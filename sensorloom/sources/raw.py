@@ -26,16 +26,20 @@ def json_options(multiline: bool) -> dict[str, str]:
     }
 
 
-def scan_raw_batches(spark: SparkSession, root: str, multiline: bool = True) -> DataFrame:
+def scan_raw_batches(
+    spark: SparkSession, root: str, multiline: bool = True, folders: str | None = None
+) -> DataFrame:
     """Stored batches with their partition columns and ``object_path``.
 
     ``multiline`` reads one JSON document per object; files of ``write_raw_batches``
-    hold one document per line. Filters on the partition columns prune folders.
+    hold one document per line. Filters on the partition columns prune folders;
+    ``folders``, a path pattern below ``root``, also keeps the others from being listed.
     """
     return (
         spark.read.schema(STORED_BATCH)
         .options(**json_options(multiline))
-        .json(root)
+        .option("basePath", root)
+        .json(f"{root}/{folders}" if folders else root)
         .withColumn("object_path", F.col("_metadata.file_path"))
     )
 
@@ -43,7 +47,7 @@ def scan_raw_batches(spark: SparkSession, root: str, multiline: bool = True) ->
 def scan_selected_batches(spark: SparkSession, root: str, selected: DataFrame, multiline: bool = True) -> DataFrame:
     """Only the given batches (batch_id, facility_id, collector_id, received_at) of the store.
 
-    The receipt days bound the folders up front; the folder join then prunes to the
+    Only folders of their receipt days are listed; the folder join then prunes to the
     exact hours at run time, and the id join keeps the exact batches.
     """
     folders = selected.select(
@@ -52,11 +56,13 @@ def scan_selected_batches(spark: SparkSession, root: str, selected: DataFrame, m
         F.date_format("received_at", "HH").alias("hour"),
         F.col("collector_id").alias("collector"),
     ).distinct()
-    days = folders.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
-    within = F.col("date").between(days["first"], days["last"]) if days["first"] else F.lit(False)
+    # One row per calendar day with receipts.
+    days = [r["date"] for r in folders.select("date").distinct().orderBy("date").collect()]
+    if not days:
+        return spark.createDataFrame([], T.StructType([*STORED_BATCH.fields, T.StructField("object_path", T.StringType())]))
+    pattern = "facility=*/date={" + ",".join(days) + "}"
     return (
-        scan_raw_batches(spark, root, multiline)
-        .where(within)
+        scan_raw_batches(spark, root, multiline, pattern)
         .join(folders, schemas.RAW_PARTITIONS, "left_semi")
         .join(selected.select(F.col("batch_id").alias("batchId")), "batchId", "left_semi")
     )
@@ -98,10 +104,14 @@ def explode_observations(batches: DataFrame) -> DataFrame:
 def assemble_batches(obs: DataFrame) -> DataFrame:
     """Nested contract batches from flat observations that already carry batch and item order.
 
-    A batch holds at most 500 observations by contract, which bounds each array.
+    A batch holds at most 500 observations by contract, which bounds each array; a
+    higher item order fails the job.
     """
+    too_many = F.raise_error(F.concat(F.lit("Batch holds too many observations: "), "batch_id"))
     item = F.struct(
-        "item_order",
+        F.when(F.col("item_order") < schemas.MAX_OBSERVATIONS, F.col("item_order"))
+        .otherwise(too_many.cast("long"))
+        .alias("item_order"),
         F.struct(
             F.col("source_system").alias("sourceSystem"),
             F.col("source_epoch").alias("sourceEpoch"),

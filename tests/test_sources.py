@@ -212,3 +212,21 @@ def test_rejections_are_stored_by_day(spark, tmp_path):
     stored = spark.read.parquet(path)
     assert stored.count() == done.rejections.count() > 0
     assert canonical.quarantine_report(stored).agg(F.sum("rejections")).first()[0] == stored.count()
+
+
+def test_selected_batches_touch_only_their_folders(spark, tmp_path):
+    ids = [f"00000000-0000-4000-8000-{i:012d}" for i in range(6)]
+    rows = [observation(batch_id=b, source_sequence=i, received_at=T0 + timedelta(hours=13 * i)) for i, b in enumerate(ids)]
+    root = str(tmp_path / "store")
+    raw.write_raw_batches(nested(spark, rows), root)
+    receipts = frame(spark, rows).select("batch_id", "facility_id", "collector_id", "received_at")
+    picked = receipts.where(F.col("batch_id").isin(ids[0], ids[3]))
+    found = raw.scan_selected_batches(spark, root, picked, multiline=False)
+    assert sorted(r.batchId for r in found.collect()) == [ids[0], ids[3]]
+    assert {p.split("date=")[1][:10] for p in found.inputFiles()} == {"2024-05-01", "2024-05-03"}
+    assert raw.scan_selected_batches(spark, root, receipts.limit(0), multiline=False).count() == 0
+
+
+def test_oversized_batches_are_not_assembled(spark):
+    with pytest.raises(Exception, match="too many observations"):
+        nested(spark, [observation(item_order=500)]).collect()
