@@ -163,9 +163,31 @@ def mapping_table(spark: SparkSession, mapping: MappingRules) -> DataFrame:
     )
 
 
-def signal_registry(spark: SparkSession) -> DataFrame:
+def quality_table(spark: SparkSession, quality: QualityRules) -> DataFrame:
     return spark.createDataFrame(
-        SIGNALS,
+        [
+            (quality.version, quality.future_flag_seconds, quality.future_reject_seconds, quality.late_flag_seconds,
+             quality.good_quality_code, signal, low, high)
+            for signal, (low, high) in sorted(quality.ranges.items())
+        ],
+        "quality_rules_version string, future_flag_seconds int, future_reject_seconds int, late_flag_seconds int, "
+        "good_quality_code int, signal_id string, minimum double, maximum double",
+    )
+
+
+def load_signals(path: str | Path) -> list[tuple]:
+    """Rows of a signal registry file, for ``signal_registry``."""
+    if yaml is None:
+        raise RuntimeError("reading rule files needs PyYAML")
+    return [
+        (s["signalId"], s["displayName"], s["unit"], s["valueType"], float(s["minimum"]), float(s["maximum"]))
+        for s in yaml.safe_load(Path(path).read_text())["signals"]
+    ]
+
+
+def signal_registry(spark: SparkSession, signals: list[tuple] = SIGNALS) -> DataFrame:
+    return spark.createDataFrame(
+        signals,
         "signal_id string, display_name string, unit string, value_type string, minimum double, maximum double",
     )
 

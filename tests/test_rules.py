@@ -77,7 +77,20 @@ def test_rule_files(tmp_path):
         rules.load_quality(tmp_path / "other.yaml")
 
 
+def test_registry_file(spark, tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "registry.yaml"
+    path.write_text(
+        "signals:\n  - signalId: s\n    displayName: Some signal\n    unit: u\n    valueType: double\n    minimum: 1\n    maximum: 2\n"
+    )
+    assert tuple(rules.signal_registry(spark, rules.load_signals(path)).first()) == ("s", "Some signal", "u", "double", 1.0, 2.0)
+
+
 def test_registry_and_mapping_tables(spark):
+    ranges = rules.quality_table(spark, rules.quality_rules("quality-rules-1.0.0"))
+    assert {(r.signal_id, r.minimum, r.maximum) for r in ranges.collect()} == {
+        (s[0], s[4], s[5]) for s in rules.SIGNALS
+    }
     assert rules.signal_registry(spark).count() == 3
     table = rules.mapping_table(spark, rules.mapping_rules("controller-a-mapping-1.1.0"))
     assert [r.rule_ordinal for r in table.orderBy("rule_ordinal").collect()] == [0, 1, 2, 3]
