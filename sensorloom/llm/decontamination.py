@@ -169,7 +169,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -
     Where rows share a doc_id, one contaminated row takes them all.
     """
     bad = contamination(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
 
 
 ORACLE_SQL = rf"""

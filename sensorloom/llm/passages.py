@@ -4,7 +4,8 @@ A paragraph (line) is cut at sentence ends, so that a passage keeps its pieces w
 pasted. Pieces whose sketches of word shingles collide in a band are candidates; bands of two
 minima are tuned for recall (0.998 at the threshold) and exact Jaccard similarity of the shingle
 sets decides. Linked pieces form components; a passage is a run of neighbouring pieces that occur
-elsewhere too, of at least ``MIN_WORDS`` words in all, and every occurrence but the first goes.
+elsewhere too, of at least ``MIN_WORDS`` words in all; one piece that does not, say for a changed
+word, may lie between two that do. Every occurrence of a piece but the first goes.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 6, 2
 MIN_WORDS = 40
+MOST_BRIDGED = 1
 LONGEST = 64
 BLOCK = 2048
 SEEN_PIECES, SEEN_WORDS = 300_000, 300_000
@@ -312,9 +314,10 @@ def repeated_pieces(docs: DataFrame, threshold: float = THRESHOLD, min_words: in
     )
     repeated = named.join(classes, "class")
     in_doc = Window.partitionBy("doc_id").orderBy("place")  # a document's pieces are bounded by its length
-    run = F.struct("doc_id", (F.col("place") - F.row_number().over(in_doc)).alias("run"))
+    apart = F.when(F.col("place") - F.lag("place").over(in_doc) <= 1 + MOST_BRIDGED, 0).otherwise(1)
     return (
-        repeated.distinct().select("doc_id", "place", "n", "first", run.alias("run"))
+        repeated.select("doc_id", "place", "n", "first").distinct().withColumn("apart", apart)
+        .withColumn("run", F.struct("doc_id", F.sum("apart").over(in_doc).alias("run")))
         .withColumn("run_words", F.sum("n").over(Window.partitionBy("run")))
         .where(F.col("run_words") >= min_words)
         .select("doc_id", "place", "n", F.col("run.run").alias("run"), F.col("first.doc_id").alias("component_id"),
@@ -343,9 +346,11 @@ def cut_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
     gone = repeated_pieces(docs, threshold, min_words, block).where("removed").groupBy("doc_id").agg(
         F.collect_set("place").alias("_gone")
     ).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left").select(*docs.columns, "_gone")
     names = list(docs.columns)
     at = names.index("text")
+    columns = [f"_{i}" for i in range(len(names))]  # by place: no clash of names
+    plain = docs.toDF(*columns)
+    joined = plain.join(gone, plain[f"_{names.index('doc_id')}"] == gone["_id"], "left").select(*columns, "_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

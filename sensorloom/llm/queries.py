@@ -72,7 +72,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is a file of its source's directory for its language."""
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return licenses.scan_licenses(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    return found.withColumn("doc_id", F.substring_index("path", "/", -1).cast("long"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

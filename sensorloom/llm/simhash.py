@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm.components import connected_components, forest
@@ -284,12 +284,12 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, group_limit: int = GR
     )
 
 
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs`` that represent their component: those whose doc_id is its component_id.
 
-    Rows that share that doc_id all stay; rows with a null doc_id stay only where no row of
-    their component has one.
+    Rows that share that doc_id all stay, and so do rows with a null doc_id, which no id could name.
     """
     groups = near_duplicates(docs, budget)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    own = F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    dropped = groups.where("doc_id is not null").groupBy("doc_id").agg(own.alias("own")).where("not own").select(F.col("doc_id").alias("_dropped_id"))
+    return docs.join(dropped, docs["doc_id"] == dropped["_dropped_id"], "left_anti")
