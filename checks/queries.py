@@ -709,7 +709,9 @@ def replay_rollup(spark, d):
       count(CASE WHEN status <> 'TERMINAL' THEN 1 END) AS processing_attempt_count,
       coalesce(arg_min(accepted_count, completed_at) FILTER (WHERE status = 'COMPLETED'), 0) AS accepted_count,
       coalesce(arg_min(duplicate_count, completed_at) FILTER (WHERE status = 'COMPLETED'), 0) AS duplicate_count,
-      nullif(arg_max(coalesce(last_error, ''), completed_at), '') AS last_error
+      nullif(CASE WHEN count(CASE WHEN status = 'COMPLETED' THEN 1 END) > 0
+        THEN arg_max(coalesce(last_error, ''), completed_at) FILTER (WHERE status <> 'TERMINAL')
+        ELSE arg_max(coalesce(last_error, ''), completed_at) END, '') AS last_error
     FROM manifest m LEFT JOIN attempt a ON a.batch_id = m.batch_id GROUP BY 1"""),
 )
 def batch_status(spark, d):
@@ -768,10 +770,14 @@ def rejection_ratio(spark, d):
 
 
 def _alert_sql(series: str, condition: str, name: str, severity: str, seconds: int, columns: str) -> str:
+    """A five-minute window that counted nothing has a ratio or number of zero, which ends the condition."""
     return sql(f""", series AS ({series}),
-    held AS (SELECT *, {condition} AS active, count(CASE WHEN NOT ({condition}) THEN 1 END) OVER (ORDER BY window_start
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM series),
-    dated AS (SELECT *, min(CASE WHEN active THEN window_start END) OVER (PARTITION BY island) AS since FROM held)
+    whole AS (SELECT make_timestamp(t) AS window_start, s.* EXCLUDE (window_start), s.window_start IS NOT NULL AS counted
+      FROM (SELECT unnest(range(min(epoch_us(window_start)), max(epoch_us(window_start)) + 1, 300000000)) AS t FROM series) LEFT JOIN series s
+      ON epoch_us(s.window_start) = t),
+    held AS (SELECT *, counted AND {condition} AS active, count(CASE WHEN NOT (counted AND {condition}) THEN 1 END) OVER (ORDER BY window_start
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM whole),
+    dated AS (SELECT * FROM (SELECT *, min(CASE WHEN active THEN window_start END) OVER (PARTITION BY island) AS since FROM held) WHERE counted)
     SELECT '{name}' AS alert, '{severity}' AS severity, {columns}, CASE WHEN active THEN since END AS active_since,
       CASE WHEN NOT active THEN 'inactive' WHEN epoch_us(window_start) - epoch_us(since) >= {seconds}000000 THEN 'firing'
         ELSE 'pending' END AS state FROM dated""")
@@ -793,13 +799,13 @@ def rejection_spike_alert(spark, d):
 @register(
     "stage_failure_alert",
     _alert_sql(
-        f"SELECT {_bucket('completed_at', 86400)} AS window_start, count(CASE WHEN status <> 'COMPLETED' THEN 1 END) AS failures "
+        f"SELECT {_bucket('completed_at', 300)} AS window_start, count(CASE WHEN status <> 'COMPLETED' THEN 1 END) AS failures "
         "FROM attempt GROUP BY 1",
         "failures > 3", "DatabaseWritesFailing", "critical", 60, "window_start, failures",
     ),
 )
 def stage_failure_alert(spark, d):
-    stats = aggregate.stage_stats(fx.attempts(spark, d), "1 day").select("window_start", "failures")
+    stats = aggregate.stage_stats(fx.attempts(spark, d), "5 minutes").select("window_start", "failures")
     return alerts.evaluate_alert(stats, "DatabaseWritesFailing")
 
 
@@ -1023,6 +1029,68 @@ def process_twice(spark, d):
     return again.outcomes.select("batch_id", "item_order", "outcome")
 
 
+_REPEATED = "repeated AS (SELECT * FROM delivery UNION ALL SELECT * FROM delivery WHERE batch_no % 40 = 7)"
+_REPEATED_SQL = f"{_REPEATED},{fx.decide_sql('3', '1.1.0', 'repeated')}"
+
+
+def _repeated(spark, d):
+    """All deliveries, some batches of them read twice in one run."""
+    once = fx.delivery(spark, d)
+    return once.unionByName(once.where(fx.batch_number() % 40 == 7))
+
+
+@register("process_repeated_batches", sql(f"SELECT {_RESULT} FROM decided3", extra=_REPEATED_SQL))
+def process_repeated_batches(spark, d):
+    return process_batches(_repeated(spark, d), fx.MAPPING_1, fx.QUALITY).outcomes.select(*_RESULT.split(", "))
+
+
+@register("dedup_repeated_batches", sql("SELECT observation_id, count(*) AS arrivals, count(CASE WHEN is_canonical THEN 1 END) AS canonical_rows "
+                                        "FROM decided3 WHERE reason_code IS NULL GROUP BY 1", extra=_REPEATED_SQL))
+def dedup_repeated_batches(spark, d):
+    evaluated = evaluate.evaluate_observations(_repeated(spark, d), fx.MAPPING_1, fx.QUALITY)
+    settled = identity.dedup_first(evaluated).where(identity.not_rejected())
+    return settled.groupBy("observation_id").agg(
+        F.count(F.lit(1)).alias("arrivals"), F.count_if("is_canonical").alias("canonical_rows")
+    )
+
+
+@register("process_rejections", sql("SELECT observation_id, batch_id, reason_code, reason FROM evaluated3 WHERE reason_code IS NOT NULL GROUP BY ALL", extra=_REPEATED_SQL))
+def process_rejections(spark, d):
+    """A rejection is recorded once, however often its batch was read."""
+    return process_batches(_repeated(spark, d), fx.MAPPING_1, fx.QUALITY).rejections.select(
+        "observation_id", "batch_id", "reason_code", "reason"
+    )
+
+
+_BROKEN = """CASE WHEN batch_no % 33 = 0 THEN 'Stored raw batch violates the worker envelope limits'
+  WHEN batch_no % 35 = 1 THEN 'Batch manifest is missing: ' || batch_id
+  WHEN batch_no % 37 = 2 THEN 'Stored raw batch holds an observation without event time' END"""
+
+
+@register(
+    "process_failures",
+    sql(f"""SELECT batch_id, 'FAILED' AS status, any_value(error) AS last_error, 0::BIGINT AS total_count
+      FROM (SELECT *, {_BROKEN} AS error FROM delivery) WHERE error IS NOT NULL GROUP BY 1
+    UNION ALL SELECT batch_id, 'COMPLETED', NULL, count(*) FROM decided4 GROUP BY 1""",
+        extra=f"sound AS (SELECT * FROM delivery WHERE {_BROKEN} IS NULL),{fx.decide_sql('4', '1.1.0', 'sound')}"),
+)
+def process_failures(spark, d):
+    """Unreadable documents, missing manifests and missing event times fail their batch only."""
+    n = fx.batch_number()
+    rows = fx.delivery(spark, d)
+    unreadable = n % 33 == 0
+    damaged = rows.where(~unreadable | (F.col("item_order") == 0)).withColumns(
+        {
+            "item_order": F.when(~unreadable, F.col("item_order")),
+            "source_sequence": F.when(~unreadable, F.col("source_sequence")),
+            "observed_at": F.when(~(unreadable | (n % 35 != 1) & (n % 37 == 2) & (F.col("item_order") == 0)), F.col("observed_at")),
+        }
+    )
+    manifests = fx.manifest(spark, d).where((fx.batch_number() % 35 != 1) | (fx.batch_number() % 33 == 0)).select("batch_id", "received_at")
+    done = process_batches(damaged, fx.MAPPING_1, fx.QUALITY, manifests=manifests)
+    return done.attempts.select("batch_id", "status", "last_error", "total_count")
+
+
 @register(
     "accept_batches",
     sql(""", delivered AS (
@@ -1096,6 +1164,36 @@ def replay_run(spark, d):
     )
 
 
+_REPLAY_STATES = f"""SELECT o.batch_id, CASE WHEN n.batch_no % 11 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+      CASE WHEN n.batch_no % 11 = 0 THEN 'Stored raw object is missing' END AS last_error,
+      CASE WHEN n.batch_no % 11 = 0 THEN 0 ELSE coalesce(c.total, 0) END AS total_count, n.batch_no % 4 + 1 AS attempt_number
+    FROM (SELECT * FROM {_OVERLAP} WHERE replay_id LIKE '%1') o JOIN manifest n ON n.batch_id = o.batch_id
+    LEFT JOIN (SELECT batch_id, count(*) AS total FROM replayed GROUP BY 1) c ON c.batch_id = o.batch_id"""
+
+
+def _replayed_with_gaps(spark, d):
+    """One day again, with some objects missing in the store and batches that were attempted before."""
+    at = F.lit(fx.bounds(spark, d)["last"] + timedelta(days=2))
+    manifests = fx.manifest(spark, d).withColumn("processing_attempt_count", fx.batch_number() % 4)
+    stored = fx.delivery(spark, d).where(fx.batch_number() % 11 != 0)
+    return replay(fx.replay_requests(spark, d)[0], manifests, stored, _canonical(spark, d), at)
+
+
+@register("replay_attempts", sql(_REPLAY_STATES, extra=_REPLAY_SQL))
+def replay_attempts(spark, d):
+    return _replayed_with_gaps(spark, d).result.attempts.select("batch_id", "status", "last_error", "total_count", "attempt_number")
+
+
+@register(
+    "replay_missing_object",
+    sql(f"""SELECT r.replay_id, CASE WHEN count_if(s.status = 'FAILED') > 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+      count(s.batch_id) AS matching_batch_count, coalesce(sum(s.total_count), 0)::BIGINT AS processed_observation_count
+    FROM request r LEFT JOIN ({_REPLAY_STATES}) s ON true WHERE r.replay_id LIKE '%1' GROUP BY 1""", extra=_REPLAY_SQL),
+)
+def replay_missing_object(spark, d):
+    return _replayed_with_gaps(spark, d).runs.select("replay_id", "status", "matching_batch_count", "processed_observation_count")
+
+
 def _replayed(spark, d):
     at = F.lit(fx.bounds(spark, d)["last"] + timedelta(days=2))
     return replay(fx.replay_requests(spark, d)[0], fx.manifest(spark, d), fx.delivery(spark, d), _canonical(spark, d), at)
@@ -1142,9 +1240,8 @@ def stream_outcome_rates(spark, d):
     outcomes = _outcomes(spark, d).select("processed_at", "outcome")
     outcomes.write.parquet(landing)
     stream = spark.readStream.schema(outcomes.schema).parquet(landing)
-    rates = metrics.stream_outcome_rates(stream, "5 minutes", "10 minutes")
-    metrics.start_rates(rates, f"{out}/checkpoint", f"{out}/rates").awaitTermination()
-    return metrics.read_rates(spark, f"{out}/rates")
+    metrics.start_rates(stream, f"{out}/checkpoint", f"{out}/rates", "1 minute").awaitTermination()
+    return metrics.read_rates(spark, f"{out}/rates", "5 minutes")
 
 
 @register("stream_heartbeats", sql(_FLEET.format(status=_LIVE)))

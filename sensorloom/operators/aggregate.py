@@ -83,11 +83,13 @@ def rollup_replays(runs: DataFrame, replay_batches: DataFrame) -> DataFrame:
 
 
 def fold_batch_status(manifests: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Fold live attempts into their manifest.
+    """Fold new live attempts into their manifest and what it records already.
 
     The first completed attempt fixes status and counts, later ones only raise the
-    attempt number. A terminal failure sets ``FAILED`` unless a completed attempt
-    exists. ``attempts`` has status ``COMPLETED``, ``FAILED`` or ``TERMINAL``.
+    attempt number; a batch recorded as ``PROCESSED`` keeps both. A terminal failure sets
+    ``FAILED`` and its error unless a completed attempt came first. ``last_error`` is the
+    error of the latest other attempt, null after a completed one. ``attempts`` has status
+    ``COMPLETED``, ``FAILED`` or ``TERMINAL``.
     """
     completed = F.col("status") == "COMPLETED"
     order = F.struct("completed_at", "processing_attempt_id")
@@ -99,19 +101,29 @@ def fold_batch_status(manifests: DataFrame, attempts: DataFrame) -> DataFrame:
             F.count_if(completed).alias("_completed"),
             F.count_if(F.col("status") == "TERMINAL").alias("_terminal"),
             F.min(F.when(completed, F.struct("completed_at", "processing_attempt_id", *COUNTS))).alias("_first"),
-            F.max_by("last_error", order).alias("last_error"),
+            F.max_by(F.struct("last_error"), order).alias("_last"),
+            F.max_by(F.struct("last_error"), F.when(F.col("status") != "TERMINAL", order)).alias("_last_tried"),
         )
     )
-    extra = ["processing_status", "processing_attempt_count", "last_error", *COUNTS]
+    kinds = {"processing_status": "string", "processing_attempt_count": "long", "last_error": "string", **dict.fromkeys(COUNTS, "long")}
+    known = {c: manifests[c] if c in manifests.columns else F.lit(None).cast(kind) for c, kind in kinds.items()}
+    was_processed = F.coalesce(known["processing_status"] == "PROCESSED", F.lit(False))
+    processed = was_processed | F.coalesce(F.col("_completed") > 0, F.lit(False))
+    last = F.when(processed, F.col("_last_tried")).otherwise(F.col("_last"))
     return manifests.join(folded, "batch_id", "left").select(
-        *[manifests[c] for c in manifests.columns if c not in extra],
-        F.when(F.col("_completed") > 0, F.lit("PROCESSED"))
+        *[manifests[c] for c in manifests.columns if c not in kinds],
+        F.when(processed, F.lit("PROCESSED"))
         .when(F.col("_terminal") > 0, F.lit("FAILED"))
-        .otherwise(F.lit("RECEIVED"))
+        .otherwise(F.coalesce(known["processing_status"], F.lit("RECEIVED")))
         .alias("processing_status"),
-        F.coalesce(folded["processing_attempt_count"], F.lit(0)).alias("processing_attempt_count"),
-        *[F.coalesce(F.col(f"_first.{c}"), F.lit(0)).alias(c) for c in COUNTS],
-        folded["last_error"].alias("last_error"),
+        (F.coalesce(known["processing_attempt_count"], F.lit(0)) + F.coalesce(folded["processing_attempt_count"], F.lit(0))).alias(
+            "processing_attempt_count"
+        ),
+        *[
+            F.coalesce(F.when(was_processed, known[c]).otherwise(F.col(f"_first.{c}")), known[c], F.lit(0)).alias(c)
+            for c in COUNTS
+        ],
+        F.when(last.isNotNull(), last["last_error"]).otherwise(known["last_error"]).alias("last_error"),
     )
 
 
@@ -135,9 +147,16 @@ def outcome_rates(
     slide: str | None = None,
     ts: str = "processed_at",
 ) -> DataFrame:
-    """Count and per-second rate per time window; sliding windows overlap."""
-    bucket = F.window(ts, window, slide) if slide else F.window(ts, window)
-    counted = outcomes.groupBy(bucket.alias("_w"), *by).agg(F.count(F.lit(1)).alias("observations"))
+    """Count and per-second rate per time window; sliding windows overlap.
+
+    Rows are counted once, in panes as long as the slide; only panes enter several windows.
+    """
+    if slide:
+        panes = outcomes.groupBy(F.window(ts, slide).alias("_p"), *by).agg(F.count(F.lit(1)).alias("_n"))
+        panes = panes.withColumn("_at", F.col("_p.start")).drop("_p")
+        counted = panes.groupBy(F.window("_at", window, slide).alias("_w"), *by).agg(F.sum("_n").alias("observations"))
+    else:
+        counted = outcomes.groupBy(F.window(ts, window).alias("_w"), *by).agg(F.count(F.lit(1)).alias("observations"))
     seconds = (F.unix_micros("_w.end") - F.unix_micros("_w.start")) / F.lit(1_000_000)
     return counted.select(
         F.col("_w.start").alias("window_start"), *by, "observations",

@@ -43,10 +43,10 @@ ALERTS = {
 
 
 def evaluate_alert(
-    metric: DataFrame, name: str, keys: list[str] = [], order: list[str] = ["window_start"]
+    metric: DataFrame, name: str, keys: list[str] = [], order: list[str] = ["window_start"], step_seconds: int = 300
 ) -> DataFrame:
-    """Alert state at every sample of a metric table."""
+    """Alert state at every sample of a metric table, which has one every ``step_seconds`` unless it counted nothing."""
     rule = ALERTS[name]
-    return alert_states(metric, rule.condition(), rule.for_seconds, keys, order).select(
+    return alert_states(metric, rule.condition(), rule.for_seconds, keys, order, step_seconds=step_seconds).select(
         F.lit(name).alias("alert"), F.lit(rule.severity).alias("severity"), "*"
     )

@@ -1,8 +1,8 @@
 """Mapping and quality decisions, one narrow pass per observation.
 
 Rules are pinned for a run and few, so they become CASE expressions inside one
-whole-stage-codegen span: no shuffle, no join and a single read of the raw data. Past
-``MAX_INLINE_RULES`` the tags are matched once per distinct tag instead.
+whole-stage-codegen span: no shuffle, no join and a single read of the raw data. With
+the strategy ``distinct`` each distinct tag is matched once and joined back instead.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from sensorloom.operators.scan import lookup_join
 from sensorloom.operators.validate import field_limit_failure
 from sensorloom.rules import MappingRules, QualityRules
 
-MAX_INLINE_RULES = 64
-
 # Human readable reasons.
 REASONS = {
     "FIELD_TOO_LONG": "A raw observation field exceeds its configured limit",
@@ -93,26 +91,24 @@ def _map_inline(obs: DataFrame, mapping: MappingRules) -> DataFrame:
     )
 
 
-def _map_distinct(obs: DataFrame, mapping: MappingRules, spread: list[str]) -> DataFrame:
-    tags = obs.groupBy("source_tag").agg(F.count(F.lit(1)).alias("copies"))
+def _map_distinct(obs: DataFrame, mapping: MappingRules) -> DataFrame:
+    tags = obs.select("source_tag").distinct()
     mapped = ["asset_id", "signal_id", "expected_unit", "unit"]
-    return lookup_join(obs, _map_inline(tags, mapping), ["source_tag"], mapped, "copies", spread)
+    return lookup_join(obs, _map_inline(tags, mapping), ["source_tag"], mapped)
 
 
 def map_tags(
     obs: DataFrame,
     mapping: MappingRules,
-    strategy: str | None = None,
-    spread: tuple[str, ...] = ("source_sequence", "observed_at"),
+    strategy: str = "inline",
 ) -> DataFrame:
     """Add ``asset_id``, ``signal_id``, ``expected_unit`` and ``unit`` of the first matching rule.
 
     All four are null for an unknown tag.
     """
-    strategy = strategy or ("inline" if len(mapping.rules) <= MAX_INLINE_RULES else "distinct")
     if strategy == "inline":
         return _map_inline(obs, mapping)
-    return _map_distinct(obs, mapping, list(spread))
+    return _map_distinct(obs, mapping)
 
 
 def missing_tag() -> Column:

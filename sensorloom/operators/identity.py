@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators.scan import lookup_join
 from sensorloom.runtime import materialize
-from sensorloom.schemas import ARRIVAL, SOURCE_KEY
+from sensorloom.schemas import ARRIVAL, DELIVERY, SOURCE_KEY, TOTAL_ARRIVAL
 
 # Stored canonical rows, or a function that opens them only if they are needed.
 History = DataFrame | Callable[[], DataFrame]
@@ -19,6 +19,13 @@ def not_rejected() -> Column:
     return F.col("outcome") != "REJECTED"
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with a unique delivery number, written once so that all readers agree on it."""
+    if DELIVERY in rows.columns:
+        return rows
+    return materialize(rows.withColumn(DELIVERY, F.monotonically_increasing_id()), "numbered")
+
+
 def first_arrivals(accepted: DataFrame, order: list[str] = ARRIVAL, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per observation id with the order of its first arrival and its copies.
 
@@ -54,9 +61,7 @@ def known_ids(firsts: DataFrame, canonical: History, positions: DataFrame | None
     if positions is None:
         canonical = canonical() if callable(canonical) else canonical
         return firsts.select("observation_id").join(canonical.select("observation_id"), "observation_id", "left_semi")
-    arrivals = firsts.groupBy(*SOURCE_KEY).agg(F.count(F.lit(1)).alias("_arrivals"))
-    reached = arrivals.join(positions.select(*SOURCE_KEY, "max_sequence"), SOURCE_KEY)
-    placed = lookup_join(firsts, reached, SOURCE_KEY, ["max_sequence"], "_arrivals", ["observation_id"])
+    placed = lookup_join(firsts, positions, SOURCE_KEY, ["max_sequence"])
     doubtful = materialize(
         placed.where("source_sequence <= max_sequence").select("observation_id", "source_sequence"), "doubtful"
     )
@@ -71,14 +76,20 @@ def known_ids(firsts: DataFrame, canonical: History, positions: DataFrame | None
 def mark_canonical(
     accepted: DataFrame,
     canonical_prior: History | None = None,
-    order: list[str] = ARRIVAL,
+    order: list[str] | None = None,
     positions_prior: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``is_canonical``: first non-rejected arrival of an id that is not stored yet.
 
+    Exactly one row of an id wins, also if a batch was read twice; an ``order`` given
+    must be total.
+
     Only contested ids, which arrived more than once or are stored, are joined back.
     While those are few the join is a broadcast and the rows are not shuffled.
     """
+    columns = accepted.columns
+    if order is None:
+        accepted, order = numbered(accepted), TOTAL_ARRIVAL
     if canonical_prior is None:
         firsts = first_arrivals(accepted, order).withColumn("_known", F.lit(False))
     else:
@@ -89,16 +100,18 @@ def mark_canonical(
             "_known", F.coalesce("_stored", F.lit(False))
         )
     contested = firsts.where((F.col("copies") > 1) | F.col("_known")).select(
-        "observation_id", "copies", "_known", F.struct(*order).alias("_first")
+        "observation_id", "_known", F.struct(*order).alias("_first")
     )
-    joined = lookup_join(accepted, contested, ["observation_id"], ["_known", "_first"], "copies", order)
+    joined = lookup_join(accepted, contested, ["observation_id"], ["_known", "_first"])
     uncontested = F.col("_known").isNull()
     wins = ~F.col("_known") & F.struct(*order).eqNullSafe(F.col("_first"))
-    return joined.withColumn("is_canonical", F.coalesce(uncontested | wins, F.lit(False))).drop("_known", "_first")
+    return joined.withColumn("is_canonical", F.coalesce(uncontested | wins, F.lit(False))).select(
+        *columns, "is_canonical"
+    )
 
 
 def dedup_first(
-    evaluated: DataFrame, canonical_prior: DataFrame | None = None, order: list[str] = ARRIVAL
+    evaluated: DataFrame, canonical_prior: DataFrame | None = None, order: list[str] | None = None
 ) -> DataFrame:
     """Later arrivals of an id become ``DUPLICATE``; rejected rows never claim an id."""
     marked = mark_canonical(evaluated.where(not_rejected()), canonical_prior, order)
@@ -134,7 +147,7 @@ def identity_conflicts(
     else:
         holders = holders.withColumn("_stored_at", F.lit(None).cast("timestamp"))
     holders = holders.select("observation_id", "_copies", F.coalesce("_stored_at", "_holder_at").alias("stored_observed_at"))
-    joined = lookup_join(pairs, holders, ["observation_id"], ["stored_observed_at"], "_copies", ["observed_at"])
+    joined = lookup_join(pairs, holders, ["observation_id"], ["stored_observed_at"])
     return joined.where("observed_at <> stored_observed_at").select(
         "observation_id", "stored_observed_at", F.col("observed_at").alias("conflicting_observed_at"), "arrivals",
         F.lit("IDENTITY_CONFLICT").alias("reason_code"),
@@ -164,7 +177,7 @@ def resolve_receipts(
         F.coalesce("_recorded", F.col("_first.checksum")).alias("_winner"),
         F.when(F.col("_recorded").isNull(), F.struct(*[F.col(f"_first.{c}") for c in order])).alias("_opener"),
     )
-    joined = lookup_join(deliveries, firsts, ["batch_id"], ["_winner", "_opener"], "_copies", order)
+    joined = lookup_join(deliveries, firsts, ["batch_id"], ["_winner", "_opener"])
     return joined.withColumn(
         "receipt",
         F.when(F.struct(*order).eqNullSafe(F.col("_opener")), F.lit("ACCEPTED"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators.identity import numbered
 from sensorloom.operators.scan import Running, Sliced, continue_scan, running, slice_rows
 from sensorloom.runtime import materialize
-from sensorloom.schemas import ARRIVAL, SOURCE_KEY
+from sensorloom.schemas import ARRIVAL, DELIVERY, SOURCE_KEY, TOTAL_ARRIVAL
 
 
 def source_positions(canonical: DataFrame) -> DataFrame:
@@ -65,17 +66,20 @@ def raise_out_of_order(rows: DataFrame) -> DataFrame:
 def flag_out_of_order(
     accepted: DataFrame,
     positions_prior: DataFrame | None = None,
-    order: list[str] = ARRIVAL,
+    order: list[str] | None = None,
     slices: int | None = None,
 ) -> DataFrame:
     """Add ``out_of_order`` to each non-rejected row and flag the canonical ones.
 
     Duplicates are compared too but keep their outcome. Only out-of-order rows are
-    joined back; ``order`` must be total.
+    joined back, by their delivery number; an ``order`` given must be total.
     """
-    compared = compare_with_earlier(accepted, positions_prior, order, slices)
-    behind = materialize(compared.where("out_of_order").select(*order, "out_of_order"), "behind")
-    joined = accepted.join(behind, order, "left").withColumn("out_of_order", F.coalesce("out_of_order", F.lit(False)))
+    rows, key = accepted, order
+    if order is None:
+        rows, order, key = numbered(accepted), TOTAL_ARRIVAL, [DELIVERY]
+    compared = compare_with_earlier(rows, positions_prior, order, slices)
+    behind = materialize(compared.where("out_of_order").select(*key, "out_of_order"), "behind")
+    joined = rows.join(behind, key, "left").withColumn("out_of_order", F.coalesce("out_of_order", F.lit(False)))
     return raise_out_of_order(joined).select(*accepted.columns, "out_of_order")
 
 
@@ -134,11 +138,13 @@ def alert_states(
     keys: list[str] = [],
     order: list[str] = ["ts"],
     slices: int | None = None,
+    step_seconds: int | None = None,
 ) -> DataFrame:
     """Add ``active_since`` and ``state`` (inactive, pending, firing).
 
     A condition fires once it has held at every sample for ``for_seconds``. The first
-    column of ``order`` is the sample time.
+    column of ``order`` is the sample time. Samples are due every ``step_seconds``: a
+    longer gap is a time without the condition, as in windows that counted nothing.
     """
     series = keys or ["_series"]
     ts = order[0]
@@ -147,7 +153,11 @@ def alert_states(
         stamped = stamped.withColumn("_series", F.lit(0))
     sliced = slice_rows(stamped, series, order, slices)
     previous = running(sliced, {"_previous": Running(F.struct(*order, "_on"))})
-    starts = F.when(F.col("_on") & ~F.coalesce(F.col("_previous._on"), F.lit(False)), F.col(ts))
+    went_on = F.coalesce(F.col("_previous._on"), F.lit(False))
+    if step_seconds is not None:
+        apart = F.unix_micros(ts) - F.unix_micros(F.col(f"_previous.{ts}"))
+        went_on = went_on & (apart <= step_seconds * 1_000_000)
+    starts = F.when(F.col("_on") & ~went_on, F.col(ts))
     marked = previous.withColumn("_start", starts).drop("_previous")
     scanned = running(continue_scan(sliced, marked), {"_since": Running(F.col("_start"), inclusive=True)})
     since = F.when(F.col("_on"), F.col("_since"))

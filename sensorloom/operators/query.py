@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.cursor import decode_cursor, encode_cursor
 from sensorloom.functions.timing import utc
+from sensorloom.runtime import materialize
 from sensorloom.rules import check_page_size, check_query_range
 from sensorloom.sources.canonical import PARTITION
 
@@ -98,6 +99,7 @@ def telemetry_page(
 ) -> tuple[DataFrame, str | None]:
     """One keyset page and the cursor of the next one, null on the last page.
 
+    The page and one row more are read once; that row tells whether there is a next page.
     At most ``maximum_page`` rows reach the driver, only to find the cursor.
     """
     check_query_range(from_, to, maximum_range)
@@ -106,9 +108,13 @@ def telemetry_page(
         canonical, facility, from_, to, asset, signal, include_flagged, include_bad_quality, maximum_range
     )
     if cursor and cursor.strip():
-        rows = rows.where(_after(*decode_cursor(cursor)))
-    ordered = rows.orderBy("observed_at", "observation_id")
-    head = ordered.select(F.unix_micros("observed_at").alias("at"), "observation_id").limit(page_size + 1).collect()
+        after = decode_cursor(cursor)
+        rows = rows.where(_after(*after))
+        if PARTITION in rows.columns:
+            rows = rows.where(F.col(PARTITION) >= F.to_date(F.lit(utc(after[0]))))
+    read = materialize(rows.orderBy("observed_at", "observation_id").limit(page_size + 1), "page")
+    ordered = read.orderBy("observed_at", "observation_id")
+    head = ordered.select(F.unix_micros("observed_at").alias("at"), "observation_id").collect()
     following = None
     if len(head) > page_size:
         last = head[page_size - 1]

@@ -98,37 +98,12 @@ def continue_scan(sliced: Sliced, rows: DataFrame) -> Sliced:
     return Sliced(rows, sliced.keys, sliced.order)
 
 
-def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    values: list[str],
-    copies: str,
-    spread: list[str],
-    hot_copies: int = 1_000_000,
-    hot_keys: int = 100_000,
-) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Left join ``rows`` to a lookup that has one row per key.
 
-    ``copies`` is the lookup's column with the number of rows per key. A key is hot
-    above ``hot_copies`` rows, or above 1/``hot_keys`` of all rows if that is more, so
-    fewer than ``hot_keys`` keys can be hot. Only those are broadcast, and their rows
-    are spread over all tasks by a hash of ``spread``. Other keys meet in one equi-join.
+    The lookup is written first. So the join deals out both sides anew by key, and adaptive
+    execution may cut the rows of a hot key into several tasks, each with a copy of its one
+    lookup row; a lookup that turns out small is broadcast by Spark's own size check.
     """
-    lookup = materialize(lookup.select(*keys, *values, copies), "lookup")
-    stats = lookup.agg(F.sum(copies).alias("total"), F.max(copies).alias("top")).first()
-    threshold = max(hot_copies, (stats["total"] or 0) // hot_keys)
-    if (stats["top"] or 0) <= threshold:
-        return rows.join(lookup.select(*keys, *values), keys, "left")
-    is_hot = F.col(copies) > threshold
-    hot = lookup.where(is_hot).select(
-        *keys, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_hot")
-    )
-    cold = lookup.where(~is_hot).select(*keys, *values, F.lit(0).cast("long").alias("_salt"))
-    marked = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.xxhash64(*spread)).otherwise(F.lit(0))
-    )
-    return marked.join(cold, [*keys, "_salt"], "left").select(
-        *rows.columns,
-        *[F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(v)).alias(v) for v in values],
-    )
+    lookup = materialize(lookup.select(*keys, *values), "lookup")
+    return rows.join(lookup, keys, "left").select(*rows.columns, *values)

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from sensorloom.functions.timing import utc
 from sensorloom.rules import ReplayRequest
 
-# Requests come from the caller's own list; this keeps their broadcast small.
-MAX_REQUESTS = 10_000
-
 
 def reconcile_objects(objects: DataFrame, manifests: DataFrame) -> DataFrame:
     """Object keys on one side only, with ``state`` ``ORPHAN`` or ``MISSING``; empty means healthy."""
@@ -32,8 +29,6 @@ def reconciliation_summary(differences: DataFrame) -> DataFrame:
 
 
 def replay_runs(spark, requests: list[ReplayRequest]) -> DataFrame:
-    if len(requests) > MAX_REQUESTS:
-        raise ValueError(f"at most {MAX_REQUESTS} replay requests per job")
     return spark.createDataFrame(
         [
             (r.replay_id, r.facility_id, utc(r.from_time), utc(r.to_time), r.mapping_version,
@@ -49,7 +44,7 @@ def overlapping_batches(manifests: DataFrame, requests: list[ReplayRequest]) ->
     """Manifest rows whose event interval touches a request, with its ``replay_id``."""
     wanted = replay_runs(manifests.sparkSession, requests).select("replay_id", "facility_id", "from_time", "to_time")
     overlaps = (F.col("minimum_observed_at") < F.col("to_time")) & (F.col("maximum_observed_at") >= F.col("from_time"))
-    return manifests.join(F.broadcast(wanted), "facility_id").where(overlaps).drop("from_time", "to_time")
+    return manifests.join(wanted, "facility_id").where(overlaps).drop("from_time", "to_time")
 
 
 def select_replay_batches(manifests: DataFrame, requests: list[ReplayRequest]) -> DataFrame:

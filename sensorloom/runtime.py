@@ -31,8 +31,8 @@ def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a temporary folder; a cluster session falls back to the
-    warehouse, which every executor can reach.
+    that setting gets a temporary folder. A cluster session without it falls back to
+    the warehouse if that is a shared store, and is refused if it is a local path.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
@@ -42,7 +42,10 @@ def scratch_root(spark: SparkSession) -> str:
         if app not in _local_scratch:
             _local_scratch[app] = tempfile.mkdtemp(prefix="sensorloom-")
         return _local_scratch[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_sensorloom_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/_sensorloom_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

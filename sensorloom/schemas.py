@@ -50,6 +50,10 @@ SOURCE_KEY = ["facility_id", "source_system", "source_epoch", "source_tag"]
 # Total arrival order of observations.
 ARRIVAL = ["received_at", "batch_id", "item_order"]
 
+# Tells apart rows of equal arrival: a batch that was read twice in one run.
+DELIVERY = "delivery_no"
+TOTAL_ARRIVAL = [*ARRIVAL, DELIVERY]
+
 CANONICAL_COLUMNS = [
     "observation_id", "facility_id", "asset_id", "signal_id", "observed_at", "received_at",
     "processed_at", "value", "unit", "quality", "flags", "source_system", "source_sequence",

@@ -23,5 +23,23 @@ def read_after_cursor(
     return page if limit is None else page.limit(limit)
 
 
+def cursor_state(
+    history: DataFrame, source_epoch: str | None, after_sequence: int, current_epoch: str | None = None
+) -> DataFrame:
+    """One row: current epoch, earliest and latest retained sequence, and whether the cursor expired.
+
+    A cursor of the current epoch that is older than the reading before the earliest retained
+    one has lost readings: the caller has to recover, not to skip them silently.
+    """
+    epoch = current_epoch if current_epoch is not None else source_epoch
+    rows = history if epoch is None else history.where(F.col("source_epoch") == epoch)
+    same = source_epoch is None or source_epoch == epoch
+    span = rows.agg(F.min("source_sequence").alias("earliest_sequence"), F.max("source_sequence").alias("latest_sequence"))
+    lost = F.lit(same and after_sequence > 0) & (F.lit(after_sequence) < F.col("earliest_sequence") - 1)
+    return span.select(
+        F.lit(epoch).alias("source_epoch"), "earliest_sequence", "latest_sequence", F.coalesce(lost, F.lit(False)).alias("expired")
+    )
+
+
 def next_cursor(page: DataFrame, after_sequence: int) -> DataFrame:
     return page.agg(F.coalesce(F.max("source_sequence"), F.lit(after_sequence)).alias("next_sequence"))

@@ -78,7 +78,7 @@ def explode_observations(batches: DataFrame) -> DataFrame:
 
     A missing sequence counts as zero.
     """
-    kept = [c for c in ("received_at", "object_path") if c in batches.columns]
+    kept = [c for c in ("received_at", "processing_attempt_count", "object_path") if c in batches.columns]
     exploded = batches.select(
         F.col("batchId").alias("batch_id"),
         F.col("collectorId").alias("collector_id"),

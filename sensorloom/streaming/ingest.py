@@ -16,14 +16,15 @@ from pyspark.sql.streaming import StreamingQuery
 from sensorloom.operators.identity import merge_rejections
 from sensorloom.operators.order import flag_out_of_order, merge_positions, source_positions
 from sensorloom.operators.validate import validate_batches
-from sensorloom.plans.process import process_batches
+from sensorloom.plans.process import process_batches, with_receipts
 from sensorloom.rules import MappingRules, QualityRules
 from sensorloom.runtime import materialize, scratch_scope
-from sensorloom.schemas import ARRIVAL
 from sensorloom.sources.canonical import write_canonical, write_rejections
 from sensorloom.sources.raw import STORED_BATCH, explode_observations, json_options
 
 MICRO_BATCH = "micro_batch"
+KEPT_POSITIONS = 3
+AVAILABLE_NOW = {"availableNow": True}
 
 
 def read_before(spark: SparkSession, path: str, micro_batch: int | None = None) -> DataFrame | None:
@@ -48,10 +49,12 @@ def carried_positions(spark: SparkSession, out: str, micro_batch: int) -> DataFr
     return None if earlier is None else merge_positions(earlier.drop(MICRO_BATCH))
 
 
-def save_positions(canonical: DataFrame, carried: DataFrame | None, out: str, micro_batch: int) -> None:
-    reached = source_positions(canonical)
-    merged = reached if carried is None else merge_positions(carried, reached)
-    merged.write.mode("overwrite").parquet(f"{out}/positions/{MICRO_BATCH}={micro_batch}")
+def save_positions(positions: DataFrame, out: str, micro_batch: int) -> None:
+    """Keep the positions after this micro-batch and of the one before, which a retry needs."""
+    positions.write.mode("overwrite").parquet(f"{out}/positions/{MICRO_BATCH}={micro_batch}")
+    session = positions.sparkSession
+    old = session._jvm.org.apache.hadoop.fs.Path(f"{out}/positions/{MICRO_BATCH}={micro_batch - KEPT_POSITIONS}")
+    old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def rejections_before(spark: SparkSession, out: str, micro_batch: int, attempts: DataFrame) -> DataFrame | None:
@@ -84,6 +87,7 @@ def stream_process(
     processed_at: Column,
     multiline: bool = False,
     files_per_trigger: int | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Process new raw files under ``root`` into ``out``/canonical, rejections, outcomes, attempts, positions.
 
@@ -106,10 +110,9 @@ def stream_process(
         carried = carried_positions(session, out, micro_batch)
         history = lambda: read_before(session, f"{out}/canonical", micro_batch)
         done = process_batches(
-            explode_observations(sound),
+            explode_observations(with_receipts(sound, manifests())),
             mapping,
             quality,
-            manifests=manifests(),
             canonical_prior=None if carried is None else history,
             positions_prior=carried,
             processed_at=processed_at,
@@ -117,7 +120,7 @@ def stream_process(
         recorded = rejections_before(session, out, micro_batch, done.attempts)
         write_canonical(done.canonical, folder("canonical"), mode="overwrite")
         write_rejections(merge_rejections(recorded, done.rejections), folder("rejections"), mode="overwrite")
-        save_positions(done.canonical, carried, out, micro_batch)
+        save_positions(done.positions, out, micro_batch)
         done.outcomes.write.mode("overwrite").parquet(folder("outcomes"))
         done.attempts.write.mode("overwrite").parquet(folder("attempts"))
 
@@ -125,17 +128,17 @@ def stream_process(
         raw_batch_stream(spark, root, multiline, files_per_trigger)
         .writeStream.foreachBatch(effect)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
 
 def stream_order_state(
-    accepted: DataFrame, checkpoint: str, out: str, order: list[str] = ARRIVAL
+    accepted: DataFrame, checkpoint: str, out: str, order: list[str] | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
     """Out-of-order flags on a stream of marked rows, with per-source maxima carried between micro-batches.
 
-    The carried state is one small row per source key and micro-batch. A hot key is
+    The carried state is one small row per source key. A hot key is
     still cut into slices inside a micro-batch.
     """
 
@@ -144,11 +147,12 @@ def stream_order_state(
             carried = carried_positions(batch.sparkSession, out, micro_batch)
             flagged = flag_out_of_order(batch, carried, order)
             flagged.write.mode("overwrite").parquet(f"{out}/flagged/{MICRO_BATCH}={micro_batch}")
-            save_positions(batch.where("is_canonical"), carried, out, micro_batch)
+            reached = source_positions(batch.where("is_canonical"))
+            save_positions(reached if carried is None else merge_positions(carried, reached), out, micro_batch)
 
     return (
         accepted.writeStream.foreachBatch(effect)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )

@@ -8,43 +8,43 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sensorloom.operators.fleet import latest_heartbeats
 from sensorloom.operators.aggregate import outcome_rates
-from sensorloom.streaming.ingest import MICRO_BATCH, read_before
+from sensorloom.streaming.ingest import AVAILABLE_NOW, MICRO_BATCH, read_before
 
 
-def stream_outcome_rates(
-    outcomes: DataFrame, window: str, watermark: str, slide: str | None = None, by: tuple[str, ...] = ("outcome",)
-) -> DataFrame:
-    """Windowed counts over processing time, so late events lose nothing to the watermark."""
-    return outcome_rates(outcomes.withWatermark("processed_at", watermark), window, by, slide)
+def start_rates(
+    outcomes: DataFrame, checkpoint: str, out: str, window: str, by: tuple[str, ...] = ("outcome",), trigger: dict | None = None
+) -> StreamingQuery:
+    """Write the counts that each micro-batch adds to its windows of processing time.
 
-
-def start_rates(rates: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
-    """Write the windows that changed in each micro-batch."""
+    Counts add up whenever they come, so no row is dropped for being late and no state is kept.
+    """
 
     def effect(batch: DataFrame, micro_batch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{MICRO_BATCH}={micro_batch}")
+        added = outcome_rates(batch, window, by).drop("per_second")
+        added.write.mode("overwrite").parquet(f"{out}/{MICRO_BATCH}={micro_batch}")
 
     return (
-        rates.writeStream.foreachBatch(effect)
-        .outputMode("update")
+        outcomes.writeStream.foreachBatch(effect)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
 
-def read_rates(spark: SparkSession, out: str, by: tuple[str, ...] = ("outcome",)) -> DataFrame:
-    """Latest state of every window."""
-    stored = spark.read.parquet(out)
-    values = ["observations", "per_second"]
-    return (
-        stored.groupBy("window_start", *by)
-        .agg(F.max_by(F.struct(*values), MICRO_BATCH).alias("_last"))
-        .select("window_start", *by, *[F.col(f"_last.{v}").alias(v) for v in values])
+def read_rates(spark: SparkSession, out: str, window: str, by: tuple[str, ...] = ("outcome",), slide: str | None = None) -> DataFrame:
+    """Counts and rates of all windows; with ``slide`` the stored windows are the panes of longer ones."""
+    stored = spark.read.parquet(out).groupBy("window_start", *by).agg(F.sum("observations").alias("observations"))
+    whole = F.window("window_start", window, slide) if slide else F.window("window_start", window)
+    counted = stored.groupBy(whole.alias("_w"), *by).agg(F.sum("observations").alias("observations"))
+    seconds = (F.unix_micros("_w.end") - F.unix_micros("_w.start")) / F.lit(1_000_000)
+    return counted.select(
+        F.col("_w.start").alias("window_start"), *by, "observations", (F.col("observations") / seconds).alias("per_second")
     )
 
 
-def stream_heartbeats(heartbeats: DataFrame, checkpoint: str, out: str, tie_break: tuple[str, ...] = ()) -> StreamingQuery:
+def stream_heartbeats(
+    heartbeats: DataFrame, checkpoint: str, out: str, tie_break: tuple[str, ...] = (), trigger: dict | None = None
+) -> StreamingQuery:
     """Upsert the last heartbeat per collector; ``OFFLINE`` is decided when the status is read."""
 
     def effect(batch: DataFrame, micro_batch: int) -> None:
@@ -53,7 +53,7 @@ def stream_heartbeats(heartbeats: DataFrame, checkpoint: str, out: str, tie_brea
     return (
         heartbeats.writeStream.foreachBatch(effect)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 

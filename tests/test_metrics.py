@@ -39,7 +39,7 @@ def test_batch_status_fold(spark):
         "PROCESSED", 3, 4, None,
     )
     assert fold(spark, [attempt(1, "FAILED", 1, "x"), attempt(2, "TERMINAL", 2, "dead")]) == ("FAILED", 1, 0, "dead")
-    assert fold(spark, [attempt(1, "COMPLETED", 1, accepted=4), attempt(2, "TERMINAL", 2, "dead")]) == ("PROCESSED", 1, 4, "dead")
+    assert fold(spark, [attempt(1, "COMPLETED", 1, accepted=4), attempt(2, "TERMINAL", 2, "dead")]) == ("PROCESSED", 1, 4, None)
     assert fold(spark, [attempt(1, "COMPLETED", 1, accepted=4, replay="r")]) == ("RECEIVED", 0, 0, None)
 
 
