@@ -71,12 +71,14 @@ def find_repeats(docs: DataFrame, window: int, modulus: int, min_lines: int) ->
     firsts = hashed.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("latest")).where(
         F.col("first") != F.col("latest")
     ).select("hash", "first")
+    # written first, so that the join deals out both sides anew and may split a hot chunk
+    firsts = materialize(firsts, "firsts")
     repeats = hashed.join(firsts, "hash").groupBy("_id").agg(
         F.array_sort(F.collect_set(F.struct("pos", "n", "hash", "first"))).alias("_at")
     )
-    joined = materialize(
-        docs.join(repeats, docs["doc_id"] == repeats["_id"], "left").drop("_id"), "joined"
-    )
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    slim = docs.select("doc_id", "text", *([F.struct(*others).alias("_others")] if others else []))  # no clash of names
+    joined = materialize(slim.join(repeats, slim["doc_id"] == repeats["_id"], "left").drop("_id"), "joined")
     compared = (
         joined.where("_at is not null")
         .select(F.col("doc_id").alias("_id"), F.split(F.col("text").cast("string"), "\n").alias("_lines"), "_at")
@@ -101,7 +103,8 @@ def dedup_lines(
     Lines end at "\\n" alone. Of equal chunks the one in the smallest doc_id stays, there the one
     at the smallest position; rows that share a doc_id count as one document and are cut alike.
     Rows with a null doc_id or text pass unchanged (a null text has 0 lines, an empty one 1). A text
-    whose every chunk is cut becomes empty. Other columns are kept as they are.
+    whose every chunk is cut becomes empty. Other columns are kept as they are, but for columns that
+    have the names of the three counts.
     """
     joined, kept = find_repeats(docs, window, modulus, min_lines)
     kept = kept.groupBy("_id").agg(F.collect_set("_pos").alias("_not"))
@@ -115,9 +118,10 @@ def dedup_lines(
     rest = F.array_join(
         F.filter("_lines", lambda _, i: ~F.exists("_cut", lambda c: (i >= c["pos"]) & (i < c["pos"] + c["n"]))), "\n"
     )
+    made = ("_n_lines", "_n_cut_lines", "_n_cut_chunks")
     text = F.when(F.size("_cut") > 0, rest).otherwise(F.col("text"))
     return marked.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        *[text.alias(c) if c == "text" else F.col(c if c == "doc_id" else f"_others.`{c}`").alias(c) for c in docs.columns if c not in made],
         F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("_n_lines"),
         F.aggregate("_cut", F.lit(0).cast("long"), lambda s, c: s + c["n"]).alias("_n_cut_lines"),
         F.size("_cut").cast("long").alias("_n_cut_chunks"),
