@@ -92,9 +92,17 @@ def explode_observations(spark, d):
     return typed.select(*_OBS.split(", "))
 
 
-@register("object_digests")
+@register("object_digests", sql("SELECT batch_id, CASE WHEN batch_no % 33 = 0 THEN 'CHECKSUM_MISMATCH' END AS reason_code FROM manifest"))
 def object_digests(spark, d):
-    return raw.scan_object_digests(spark, _raw_store(spark, d)).select("length", "checksum", "content_digest")
+    """Digests of all stored batches against those recorded before some of them were altered."""
+    recorded = raw.scan_stored_batches(spark, _raw_store(spark, d))
+    altered = F.substring("batchId", 25, 12).cast("long") % 33 == 0
+    root = scratch_path(spark, "altered")
+    raw.write_raw_batches(
+        fx.raw_documents(spark, d).withColumn("collectorVersion", F.when(altered, F.lit("1.0.1")).otherwise(F.col("collectorVersion"))), root
+    )
+    verified = validate.verify_objects(raw.scan_stored_batches(spark, root), recorded)
+    return verified.select(F.substring_index("object_key", "/batch=", -1).alias("batch_id"), "reason_code")
 
 
 @register(
@@ -144,19 +152,19 @@ _FIRST_EPOCH = fx.EPOCH + "1"
 @register(
     "cursor_read",
     sql("SELECT source_epoch, source_sequence, source_tag, value FROM delivery, (SELECT max(event_id) // 4 AS cursor FROM events) "
-        "WHERE again = 0 AND source_epoch LIKE '%1' AND source_sequence > cursor"),
+        "WHERE source_epoch LIKE '%1' AND source_sequence > cursor"),
 )
 def cursor_read(spark, d):
-    live = fx.delivery(spark, d).where(fx.batch_number() < 1_000_000_000)
+    live = fx.delivery(spark, d)
     cursor = fx.bounds(spark, d)["top"] // 4
     return history.read_after_cursor(live, _FIRST_EPOCH, cursor, limit=None).select(
         "source_epoch", "source_sequence", "source_tag", "value"
     )
 
 
-@register("cursor_after_epoch_change", sql("SELECT max(source_sequence) AS next_sequence FROM delivery WHERE again = 0 AND source_epoch LIKE '%2'"))
+@register("cursor_after_epoch_change", sql("SELECT max(source_sequence) AS next_sequence FROM delivery WHERE source_epoch LIKE '%2'"))
 def cursor_after_epoch_change(spark, d):
-    live = fx.delivery(spark, d).where(fx.batch_number() < 1_000_000_000)
+    live = fx.delivery(spark, d)
     page = history.read_after_cursor(live, _FIRST_EPOCH, fx.bounds(spark, d)["top"], limit=None, current_epoch=fx.EPOCH + "2")
     return history.next_cursor(page, 0)
 
@@ -208,10 +216,15 @@ def batch_item_validation(spark, d):
     return validate.validate_batch_items(batches).select(F.col("batchId").alias("batch_id"), "reason_code")
 
 
-@register("object_size_check")
+@register("object_size_check", sql("SELECT batch_id, CASE WHEN batch_no % 13 = 0 THEN 'PAYLOAD_TOO_LARGE' END AS reason_code FROM manifest"))
 def object_size_check(spark, d):
-    sizes = raw.scan_object_sizes(spark, _raw_store(spark, d))
-    return validate.check_object_sizes(sizes, max_decompressed=500).select("length", "decompressed_length", "reason_code")
+    """Lengths of all stored batches, some of which were padded beyond the limit set here."""
+    padded = F.substring("batchId", 25, 12).cast("long") % 13 == 0
+    root = scratch_path(spark, "padded")
+    raw.write_raw_batches(
+        fx.raw_documents(spark, d).withColumn("collectorVersion", F.when(padded, F.repeat(F.lit("9"), 20_000)).otherwise(F.col("collectorVersion"))), root
+    )
+    return validate.check_object_sizes(raw.scan_stored_batches(spark, root), max_decompressed=15_000).select("batch_id", "reason_code")
 
 
 @register(
@@ -284,10 +297,10 @@ def tag_mapping_by_distinct_tag(spark, d):
     return evaluate.map_tags(fx.delivery(spark, d), fx.MAPPING_1, strategy="distinct").select(*_TAGS.split(", "))
 
 
-@register("asset_template", sql("SELECT DISTINCT source_tag, asset_id FROM tagged WHERE rule IS NOT NULL", mapping="1.1.0"))
+@register("asset_template", sql("SELECT DISTINCT source_tag, 'zone-' || regexp_extract(source_tag, 'ZONE\\[(\\d{2})\\]', 1) AS asset_id FROM delivery"))
 def asset_template(spark, d):
     pattern, template = r"CTRL_A\.ZONE\[(?<zone>\d{2})\]\.\w+_\w+", "zone-${zone}"
-    tags = fx.delivery(spark, d).select("source_tag").distinct().where("source_tag not like '%DOOR_SW'")
+    tags = fx.delivery(spark, d).select("source_tag").distinct()
     return tags.withColumn("asset_id", evaluate.render_asset_id(F.col("source_tag"), pattern, template, 1))
 
 
@@ -327,11 +340,11 @@ def numeric_check(spark, d):
     "unit_check",
     sql("""SELECT batch_id, item_order, CASE WHEN raw_unit <> expected_unit THEN 'UNSUPPORTED_RAW_UNIT' END AS reason_code,
       CASE WHEN raw_unit <> expected_unit THEN 'Expected source unit ' || expected_unit || ' but received ' || raw_unit END AS reason
-    FROM tagged WHERE rule IS NOT NULL"""),
+    FROM tagged"""),
 )
 def unit_check(spark, d):
-    mapped = evaluate.map_tags(fx.delivery(spark, d), fx.MAPPING_0).where("signal_id is not null")
-    wrong = evaluate.unsupported_unit()
+    mapped = evaluate.map_tags(fx.delivery(spark, d), fx.MAPPING_0)
+    wrong = evaluate.unsupported_unit() & F.col("signal_id").isNotNull()
     return mapped.select(
         "batch_id", "item_order", F.when(wrong, F.lit("UNSUPPORTED_RAW_UNIT")).alias("reason_code"),
         F.when(wrong, evaluate.unit_reason()).alias("reason"),
@@ -572,6 +585,35 @@ def reconciliation(spark, d):
     return work.reconcile_objects(_objects(spark, d), fx.manifest(spark, d))
 
 
+@register(
+    "reconcile_store",
+    sql("""SELECT 'facility=' || facility_id || '/date=' || strftime(received_at, '%Y-%m-%d') || '/hour=' || strftime(received_at, '%H') ||
+      '/collector=' || collector_id || '/batch=' || batch_id AS object_key, CASE WHEN batch_no % 50 = 0 THEN 'MISSING' ELSE 'ORPHAN' END AS state
+    FROM manifest WHERE (batch_no % 50 = 0) <> (batch_no % 60 = 0)"""),
+)
+def reconcile_store(spark, d):
+    """Batches in the raw store against manifests by the key both have; some of either are missing."""
+    n = F.substring("batchId", 25, 12).cast("long")
+    root = scratch_path(spark, "partial")
+    raw.write_raw_batches(fx.raw_documents(spark, d).where(n % 50 != 0), root)
+    manifests = fx.manifest(spark, d).where(fx.batch_number() % 60 != 0).withColumn(
+        "object_key", raw.object_key(F.col("facility_id"), F.col("received_at"), F.col("collector_id"), F.col("batch_id"))
+    )
+    return work.reconcile_objects(raw.scan_stored_batches(spark, root), manifests)
+
+
+@register(
+    "cursor_state",
+    sql("""SELECT source_epoch, min(source_sequence) AS earliest_sequence, max(source_sequence) AS latest_sequence,
+      min(source_sequence) - 1 > any_value(half) // 4 AS expired FROM delivery, bounds WHERE source_epoch LIKE '%1' AND source_sequence > half // 2 GROUP BY 1"""),
+)
+def cursor_state(spark, d):
+    """A cursor that fell behind what the source still retains."""
+    half = fx.bounds(spark, d)["top"] // 2
+    retained = fx.delivery(spark, d).where(F.col("source_sequence") > half // 2)
+    return history.cursor_state(retained, _FIRST_EPOCH, half // 4)
+
+
 @register(
     "reconciliation_summary",
     sql(f"""SELECT count(CASE WHEN state = 'ORPHAN' THEN 1 END) AS orphan_objects,

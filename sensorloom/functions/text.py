@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the contract's form of an identifier.
 IDENTIFIER = r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"
 
 # One group of the lenient UUID form: any hex digits whose value fits a signed long.

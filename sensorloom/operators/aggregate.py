@@ -18,7 +18,7 @@ FRESHNESS_SECONDS = 30
 def build_manifests(batches: DataFrame, digests: DataFrame | None = None) -> DataFrame:
     """Manifest of nested raw batches; ``digests`` adds object key and checksum per batch.
 
-    Columns ``received_at``, ``object_key`` and ``checksum`` of the batches are kept.
+    Columns ``received_at``, ``object_key``, ``checksum`` and ``content_digest`` of the batches are kept.
     """
     times = F.transform("observations", lambda o: o["observedAt"])
     manifests = batches.select(
@@ -31,7 +31,7 @@ def build_manifests(batches: DataFrame, digests: DataFrame | None = None) -> Dat
         F.array_max(times).alias("maximum_observed_at"),
         F.size("observations").alias("observation_count"),
         F.lit("RECEIVED").alias("processing_status"),
-        *[F.col(c) for c in ("received_at", "object_key", "checksum") if c in batches.columns],
+        *[F.col(c) for c in ("received_at", "object_key", "checksum", "content_digest") if c in batches.columns],
     )
     return manifests if digests is None else manifests.join(digests, "batch_id", "left")
 

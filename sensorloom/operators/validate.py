@@ -65,10 +65,15 @@ def check_object_sizes(
     max_compressed: int = schemas.MAX_COMPRESSED_BYTES,
     max_decompressed: int = schemas.MAX_DECOMPRESSED_BYTES,
 ) -> DataFrame:
-    """Add ``reason_code`` from ``length`` and ``decompressed_length`` (null if not measured)."""
+    """Add ``reason_code`` from ``length`` and ``decompressed_length`` (null if not measured).
+
+    Batches packed into one file have no compressed length of their own: without that column
+    only the other limit applies.
+    """
+    length = F.col("length") if "length" in objects.columns else F.lit(None).cast("long")
     return objects.withColumn(
         "reason_code",
-        F.when(F.col("length") > max_compressed, F.lit("COMPRESSED_PAYLOAD_TOO_LARGE")).when(
+        F.when(length > max_compressed, F.lit("COMPRESSED_PAYLOAD_TOO_LARGE")).when(
             F.col("decompressed_length") > max_decompressed, F.lit("PAYLOAD_TOO_LARGE")
         ),
     )

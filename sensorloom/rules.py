@@ -18,6 +18,7 @@ try:
 except ImportError:  # only needed to load rule files
     yaml = None
 
+# Forms of version names.
 MAPPING_NAME = re.compile(r"controller-a-mapping-[0-9]+\.[0-9]+\.[0-9]+")
 RULES_NAME = re.compile(r"quality-rules-[0-9]+\.[0-9]+\.[0-9]+")
 

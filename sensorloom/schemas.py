@@ -54,6 +54,7 @@ ARRIVAL = ["received_at", "batch_id", "item_order"]
 DELIVERY = "delivery_no"
 TOTAL_ARRIVAL = [*ARRIVAL, DELIVERY]
 
+# Fixed field names of stored samples and rejections.
 CANONICAL_COLUMNS = [
     "observation_id", "facility_id", "asset_id", "signal_id", "observed_at", "received_at",
     "processed_at", "value", "unit", "quality", "flags", "source_system", "source_sequence",

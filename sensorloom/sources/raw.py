@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,8 +137,40 @@ def assemble_batches(obs: DataFrame) -> DataFrame:
     )
 
 
+def object_key(facility: Column, received_at: Column, collector: Column, batch_id: Column) -> Column:
+    """Key of a stored batch below the store's root: its receipt folder, then its id."""
+    return F.concat(
+        F.lit("facility="), facility, F.lit("/date="), F.date_format(received_at, "yyyy-MM-dd"),
+        F.lit("/hour="), F.date_format(received_at, "HH"), F.lit("/collector="), collector, F.lit("/batch="), batch_id,
+    )
+
+
+def scan_stored_batches(spark: SparkSession, root: str) -> DataFrame:
+    """Key, batch id, length and digests of every batch in files of ``write_raw_batches``.
+
+    Such a file holds a batch a line, and a line is read as the bytes it is stored as, so each
+    batch is measured and verified on its own whatever it was packed with. A line without a
+    readable batch id has a key that ends in ``batch=``.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(root)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "(facility=[^/]+/date=[^/]+/hour=[^/]+/collector=[^/]+)/[^/]*$", 1)
+    batch_id = F.get_json_object("value", "$.batchId")
+    content = F.col("value").cast("binary")
+    return lines.select(
+        F.concat(folder, F.lit("/batch="), F.coalesce(batch_id, F.lit(""))).alias("object_key"),
+        batch_id.alias("batch_id"),
+        F.octet_length("value").cast("long").alias("decompressed_length"),
+        checksum(content).alias("checksum"),
+        content_digest(content).alias("content_digest"),
+    )
+
+
 def scan_object_digests(spark: SparkSession, root: str) -> DataFrame:
-    """Path, length and digests over the exact compressed bytes of every object."""
+    """Path, length and digests over the exact compressed bytes of every object that holds one batch.
+
+    Objects are at most 1 MiB by contract; longer files are packed by ``write_raw_batches``
+    and read by ``scan_stored_batches``.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -16,14 +16,14 @@ OBSERVATION = (
 )
 NAMES = [c.strip().split(" ")[0] for c in OBSERVATION.split(",")]
 T0 = datetime(2024, 5, 1, 10, 0, 0)
-EPOCH = "47af63a8-85c4-4a34-9b60-f63d6e16f564"
+EPOCH = "c3a1e7d9-62b4-4f58-8e10-7d95b03f2a6c"
 
 
 def observation(**changes) -> dict:
     row = dict(
-        batch_id="81f50d40-7742-457b-bf16-e602e17d26ce", item_order=0, facility_id="facility-alpha",
+        batch_id="0b6f3c52-1d84-4e0f-9a37-5c2e8d7146aa", item_order=0, facility_id="facility-alpha",
         collector_id="edge-gateway-01", collector_version="1.0.0", source_system="controller-a", source_epoch=EPOCH,
-        source_sequence=1, source_tag="CTRL_A.ZONE[07].TEMP_PV", observed_at=T0, value=29.4, value_type="number",
+        source_sequence=1, source_tag="CTRL_A.ZONE[03].TEMP_PV", observed_at=T0, value=21.5, value_type="number",
         raw_unit="degC", source_quality_code=192, received_at=T0, processed_at=T0,
     )
     row.update(changes)

@@ -22,17 +22,17 @@ def decide(spark, rows, mapping=V0, **kw):
 def test_tags_map_to_asset_and_signal(spark):
     rows = [
         observation(),
-        observation(source_tag="CTRL_A.ZONE[07].RH_PV", raw_unit="%"),
-        observation(source_tag="CTRL_A.ZONE[07].FAN_OUT", raw_unit="%"),
-        observation(source_tag="CTRL_A.ZONE[07].TEMP_AUX_PV"),
-        observation(source_tag="CTRL_A.ZONE[07].TEMP_PV\n"),
-        observation(source_tag="xCTRL_A.ZONE[07].TEMP_PV"),
+        observation(source_tag="CTRL_A.ZONE[03].RH_PV", raw_unit="%"),
+        observation(source_tag="CTRL_A.ZONE[03].FAN_OUT", raw_unit="%"),
+        observation(source_tag="CTRL_A.ZONE[03].TEMP_AUX_PV"),
+        observation(source_tag="CTRL_A.ZONE[03].TEMP_PV\n"),
+        observation(source_tag="xCTRL_A.ZONE[03].TEMP_PV"),
     ]
     got = decide(spark, rows)
     assert [(r.asset_id, r.signal_id, r.unit) for r in got[:3]] == [
-        ("zone-07", "environment.air_temperature", "Cel"),
-        ("zone-07", "environment.relative_humidity", "%"),
-        ("zone-07", "ventilation.output", "%"),
+        ("zone-03", "environment.air_temperature", "Cel"),
+        ("zone-03", "environment.relative_humidity", "%"),
+        ("zone-03", "ventilation.output", "%"),
     ]
     assert [r.reason_code for r in got] == [None] * 3 + ["UNKNOWN_SOURCE_TAG"] * 3
     assert decide(spark, rows, V1)[3].signal_id == "environment.air_temperature"
@@ -113,13 +113,13 @@ def test_bad_quality_alone_is_accepted(spark):
 
 
 def test_raw_value_kinds(spark):
-    texts = ["29.4", "29", '"29.4"', "true", "null", "1e999", '{"v":1}', "[1]", None]
+    texts = ["21.5", "29", '"21.5"', "true", "null", "1e999", '{"v":1}', "[1]", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = evaluate.numeric_value(df.withColumn("raw_value", F.parse_json("t"))).orderBy("i").collect()
     assert [r.value_type for r in got] == [
         "number", "number", "string", "boolean", "null", "number", "object", "array", "absent",
     ]
-    assert got[0].value == 29.4 and got[1].value == 29.0 and got[5].value == float("inf")
+    assert got[0].value == 21.5 and got[1].value == 29.0 and got[5].value == float("inf")
     assert all(got[i].value is None for i in (2, 3, 4, 6, 7, 8))
 
 

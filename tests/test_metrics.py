@@ -72,3 +72,26 @@ def test_pending_gauges_when_nothing_waits(spark):
     df = spark.createDataFrame([(T0, True)], "ts timestamp, done boolean")
     row = aggregate.pending_gauges(df, ~F.col("done"), "ts", F.lit(T0), capacity=10).first()
     assert (row.pending, row.oldest_age_seconds, row.utilization_ratio) == (0, 0, 0.0)
+
+
+def test_spikes_an_hour_apart_do_not_fire(spark):
+    from sensorloom.operators.alerts import evaluate_alert
+
+    minutes = [0, 60, 65, 70, 120]
+    ratio = spark.createDataFrame([(T0 + timedelta(minutes=m), 0.5) for m in minutes], "window_start timestamp, ratio double")
+    got = {r.window_start: r.state for r in evaluate_alert(ratio, "RejectionSpike").collect()}
+    assert [got[T0 + timedelta(minutes=m)] for m in minutes] == ["pending", "pending", "firing", "firing", "pending"]
+
+
+def test_new_attempts_fold_into_the_recorded_status(spark):
+    manifest = spark.createDataFrame(
+        [("b", "PROCESSED", 2, "old", 4, 0, 0, 0), ("c", "RECEIVED", 1, "old", 0, 0, 0, 0)],
+        "batch_id string, processing_status string, processing_attempt_count long, last_error string, "
+        "accepted_count long, flagged_count long, rejected_count long, duplicate_count long",
+    )
+    table = spark.createDataFrame(
+        [attempt(1, "TERMINAL", 1, "dead")], "processing_attempt_id string, batch_id string, replay_id string, status string, "
+        "completed_at timestamp, accepted_count long, flagged_count long, rejected_count long, duplicate_count long, last_error string",
+    )
+    got = {r.batch_id: (r.processing_status, r.processing_attempt_count, r.accepted_count, r.last_error) for r in aggregate.fold_batch_status(manifest, table).collect()}
+    assert got == {"b": ("PROCESSED", 2, 4, "old"), "c": ("RECEIVED", 1, 0, "old")}

@@ -134,3 +134,58 @@ def test_scratch_tables_are_dropped_with_their_scope(spark, tmp_path):
         assert len(list(Path(folder).iterdir())) >= 3
     assert not Path(folder).exists()
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def settled(done):
+    return sorted((r.batch_id, r.item_order, r.outcome) for r in done.outcomes.collect())
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_batches_read_twice_in_one_run(spark, seed):
+    rows = random_rows(seed, 400)
+    again = [r for r in rows if int(r["batch_id"][-4:]) % 3 == 0]
+    expected, _ = restated(rows, V0, QUALITY)
+    kinds = [(k[0], k[1], e[0]) for k, e in expected.items()]
+    for r in again:
+        key = (r["batch_id"], r["item_order"])
+        kinds.append((*key, "REJECTED" if expected[key][0] == "REJECTED" else "DUPLICATE"))
+    done = process_batches(frame(spark, rows + again).repartition(5), V0, QUALITY)
+    assert settled(done) == sorted(kinds)
+    assert ids.duplicate_identities(done.canonical).count() == 0
+    key = ["observation_id", "batch_id", "reason_code"]
+    assert done.rejections.groupBy(*key).count().where("count > 1").count() == 0
+    later = process_batches(frame(spark, rows + again), V0, QUALITY, canonical_prior=done.canonical, positions_prior=done.positions)
+    assert later.canonical.count() == 0 and later.outcomes.count() == len(rows) + len(again)
+
+
+def test_a_batch_that_cannot_be_processed_fails_alone(spark):
+    good, late, lost = (f"00000000-0000-4000-8000-00000000000{i}" for i in (1, 2, 3))
+    rows = [
+        observation(batch_id=good), observation(batch_id=good, item_order=1, source_sequence=None),
+        observation(batch_id=late), observation(batch_id=late, item_order=1, observed_at=None),
+        observation(batch_id=lost), observation(batch_id=None, item_order=None, source_sequence=None, observed_at=None),
+    ]
+    manifests = spark.createDataFrame([(good, T0, 4), (late, T0, 0)], "batch_id string, received_at timestamp, processing_attempt_count int")
+    done = process_batches(frame(spark, rows), V0, QUALITY, manifests=manifests, processed_at=F.lit(T0))
+    got = {r.batch_id: (r.status, r.attempt_number, r.total_count, r.last_error) for r in done.attempts.collect()}
+    assert got[good] == ("COMPLETED", 5, 2, None)
+    assert got[late][:3] == ("FAILED", 1, 0) and "event time" in got[late][3]
+    assert got[lost][:3] == ("FAILED", 1, 0) and "manifest is missing" in got[lost][3]
+    assert got[None][0] == "FAILED" and len(got) == 4
+    assert {r.batch_id for r in done.outcomes.collect()} == {good}
+
+
+def test_replay_of_a_missing_object_fails_the_run(spark):
+    a, b, c = (f"00000000-0000-4000-8000-00000000000{i}" for i in (1, 2, 3))
+    obs = frame(spark, [observation(batch_id=a), observation(batch_id=c, source_sequence=9, observed_at=T0 + timedelta(hours=2))])
+    manifest = spark.createDataFrame(
+        [(x, "facility-alpha", T0, T0, T0 + timedelta(hours=3), 1) for x in (a, b, c)],
+        "batch_id string, facility_id string, received_at timestamp, minimum_observed_at timestamp, maximum_observed_at timestamp, processing_attempt_count int",
+    )
+    live = process_batches(obs, V0, QUALITY)
+    request = ReplayRequest("r-3", "facility-alpha", T0, T0 + timedelta(hours=1), V1.version, "again", requested_at=T0)
+    done = replay(request, manifest, obs, live.canonical, F.lit(T0 + timedelta(days=1)))
+    got = {r.batch_id: (r.status, r.total_count, r.attempt_number) for r in done.result.attempts.collect()}
+    assert got == {a: ("COMPLETED", 1, 2), b: ("FAILED", 0, 2), c: ("COMPLETED", 0, 2)}
+    assert {r.batch_id: r.status for r in done.replay_batches.collect()} == {a: "COMPLETED", b: "FAILED", c: "COMPLETED"}
+    assert done.runs.first().status == "FAILED"

@@ -22,14 +22,14 @@ QUALITY = quality_rules("quality-rules-1.0.0")
 
 def document(**changes):
     item = {
-        "sourceSystem": "controller-a", "sourceEpoch": EPOCH, "sourceSequence": 184201,
-        "sourceTag": "CTRL_A.ZONE[07].TEMP_PV", "observedAt": "2026-08-29T08:41:20.217Z", "rawValue": 29.4,
+        "sourceSystem": "controller-a", "sourceEpoch": EPOCH, "sourceSequence": 5170,
+        "sourceTag": "CTRL_A.ZONE[03].TEMP_PV", "observedAt": "2025-02-11T16:05:09.304Z", "rawValue": 21.5,
         "rawUnit": "degC", "sourceQualityCode": 192,
     }
     batch = {
-        "contractVersion": "raw-observation.batch.v1", "batchId": "81f50d40-7742-457b-bf16-e602e17d26ce",
+        "contractVersion": "raw-observation.batch.v1", "batchId": "0b6f3c52-1d84-4e0f-9a37-5c2e8d7146aa",
         "collectorId": "edge-gateway-01", "collectorVersion": "1.0.0", "facilityId": "facility-alpha",
-        "createdAt": "2026-08-29T08:41:25Z", "observations": [item],
+        "createdAt": "2025-02-11T16:05:12Z", "observations": [item],
     }
     for name, value in changes.items():
         target = item if name in item else batch
@@ -42,21 +42,21 @@ def document(**changes):
 
 def store(root, batches):
     for i, b in enumerate(batches):
-        folder = root / "facility=facility-alpha" / "date=2026-08-29" / "hour=08" / "collector=edge-gateway-01"
+        folder = root / "facility=facility-alpha" / "date=2025-02-11" / "hour=16" / "collector=edge-gateway-01"
         folder.mkdir(parents=True, exist_ok=True)
         (folder / f"{i:03d}.json.gz").write_bytes(gzip.compress(json.dumps(b, indent=1).encode()))
     return str(root)
 
 
 def test_stored_documents_are_scanned(spark, tmp_path):
-    root = store(tmp_path, [document(rawValue=v, extra={"a": 1}) for v in (29.4, "29.4", True, None)])
+    root = store(tmp_path, [document(rawValue=v, extra={"a": 1}) for v in (21.5, "21.5", True, None)])
     batches = raw.scan_raw_batches(spark, root)
     assert batches.select("facility", "date", "hour", "collector").distinct().first() == (
-        "facility-alpha", "2026-08-29", "08", "edge-gateway-01",
+        "facility-alpha", "2025-02-11", "16", "edge-gateway-01",
     )
     rows = numeric_value(raw.explode_observations(batches)).orderBy("object_path").collect()
     assert [r.value_type for r in rows] == ["number", "string", "boolean", "null"]
-    assert rows[0].value == 29.4 and rows[0].observed_at == datetime(2026, 8, 29, 8, 41, 20, 217000)
+    assert rows[0].value == 21.5 and rows[0].observed_at == datetime(2025, 2, 11, 16, 5, 9, 304000)
     plan = raw.scan_raw_batches(spark, root).where("hour = '09'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(hour" in plan
 
@@ -186,7 +186,7 @@ def test_documents_and_reconciliation(spark):
     samples = process_batches(frame(spark, [observation()]), V0, QUALITY).canonical
     made = json.loads(documents.documents_as_json(samples).first().json)
     assert made["contractVersion"] == "telemetry.sample.v1" and made["flags"] == []
-    assert made["source"]["sourceTag"] == "CTRL_A.ZONE[07].TEMP_PV" and made["observedAt"] == "2024-05-01T10:00:00.000000Z"
+    assert made["source"]["sourceTag"] == "CTRL_A.ZONE[03].TEMP_PV" and made["observedAt"] == "2024-05-01T10:00:00.000000Z"
     keys = lambda *k: spark.createDataFrame([(x,) for x in k], "object_key string")
     diff = work.reconcile_objects(keys("a", "b", "orphan"), keys("a", "b", "missing"))
     assert [tuple(r) for r in diff.collect()] == [("missing", "MISSING"), ("orphan", "ORPHAN")]
