@@ -10,13 +10,13 @@ word, may lie between two that do. Every occurrence of a piece but the first goe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,149 +30,180 @@ MIN_WORDS = 40
 MOST_BRIDGED = 1
 LONGEST = 64
 BLOCK = 2048
-SEEN_PIECES, SEEN_WORDS = 300_000, 300_000
+SEEN_PIECES = 300_000
+CHARS_AT_ONCE = 500_000
+SMALL_GROUP = 12
 
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x2545F4914F6CDD1D  # odd, so its powers have inverses modulo 2**64
 _rng = np.random.default_rng(7)
 SCALE = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def pieces(text: str | None) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-cased words) of each piece of a whole text, in order.
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2**64."""
+    with np.errstate(over="ignore"):
+        up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        return np.cumprod(up), np.cumprod(down)
 
-    A sentence is a piece; one of fewer than ``SHINGLE`` words joins the piece before it in its
-    line, if any. Sentences of more than ``LONGEST`` words are cut after each ``LONGEST``.
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * MULTIPLIER
+    return x ^ x >> np.uint64(29)
+
+
+def _runs(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each run values[first:last], whatever its place, from one running sum."""
+    up, down = _powers(1 << max(16, int(len(values)).bit_length()))
+    total = np.r_[np.uint64(0), np.cumsum(values * up[: len(values)])]
+    return _mix((total[last] - total[first]) * down[first])
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Texts cut into pieces: words by hash, pieces by their first word and number of words."""
+
+    joined: bytes
+    text: np.ndarray  # of each piece: which text
+    place: np.ndarray  # of each piece: its number in the text
+    first: np.ndarray
+    count: np.ndarray
+    word: np.ndarray
+    word_start: np.ndarray
+    word_end: np.ndarray
+    text_start: np.ndarray
+
+    def names(self) -> np.ndarray:
+        """Signed 64-bit name of each piece's words; 0 for those that are too short to shingle."""
+        names = _runs(self.word, self.first, self.first + self.count) | np.uint64(1)
+        return np.where(self.count < SHINGLE, np.uint64(0), names).view(np.int64)
+
+    def words_of(self, piece: int) -> bytes:
+        last = self.first[piece] + self.count[piece] - 1
+        return self.joined[self.word_start[self.first[piece]] : self.word_end[last]]
+
+
+def cut_texts(texts: list[str | None]) -> Cut:
+    """Cut whole texts into pieces; words are runs without ASCII white space, A-Z lower-cased.
+
+    A sentence (up to a word that ends in ".", "!" or "?", or the line's end) is a piece; one of fewer
+    than ``SHINGLE`` words joins the piece before it in its line, if any. Sentences of more than
+    ``LONGEST`` words are cut after each ``LONGEST``.
     """
-    out: list[tuple[int, int, list[str]]] = []
-    at = 0
-    for line in (text or "").split("\n"):
-        start, first = at, len(out)
-        ends = [m.span() for m in SENTENCE_END.finditer(line)] + [(len(line), len(line))]
-        begin = 0
-        for stop, after in ends:
-            sentence = line[begin:stop]
-            words = sentence.lower().split()
-            if words and len(words) < SHINGLE and len(out) > first:
-                before = out[-1]
-                out[-1] = (before[0], start + stop, before[2] + words)
-            elif len(words) > LONGEST:
-                spans = [m.span() for m in re.finditer(r"\S+", sentence)]
-                for k in range(0, len(spans), LONGEST):
-                    part = spans[k : k + LONGEST]
-                    a, b = start + begin + part[0][0], start + begin + part[-1][1]
-                    out.append((a, b, sentence[part[0][0] : part[-1][1]].lower().split()))
-            elif words:
-                out.append((start + begin, start + stop, words))
-            begin = after
-        at += len(line) + 1
-    return out
-
-
-def piece_id(words: list[str]) -> int:
-    """Signed 64-bit name of a piece's words; those that cannot be shingled have none of their own (0)."""
-    if len(words) < SHINGLE:
-        return 0
-    return int(np.uint64(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), 17)).view(np.int64)) or 1
-
-
-class Sketcher:
-    """Shingle hashes and band keys; word hashes met lately are remembered."""
-
-    def __init__(self) -> None:
-        self.hashes: dict[str, int] = {}
-
-    def words(self, words: list[str]) -> np.ndarray:
-        if len(self.hashes) > SEEN_WORDS:
-            self.hashes.clear()
-        known, digest = self.hashes, xxhash.xxh64_intdigest
-        for w in set(words) - known.keys():
-            known[w] = digest(w.encode("utf-8", "surrogatepass"), 5)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def shingles(self, words: list[str]) -> np.ndarray:
-        h = self.words(words)
-        n = max(1, len(h) - SHINGLE + 1)
-        out = np.zeros(n, np.uint64)
-        for k in range(min(SHINGLE, len(h))):
-            out = out * MULTIPLIER + h[k : k + n]
-        return out ^ out >> np.uint64(32)
-
-    def bands(self, many: list[list[str]]) -> np.ndarray:
-        """(pieces, BANDS) signed band keys of pieces of at least ``SHINGLE`` words."""
-        lengths = np.fromiter(map(len, many), np.int64, len(many))
-        h = self.words([w for words in many for w in words])
-        out = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-        for k in range(SHINGLE):
-            out = out * MULTIPLIER + h[k : k + len(out)]
-        out ^= out >> np.uint64(32)
-        ends = np.cumsum(lengths)
-        inside = np.arange(len(out)) + SHINGLE <= np.repeat(ends, lengths)[: len(out)]
-        out = out[inside]
-        counts = lengths - SHINGLE + 1
-        first = np.cumsum(counts) - counts
-        keys = np.zeros((len(many), BANDS), np.uint64)
-        for j in range(BANDS * ROWS):
-            mixed = out * SCALE[j]
-            mixed ^= mixed >> np.uint64(31)
-            mixed *= MULTIPLIER
-            low = np.minimum.reduceat(mixed, first)
-            keys[:, j // ROWS] = (keys[:, j // ROWS] * SCALE[j] + low) ^ low >> np.uint64(29)
-        keys = (keys ^ np.arange(BANDS, dtype=np.uint64)) * MULTIPLIER
-        return keys.view(np.int64)
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    joined = b"\n".join(raw).lower()
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    text_start = np.cumsum(lengths + 1) - lengths - 1
+    b = np.frombuffer(joined, np.uint8)
+    white = (b == 32) | ((b >= 9) & (b <= 13))
+    edge = np.diff(np.r_[np.int8(1), white.view(np.int8), np.int8(1)])
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    none = np.empty(0, np.int64)
+    if not len(start):
+        return Cut(joined, none, none, none, none, np.empty(0, np.uint64), none, none, text_start)
+    word = _runs(b.astype(np.uint64) + np.uint64(1), start, end)
+    line = np.cumsum(b == 10)[start]
+    new_line = np.r_[True, line[1:] != line[:-1]]
+    closing = np.isin(b[end - 1], np.frombuffer(b".!?", np.uint8))
+    opens = new_line | np.r_[True, closing[:-1]]
+    first = np.flatnonzero(opens)
+    size = np.diff(np.r_[first, len(start)])
+    within = np.arange(len(start)) - np.repeat(first, size)
+    piece = np.zeros(len(start), bool)
+    piece[first[(size >= SHINGLE) | new_line[first]]] = True
+    piece |= (np.repeat(size, size) > LONGEST) & (within % LONGEST == 0) & (within > 0)
+    first = np.flatnonzero(piece)
+    text = np.searchsorted(text_start, start[first], "right") - 1
+    new_text = np.r_[True, text[1:] != text[:-1]]
+    at = np.arange(len(first))
+    place = at - np.maximum.accumulate(np.where(new_text, at, 0))
+    return Cut(joined, text, place, first, np.diff(np.r_[first, len(start)]), word, start, end, text_start)
+
+
+def shingles(cut: Cut, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the word shingles of the chosen pieces; shorter pieces are one shingle."""
+    counts = np.maximum(1, cut.count[chosen] - SHINGLE + 1)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(cut.first[chosen], counts) + nth
+    size = np.minimum(np.repeat(cut.count[chosen], counts), SHINGLE)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(SHINGLE):
+        out = out * MULTIPLIER + np.where(k < size, cut.word[np.minimum(at + k, len(cut.word) - 1)], np.uint64(0))
+    return _mix(out), counts
+
+
+def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(pieces, BANDS) signed keys: each band's minima of ``ROWS`` rehashed shingle sets."""
+    first = np.cumsum(counts) - counts
+    keys = np.zeros((len(counts), BANDS), np.uint64)
+    for j in range(BANDS * ROWS):
+        mixed = hashes * SCALE[j]
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= MULTIPLIER
+        low = np.minimum.reduceat(mixed, first)
+        keys[:, j // ROWS] = _mix(keys[:, j // ROWS] * SCALE[j] + low)
+    return _mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def _groups_of_texts(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    """Ids and texts of a batch in groups of about ``CHARS_AT_ONCE`` characters: bounded arrays, few calls."""
+    ids, texts, held = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        text = text.as_py()
+        ids.append(doc)
+        texts.append(text)
+        held += len(text or "") + 1
+        if held >= CHARS_AT_ONCE:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
 
 
-def _fresh(batches: Iterator[pa.RecordBatch], seen: set[int]) -> Iterator[list[tuple[int, list[str]]]]:
-    """(id, words) of the pieces of each batch that this task has not met lately: copies meet early."""
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Cut, np.ndarray, np.ndarray]]:
+    """(texts, pieces, names) of the pieces that this task has not met lately: copies meet early."""
+    seen: set[int] = set()
     for batch in batches:
-        fresh = []
-        for text in batch.column(1):
-            for _, _, words in pieces(text.as_py()):
-                name = piece_id(words)
-                if name and name not in seen:
-                    seen.add(name)
-                    fresh.append((name, words))
-        if len(seen) > SEEN_PIECES:
-            seen.clear()
-        yield fresh
+        for _, texts in _groups_of_texts(batch):
+            cut = cut_texts(texts)
+            names, at = np.unique(cut.names(), return_index=True)
+            new = np.fromiter((n != 0 and n not in seen for n in names.tolist()), bool, len(names))
+            if len(seen) > SEEN_PIECES:
+                seen.clear()
+            seen.update(names[new].tolist())
+            if new.any():
+                yield cut, at[new], names[new]
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketcher = Sketcher()
-    for fresh in _fresh(batches, set()):
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            keys = sketcher.bands([w for _, w in part])
-            ids = np.repeat(np.array([i for i, _ in part], np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["band", "piece"])
+    for cut, at, names in _fresh(batches):
+        keys = band_keys(*shingles(cut, at))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(names, BANDS))], ["band", "piece"])
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for fresh in _fresh(batches, set()):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in fresh], pa.int64()), pa.array([" ".join(w) for _, w in fresh], pa.string())], ["piece", "words"]
-        )
+    for cut, at, names in _fresh(batches):
+        words = pa.array([cut.words_of(k) for k in at.tolist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(names), words], ["piece", "words"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, place, name, size = [], [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for k, (_, _, words) in enumerate(pieces(text.as_py())):
-                p = piece_id(words)
-                if p:
-                    doc.append(i)
-                    place.append(k)
-                    name.append(p)
-                    size.append(len(words))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(name, pa.int64()), pa.array(size, pa.int32())],
-            ["doc_id", "place", "piece", "n"],
-        )
+        for ids, texts in _groups_of_texts(batch):
+            cut = cut_texts(texts)
+            names = cut.names()
+            some = names != 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(ids, np.int64)[cut.text[some]]), pa.array(cut.place[some].astype(np.int32)), pa.array(names[some]),
+                 pa.array(cut.count[some].astype(np.int32))],
+                ["doc_id", "place", "piece", "n"],
+            )
 
 
 def _whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -265,26 +296,73 @@ def spanning_links(sets: list[np.ndarray], threshold: float) -> tuple[list[int],
     return a, b
 
 
+def pair_links(keys: np.ndarray, counts: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of all pairs within many small groups of rows at once; rows have ``counts`` distinct ``keys`` each."""
+    first = np.cumsum(size) - size
+    a, b = [], []
+    for x in range(int(size.max(initial=0))):
+        for y in range(x + 1, int(size.max(initial=0))):
+            has = size > y
+            a.append(first[has] + x)
+            b.append(first[has] + y)
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = np.concatenate(a), np.concatenate(b)
+    begin = np.cumsum(counts) - counts
+    owned = np.sort(_mix(keys + np.repeat(np.arange(len(counts), dtype=np.uint64), counts) * MULTIPLIER))
+    links = []
+    for at in range(0, len(a), 50_000):
+        p, q = a[at : at + 50_000], b[at : at + 50_000]
+        n = counts[p]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wanted = _mix(keys[np.repeat(begin[p], n) + nth] + np.repeat(q, n).astype(np.uint64) * MULTIPLIER)
+        place = np.minimum(np.searchsorted(owned, wanted), len(owned) - 1)
+        common = np.add.reduceat((owned[place] == wanted).astype(np.int64), np.cumsum(n) - n)
+        links.append(common >= threshold * (counts[p] + counts[q] - common) - 1e-9)
+    linked = np.concatenate(links)
+    return a[linked], b[linked]
+
+
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each row, sorted within the row."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])] if len(owner) else np.empty(0, bool)
+    return hashes[new], np.bincount(owner[new], minlength=len(counts))
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketcher = Sketcher()
         for frame in _whole_groups(batches, "task"):
-            at, to = [], []
-            for _, group in frame.groupby("task", sort=False):
-                group = group.drop_duplicates("piece")
-                if len(group) < 2:
-                    continue
-                sets = [np.unique(sketcher.shingles(w.split(" "))) for w in group["words"]]
-                ids = group["piece"].to_numpy()
-                a, b = spanning_links(sets, threshold)
-                at.append(ids[a])
-                to.append(ids[b])
-            if at:
-                yield pd.DataFrame({"a": np.concatenate(at), "b": np.concatenate(to)})
+            if not len(frame):
+                continue
+            frame = frame.drop_duplicates(["task", "piece"]).sort_values(["task", "piece"], kind="stable")
+            task, piece = frame["task"].to_numpy(), frame["piece"].to_numpy()
+            cut = cut_texts([w.replace(b"\n", b" ").decode("utf-8", "surrogatepass") for w in frame["words"]])
+            whole = _whole_texts(cut, len(frame))
+            hashes, counts = _distinct(*shingles(whole, np.arange(len(frame))))
+            first = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+            size = np.diff(np.r_[first, len(task)])
+            small = np.repeat(size <= SMALL_GROUP, size)
+            keep = np.repeat(small, counts)
+            a, b = pair_links(hashes[keep], counts[small], size[size <= SMALL_GROUP], threshold)
+            yield pd.DataFrame({"a": piece[small][a], "b": piece[small][b]})
+            ends = np.cumsum(counts)
+            for f, n in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist()):
+                sets = [hashes[ends[k] - counts[k] : ends[k]] for k in range(f, f + n)]
+                x, y = spanning_links(sets, threshold)
+                yield pd.DataFrame({"a": piece[f:][x], "b": piece[f:][y]})
 
     return run
 
 
+def _whole_texts(cut: Cut, n: int) -> Cut:
+    """The same words with each text as one piece: the texts are pieces already."""
+    first = np.searchsorted(cut.word_start, cut.text_start)
+    return replace(cut, text=np.arange(n), place=np.zeros(n, np.int64), first=first, count=np.diff(np.r_[first, len(cut.word)]))
+
+
 def piece_links(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(a, b): verified links between pieces that connect all similar colliding pieces."""
     texts = _texts(docs)
@@ -294,7 +372,7 @@ def piece_links(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
         .mapInPandas(_buckets(block), "piece long, task long").distinct(),
         "candidates",
     )
-    with_words = candidates.join(texts.mapInArrow(_piece_rows, "piece long, words string"), "piece")
+    with_words = candidates.join(texts.mapInArrow(_piece_rows, "piece long, words binary"), "piece")
     return with_words.repartition("task").sortWithinPartitions("task").mapInPandas(_verify(threshold), "a long, b long")
 
 
@@ -357,12 +435,12 @@ def cut_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
             texts = []
             for text, places in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if text is not None and places:
+                    cut, raw = cut_texts([text]), text.encode("utf-8", "surrogatepass")
                     kept, done = [], 0
-                    spans = pieces(text)
                     for k in sorted(places):
-                        kept.append(text[done : spans[k][0]])
-                        done = spans[k][1]
-                    text = "".join([*kept, text[done:]])
+                        kept.append(raw[done : cut.word_start[cut.first[k]]])
+                        done = cut.word_end[cut.first[k] + cut.count[k] - 1]
+                    text = b"".join([*kept, raw[done:]]).decode("utf-8", "surrogatepass")
                 texts.append(text)
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names)
