@@ -158,7 +158,7 @@ def test_language_model(spark, order, size):
     for doc, text, *_ in rows:
         by_doc.setdefault(doc, []).append(language_model.words_of(text))
     every = Counter(w for texts in by_doc.values() for t in texts for w in t)
-    top = {w for w, _ in sorted(every.items(), key=lambda x: (-x[1], x[0]))[:size]}
+    top = {w for w, n in every.items() if sum(m >= n for m in every.values()) <= size}
     mapped = {d: [[w if w in top else b"?" for w in t] for t in texts] for d, texts in by_doc.items()}
     counts = [Counter(tuple(t[i : i + k]) for texts in mapped.values() for t in texts for i in range(len(t) - k + 1)) for k in range(1, order + 1)]
     total = sum(counts[0].values())
