@@ -76,7 +76,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         seen = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         seen = edges.select("a", "b")
-    low = seen.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "node")
+    # written first, so that the join deals out both sides anew and may split a hub
+    low = materialize(seen.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "node"), "low")
     met = seen.join(low, F.col("a") == F.col("node"))
     if large:
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "low").alias("b"))

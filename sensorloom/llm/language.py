@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.tables import fraction_of, remainder
+from sensorloom.llm.tables import bounded_batches, fraction_of, id_and_text, remainder
 
 SIZE = 1 << 12
 TRAINING_ROWS = 1600
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
     About ``training_rows`` rows shared evenly between the languages, at least ``LEAST_ROWS`` of
     each, and never more than twice as many in all; the same rows in every run.
     """
-    usable = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang")).where(
+    usable = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang")).where(
         F.col("_lang").isNotNull() & (remainder(F.col("_id"), HELD_OUT_PARTS) != HELD_OUT_PART)
     )
     counts = usable.groupBy("_lang").agg(F.count("*").alias("_n"))
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "lang_pred", "score", "ambiguous"],
                 )
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    found = id_and_text(docs).mapInArrow(
         run, "doc_id long, lang_pred string, score double, ambiguous boolean"
     )
     held = (remainder(F.col("doc_id"), HELD_OUT_PARTS) == HELD_OUT_PART).alias("held_out")

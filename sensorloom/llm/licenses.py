@@ -180,3 +180,39 @@ def scan_licenses(
         "path", F.coalesce("own", "given").alias("licence"), F.coalesce("cosine", "given_cosine", F.lit(0.0)).alias("cosine"), "line",
         inherits.alias("inherited"), F.when(inherits, F.col("from")).alias("directory"),
     )
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: For documents as files "source/lang/doc_id".
+ORACLE_SQL = f"""
+with t(template, licence, notice) as (values {", ".join(f"({i}, {_quoted(n)}, {_quoted(x)})" for i, (n, x) in enumerate(TEMPLATES))}),
+tt as (select template, licence, term, count(*) as tf from (select template, licence, unnest(regexp_extract_all(lower(notice), '[a-z0-9+]+')) as term from t) group by all),
+known as (select distinct term from tt),
+f as (select doc_id, concat_ws('/', source, lang, doc_id::varchar) as path, coalesce(text, '') as text from documents),
+n as (select count(*)::double as n from f),
+u as (select doc_id, -1 as line, text as unit from f
+  union all select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1, unnest(string_split(text, chr(10))) from f),
+w as (select doc_id, line, term, count(*) as tf from (select doc_id, line, unnest(regexp_extract_all(lower(unit), '[a-z0-9+]+')) as term from u) group by all),
+df as (select term, count(*) as df from w where line = -1 group by term),
+idf as (select term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 as idf from known left join df using (term) cross join n),
+tv as (select template, licence, term, tf * idf as w from tt join idf using (term)),
+tn as (select template, sqrt(sum(w * w)) as norm from tv group by template),
+x as (select doc_id, line, term, tf, tf * coalesce(idf, ln(1 + n) + 1) as w, idf is not null as own from w left join idf using (term) cross join n),
+xl as (select doc_id, line, sqrt(sum(w * w)) as len from x group by all having sum(case when own then tf else 0 end) >= {LEAST_TERMS}),
+dots as (select doc_id, line, licence, template, sum(x.w * tv.w / norm) as dot from x join tv using (term) join tn using (template) group by all),
+c as (select doc_id, line, licence, round(dot / len, 9) as cosine from dots join xl using (doc_id, line)),
+unit as (select * from c where cosine >= {THRESHOLD} qualify row_number() over (partition by doc_id, line order by cosine desc, licence) = 1),
+own as (select * from unit qualify row_number() over (partition by doc_id order by cosine desc, line, licence) = 1),
+p as (select *, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as parent from f),
+g as (select parent as directory, licence as given, cosine as given_cosine from unit join p using (doc_id) where line = -1 and cosine >= {FILE_THRESHOLD}
+  qualify row_number() over (partition by parent order by cosine desc, path, licence) = 1),
+d as (select distinct parent from p),
+near as (select parent, directory, given, given_cosine from d join g on parent = directory or directory = '' or starts_with(parent, directory || '/')
+  qualify row_number() over (partition by parent order by length(directory) desc) = 1)
+select p.doc_id, path, coalesce(own.licence, given) as licence, coalesce(own.cosine, given_cosine, 0.0)::double as cosine, line::integer as line,
+  own.licence is null and given is not null as inherited, case when own.licence is null then directory end as directory
+from p left join own using (doc_id) left join near using (parent)
+"""

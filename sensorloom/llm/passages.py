@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.components import connected_components
+from sensorloom.llm.tables import bounded_batches, id_and_text
 from sensorloom.runtime import materialize
 
 SHINGLE = 5
@@ -163,7 +164,7 @@ def _groups_of_texts(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None],
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    return id_and_text(docs).where("doc_id is not null and text is not null")
 
 
 def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Cut, np.ndarray, np.ndarray]]:
@@ -445,4 +446,4 @@ def cut_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return bounded_batches(joined).mapInArrow(run, docs.schema)

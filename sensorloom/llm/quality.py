@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.tables import fraction_of, remainder
+from sensorloom.llm.tables import bounded_batches, fraction_of, id_and_text, remainder
 
 TRIGRAMS = 1 << 15
 SHAPES = 1 << 13
@@ -171,7 +171,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS
     for y in (0, 1):
         few = usable.where(F.col("_y") == y).orderBy(fraction_of(F.col("_id")), "_id").limit(rows_per_class)
         sample = few if sample is None else sample.union(few)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             scores = [sent.value.score(indicators(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select(
         "doc_id",
         (remainder(F.col("doc_id"), HELD_OUT_PARTS) == HELD_OUT_PART).alias("held_out"),
@@ -225,4 +225,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             good = [sent.value.score(indicators(t.as_py())) >= threshold for t in batch.column(place)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

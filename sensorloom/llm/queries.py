@@ -88,4 +88,5 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op5_lm_scoring": language_model.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
+    "op10_license_scan": licenses.ORACLE_SQL,
 }

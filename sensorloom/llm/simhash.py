@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm.components import connected_components, forest
+from sensorloom.llm.tables import id_and_text
 from sensorloom.runtime import materialize
 
 WORDS_PER_SHINGLE = 3
@@ -65,7 +66,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, print): the signed 64-bit fingerprint of each row's whole text."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return id_and_text(docs).mapInArrow(
         _fingerprints, "doc_id long, print long"
     )
 

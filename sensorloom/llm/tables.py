@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = "16m"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def with_columns_last(docs: DataFrame, added: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Left join ``added`` (one row per key) to ``docs``, whose columns win a clash of names."""
-    clashing = [c for c in added.columns if c != key and c in docs.columns]
-    return docs.join(added.drop(*clashing), key, "left")
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session that sends Python at most ``BATCH_BYTES`` at a time, however long the texts are."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs``, ready for Python."""
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def fraction_of(column: Column) -> Column:
