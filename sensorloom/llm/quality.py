@@ -139,11 +139,14 @@ def fit_logistic(margins: np.ndarray, good: np.ndarray, importance: np.ndarray)
 
 
 def train(rows: list[np.ndarray], good: np.ndarray, share_good: float) -> Model:
-    """Fit on four rows in five, set probabilities on the fifth for classes as frequent as ``share_good``.
+    """Fit on four rows in five of each class, set probabilities on the fifth for classes as frequent as ``share_good``.
 
-    Without rows of both classes every score is the share of good labels (one half without labels).
+    A class of two to four rows gives one to the latter. Without two rows of both classes every score
+    is the share of good labels (one half without labels).
     """
-    part = np.arange(len(rows)) % 5 == 4
+    part = np.zeros(len(rows), bool)
+    for own in (np.flatnonzero(good), np.flatnonzero(~good)):
+        part[own[4::5] if len(own) > 4 else own[1:][-1:]] = True
     if min(good[~part].sum(), (~good[~part]).sum(), good[part].sum(), (~good[part]).sum()) == 0:
         share = min(max(share_good, 1e-6), 1 - 1e-6)
         return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 1.0, float(np.log(share / (1 - share))))
