@@ -872,6 +872,55 @@ def lag_summary(spark, d):
     return aggregate.lag_summary(_canonical(spark, d), "1 day")
 
 
+@register(
+    "lag_percentiles",
+    sql(f"""SELECT {_bucket('processed_at', 86400)} AS window_start, round(quantile_cont(lag_ms, 0.5) / 1000, 3) AS p50_seconds, round(quantile_cont(lag_ms, 0.99) / 1000, 3) AS p99_seconds
+    FROM (SELECT processed_at, ((epoch_us(processed_at) - epoch_us(observed_at)) // 1000)::DOUBLE AS lag_ms FROM canonical
+      WHERE quality = 'GOOD' AND observed_at <= processed_at) GROUP BY 1"""),
+)
+def lag_percentiles(spark, d):
+    return aggregate.lag_percentiles(_canonical(spark, d), "1 day")
+
+
+@register(
+    "ingestion_rates",
+    sql(f"""SELECT {_bucket('received_at', 300)} AS window_start, collector_id, count(*) AS observations, count(*) / 300.0::DOUBLE AS per_second
+    FROM delivery GROUP BY 1, 2"""),
+)
+def ingestion_rates(spark, d):
+    return aggregate.outcome_rates(fx.delivery(spark, d), "5 minutes", ("collector_id",), ts="received_at")
+
+
+@register(
+    "ingestion_results",
+    sql(f"""SELECT {_bucket('received_at', 1800)} AS window_start, receipt, count(*) AS observations, count(*) / 1800.0::DOUBLE AS per_second
+    FROM (SELECT received_at, CASE WHEN k = 0 THEN 'ACCEPTED' WHEN k = 1 THEN 'ALREADY_ACCEPTED' ELSE 'BATCH_CHECKSUM_CONFLICT' END AS receipt
+      FROM manifest, (SELECT unnest([0, 1, 2]) AS k) WHERE k = 0 OR k = 1 AND batch_no % 7 = 0 OR k = 2 AND batch_no % 11 = 0) GROUP BY 1, 2"""),
+)
+def ingestion_results(spark, d):
+    """Accepted, duplicate and conflicting deliveries over time."""
+    base = fx.manifest(spark, d).select("batch_id", "checksum", "received_at", fx.batch_number().alias("n"))
+    deliveries = base.withColumn("delivery_id", F.lit(0))
+    for k, by, content in ((1, 7, F.col("checksum")), (2, 11, F.lit("sha256:other"))):
+        deliveries = deliveries.unionByName(base.where(F.col("n") % by == 0).withColumn("checksum", content).withColumn("delivery_id", F.lit(k)))
+    return aggregate.outcome_rates(identity.resolve_receipts(deliveries), "30 minutes", ("receipt",), ts="received_at")
+
+
+@register(
+    "receipts_with_orphans",
+    sql("""SELECT batch_id, CASE WHEN batch_no % 60 = 0 THEN 'ACCEPTED' WHEN batch_no % 60 = 1 THEN 'BATCH_CHECKSUM_CONFLICT' ELSE 'ACCEPTED' END AS receipt,
+      CASE WHEN batch_no % 60 = 0 THEN 'left/' || batch_id END AS reused_object_key FROM manifest"""),
+)
+def receipts_with_orphans(spark, d):
+    """Objects that an acceptance left without a manifest: equal ones are used again, others conflict."""
+    base = fx.manifest(spark, d).select("batch_id", "checksum", "received_at", F.lit(0).alias("delivery_id"))
+    left = fx.batch_number() % 60
+    stored = base.where(left <= 1).select(
+        "batch_id", F.concat(F.lit("left/"), "batch_id").alias("object_key"), F.when(left == 0, F.col("checksum")).otherwise(F.lit("sha256:x")).alias("checksum")
+    )
+    return identity.resolve_receipts(base, stored=stored).select("batch_id", "receipt", "reused_object_key")
+
+
 @register(
     "fleet_gauges",
     sql(""", latest AS (SELECT * FROM heartbeat QUALIFY row_number() OVER (PARTITION BY collector_id ORDER BY received_at DESC, beat DESC) = 1)
@@ -1185,6 +1234,15 @@ def replay_(spark, d):
     return _replayed(spark, d).result.outcomes.select(*_RESULT.split(", "))
 
 
+@register(
+    "replay_outcome_rates",
+    sql(f"SELECT {_bucket('processed_at', 300)} AS window_start, outcome, count(*) AS observations, count(*) / 300.0::DOUBLE AS per_second "
+        "FROM decided2 GROUP BY 1, 2", extra=_REPLAY_SQL),
+)
+def replay_outcome_rates(spark, d):
+    return aggregate.outcome_rates(_replayed(spark, d).result.outcomes, "5 minutes")
+
+
 @register("replay_from_store", sql(f"SELECT {_RESULT} FROM decided2", extra=_REPLAY_SQL))
 def replay_from_store(spark, d):
     """The same replay, reading only the selected batches of the raw store."""

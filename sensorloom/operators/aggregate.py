@@ -56,13 +56,18 @@ def out_of_order_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def rollup_replays(runs: DataFrame, replay_batches: DataFrame) -> DataFrame:
-    """Counters and status of each replay from its batches; a failed run stays as it is."""
+    """Counters and status of each replay from its batches; a failed run stays as it is.
+
+    With the batches' ``last_error`` the run has the error of one that failed.
+    """
+    errors = "last_error" in replay_batches.columns
     sums = replay_batches.groupBy("replay_id").agg(
         F.sum("processed_observation_count").alias("_processed"),
         *[F.sum(c).alias(f"_{c}") for c in COUNTS],
         F.count_if(F.col("status") != "COMPLETED").alias("_remaining"),
         F.count_if(F.col("status") == "COMPLETED").alias("_completed"),
         F.count_if(F.col("status") == "FAILED").alias("_failed"),
+        *([F.max(F.when(F.col("status") == "FAILED", F.col("last_error"))).alias("_error")] if errors else []),
     )
     frozen = (F.col("status") == "FAILED") | F.col("_remaining").isNull()
     keep = lambda new, old: F.when(frozen, F.col(old)).otherwise(F.coalesce(F.col(new), F.lit(0)))
@@ -79,6 +84,7 @@ def rollup_replays(runs: DataFrame, replay_batches: DataFrame) -> DataFrame:
         *[keep(f"_{c}", c).alias(c) for c in COUNTS],
         F.coalesce("_remaining", F.lit(0)).alias("remaining_batches"),
         status.alias("status"),
+        *([F.col("_error").alias("last_error")] if errors else []),
     )
 
 
@@ -205,6 +211,17 @@ def lag_summary(samples: DataFrame, window: str, ts: str = "processed_at") -> Da
     )
 
 
+def lag_percentiles(samples: DataFrame, window: str, percentiles: tuple[float, ...] = (0.5, 0.99), ts: str = "processed_at") -> DataFrame:
+    """Exact percentiles of the same lags in seconds to the millisecond, from counts of distinct milliseconds per window."""
+    fresh = samples.where((F.col("quality") == "GOOD") & (F.col("observed_at") <= F.col("processed_at"))).withColumn(
+        "_lag", lag_millis(F.col("processed_at"), F.col("observed_at"))
+    )
+    counted = fresh.groupBy(F.window(ts, window).alias("_w"), "_lag").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy("_w").agg(
+        *[F.round(F.percentile("_lag", F.lit(q), F.col("_n")) / 1000, 3).alias(f"p{q * 100:g}_seconds") for q in percentiles]
+    ).select(F.col("_w.start").alias("window_start"), *[f"p{q * 100:g}_seconds" for q in percentiles])
+
+
 def pending_gauges(df: DataFrame, pending: Column, ts: str, now: Column, capacity: int | None = None) -> DataFrame:
     """Count and oldest age of pending rows; ``capacity`` adds the utilisation ratio."""
     gauges = df.agg(

@@ -155,17 +155,34 @@ def identity_conflicts(
 
 
 def resolve_receipts(
-    deliveries: DataFrame, manifests: DataFrame | None = None, order: list[str] | None = None
+    deliveries: DataFrame,
+    manifests: DataFrame | None = None,
+    order: list[str] | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Per batch id the first checksum wins.
 
     Adds ``receipt``: ``ACCEPTED`` for the first delivery of a new batch,
     ``ALREADY_ACCEPTED`` for the same checksum again, ``BATCH_CHECKSUM_CONFLICT`` for
-    another one. ``order`` must be total within a batch id.
+    another one. ``order`` must be total within a batch id. ``stored`` (batch_id,
+    object_key, checksum) are the objects of the store: one without a manifest, left by an
+    acceptance that broke off, decides the checksum of its batch and is used again as
+    ``reused_object_key``.
     """
     order = order or ["received_at", "delivery_id"]
+    columns = deliveries.columns
+    if stored is not None:
+        orphans = stored if manifests is None else stored.join(manifests.select("batch_id"), "batch_id", "left_anti")
+        orphans = orphans.groupBy("batch_id").agg(F.min(F.struct("object_key", "checksum")).alias("_o")).select(
+            "batch_id", F.col("_o.checksum").alias("_orphan"), F.col("_o.object_key").alias("_orphan_key")
+        )
+        deliveries = lookup_join(deliveries, orphans, ["batch_id"], ["_orphan", "_orphan_key"])
+    else:
+        none = F.lit(None).cast("string")
+        deliveries = deliveries.withColumns({"_orphan": none, "_orphan_key": none})
+    may_win = F.col("_orphan").isNull() | (F.col("_orphan") == F.col("checksum"))
     firsts = deliveries.groupBy("batch_id").agg(
-        F.min(F.struct(*order, "checksum")).alias("_first"), F.count(F.lit(1)).alias("_copies")
+        F.min(F.when(may_win, F.struct(*order, "checksum"))).alias("_first"), F.max("_orphan").alias("_found")
     )
     if manifests is not None:
         recorded = manifests.select("batch_id", F.col("checksum").alias("_recorded"))
@@ -173,9 +190,9 @@ def resolve_receipts(
     else:
         firsts = firsts.withColumn("_recorded", F.lit(None).cast("string"))
     firsts = firsts.select(
-        "batch_id", "_copies",
-        F.coalesce("_recorded", F.col("_first.checksum")).alias("_winner"),
-        F.when(F.col("_recorded").isNull(), F.struct(*[F.col(f"_first.{c}") for c in order])).alias("_opener"),
+        "batch_id",
+        F.coalesce("_recorded", "_found", F.col("_first.checksum")).alias("_winner"),
+        F.when(F.col("_recorded").isNull() & F.col("_first").isNotNull(), F.struct(*[F.col(f"_first.{c}") for c in order])).alias("_opener"),
     )
     joined = lookup_join(deliveries, firsts, ["batch_id"], ["_winner", "_opener"])
     return joined.withColumn(
@@ -183,7 +200,10 @@ def resolve_receipts(
         F.when(F.struct(*order).eqNullSafe(F.col("_opener")), F.lit("ACCEPTED"))
         .when(F.col("checksum") == F.col("_winner"), F.lit("ALREADY_ACCEPTED"))
         .otherwise(F.lit("BATCH_CHECKSUM_CONFLICT")),
-    ).drop("_winner", "_opener")
+    ).select(
+        *columns, "receipt",
+        *([] if stored is None else [F.when(F.col("receipt") == "ACCEPTED", F.col("_orphan_key")).alias("reused_object_key")]),
+    )
 
 
 # A rejection is recorded once per this key; a live run counts as one replay id.

@@ -87,4 +87,6 @@ def replay(
     runs = runs.withColumn("matching_batch_count", F.coalesce("matching_batch_count", F.lit(0))).withColumn(
         "status", F.when(F.col("matching_batch_count") == 0, F.lit("COMPLETED")).otherwise(F.lit("PENDING"))
     )
-    return Replayed(result, batches, rollup_replays(runs, batches))
+    ended = F.when(F.col("status").isin("COMPLETED", "FAILED"), processed_at)
+    runs = rollup_replays(runs, batches).withColumns({"started_at": processed_at, "completed_at": ended})
+    return Replayed(result, batches, runs)
