@@ -46,7 +46,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(table(spark, sf_dir, "documents")).select(
+    return language_model.score_all(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score")
     )
 

@@ -179,6 +179,35 @@ def test_language_model(spark, order, size):
     assert language_model.score(cases.no_documents(spark)).collect() == []
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_all_words(spark, order):
+    """More words than a closed vocabulary holds, most of them once: each is a word of its own, and no n-gram is dropped."""
+    rows = [r[:2] for r in cases.rows()] + [(900 + i, " ".join(f"u{i}x{j}" for j in range(7_000))) for i in range(10)]
+    rows += [(1000, "w1"), (1001, "only"), (1002, "w1 w2"), (1003, "two alone"), (1004, "w1 w2 w3"), (900, "u1x5 u1x6")]
+    by_doc = {}
+    for doc, text in rows:
+        by_doc.setdefault(doc, []).append(language_model.words_of(text))
+    counts = [Counter(tuple(t[i : i + k]) for texts in by_doc.values() for t in texts for i in range(len(t) - k + 1)) for k in range(1, order + 1)]
+    assert len(counts[0]) > language_model.VOCABULARY
+    total = sum(counts[0].values())
+
+    def s(gram):
+        if len(gram) == 1:
+            return counts[0][gram] / total
+        c = counts[len(gram) - 1][gram]
+        return c / counts[len(gram) - 2][gram[:-1]] if c else 0.4 * s(gram[1:])
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score_all(docs, order).collect()}
+    assert got.keys() == by_doc.keys()
+    for d, texts in by_doc.items():
+        expected = sum(math.log(s(tuple(t[max(0, j - order + 1) : j + 1]))) for t in texts for j in range(len(t)))
+        assert got[d].log_score == pytest.approx(expected, abs=1e-4)
+        assert got[d].n_words == sum(map(len, texts))
+        assert (got[d].mean_log_score is None) == (got[d].n_words == 0)
+    assert language_model.score_all(cases.no_documents(spark), order).collect() == []
+
+
 def brute_licenses(files):
     words = lambda t: re.findall(r"[a-z0-9+]+", (t or "").lower())
     templates = [(n, Counter(words(t))) for n, t in licenses.TEMPLATES]
