@@ -6,6 +6,10 @@ minima are tuned for recall (0.998 at the threshold) and exact Jaccard similarit
 sets decides. Linked pieces form components; a passage is a run of neighbouring pieces that occur
 elsewhere too, of at least ``MIN_WORDS`` words in all; one piece that does not, say for a changed
 word, may lie between two that do. Every occurrence of a piece but the first goes.
+
+Where texts have ``EXACT`` equal words in a row, wherever pieces, lines or sentences begin, those are a
+passage too. Each run of ``EXACT`` words has an anchor, the smallest hash of ``ANCHOR`` words in it; runs
+around anchors that occur more than once are named by the hash of all their words and counted.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 6, 2
 MIN_WORDS = 40
+EXACT = 50
+ANCHOR = 16
 MOST_BRIDGED = 1
 LONGEST = 64
 BLOCK = 2048
@@ -81,6 +87,22 @@ class Cut:
         names = _runs(self.word, self.first, self.first + self.count) | np.uint64(1)
         return np.where(self.count < SHINGLE, np.uint64(0), names).view(np.int64)
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, its number in the text, anchor's number in the text) of each run of ``EXACT`` words."""
+        none = np.empty(0, np.int64)
+        if len(self.word) < EXACT:
+            return none, none, none, none
+        text = np.searchsorted(self.text_start, self.word_start, "right") - 1
+        at = np.flatnonzero(text[: len(text) - EXACT + 1] == text[EXACT - 1 :])
+        begin = np.arange(len(self.word) - ANCHOR + 1)
+        grams = np.lib.stride_tricks.sliding_window_view(_runs(self.word, begin, begin + ANCHOR), EXACT - ANCHOR + 1)
+        nearest = np.concatenate([none, *(grams[at[k : k + 10_000]].argmin(axis=1) for k in range(0, len(at), 10_000))])
+        number = at - np.searchsorted(self.word_start, self.text_start)[text[at]]
+        return text[at], at, number, number + nearest
+
+    def places(self, word: np.ndarray) -> np.ndarray:
+        return self.place[np.searchsorted(self.first, word, "right") - 1]
+
     def words_of(self, piece: int) -> bytes:
         last = self.first[piece] + self.count[piece] - 1
         return self.joined[self.word_start[self.first[piece]] : self.word_end[last]]
@@ -200,10 +222,39 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = cut_texts(texts)
             names = cut.names()
             some = names != 0
+            at = cut.first[some] - np.searchsorted(cut.word_start, cut.text_start)[cut.text[some]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(ids, np.int64)[cut.text[some]]), pa.array(cut.place[some].astype(np.int32)), pa.array(names[some]),
-                 pa.array(cut.count[some].astype(np.int32))],
-                ["doc_id", "place", "piece", "n"],
+                 pa.array(cut.count[some].astype(np.int32)), pa.array(at.astype(np.int32))],
+                ["doc_id", "place", "piece", "n", "at"],
+            )
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, texts in _groups_of_texts(batch):
+            cut = cut_texts(texts)
+            text, word, number, anchor = cut.windows()
+            new = np.r_[True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])] if len(text) else np.empty(0, bool)
+            begin = (word - number + anchor)[new]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(ids, np.int64)[text[new]]), pa.array(anchor[new].astype(np.int32)), pa.array(_runs(cut.word, begin, begin + ANCHOR).view(np.int64))],
+                ["doc_id", "at", "anchor"],
+            )
+
+
+def _named_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of ``EXACT`` words around the listed anchors of each text."""
+    for batch in batches:
+        for ids, texts, anchors in zip(*([[x] for x in batch.column(i).to_pylist()] for i in range(3))):
+            cut = cut_texts(texts)
+            _, word, number, anchor = cut.windows()
+            some = np.isin(anchor, anchors[0])
+            word, number = word[some], number[some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(word), ids[0], np.int64)), pa.array(number.astype(np.int32)), pa.array(_runs(cut.word, word, word + EXACT).view(np.int64)),
+                 pa.array(cut.places(word).astype(np.int32)), pa.array(cut.places(word + EXACT - 1).astype(np.int32))],
+                ["doc_id", "at", "name", "low", "high"],
             )
 
 
@@ -378,12 +429,12 @@ def piece_links(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
 
 
 def repeated_pieces(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, place, n, run, component_id, removed) of the pieces of passages that occur more than once."""
+    """(doc_id, place, n, at, run, component_id, removed) of the pieces of passages that occur more than once."""
     nodes = materialize(connected_components(piece_links(docs, threshold, block)), "pieces")
-    found = materialize(_texts(docs).mapInArrow(_occurrences, "doc_id long, place int, piece long, n int"), "occurrences")
+    found = materialize(_texts(docs).mapInArrow(_occurrences, "doc_id long, place int, piece long, n int, at int"), "occurrences")
     named = materialize(
         found.join(nodes.toDF("node", "class"), found["piece"] == F.col("node"), "left")
-        .select("doc_id", "place", "n", F.coalesce("class", "piece").alias("class")), "named",
+        .select("doc_id", "place", "n", "at", F.coalesce("class", "piece").alias("class")), "named",
     )
     place = F.struct("doc_id", "place")
     # written first, so that the join deals out both sides anew and may split a hot class
@@ -395,35 +446,96 @@ def repeated_pieces(docs: DataFrame, threshold: float = THRESHOLD, min_words: in
     in_doc = Window.partitionBy("doc_id").orderBy("place")  # a document's pieces are bounded by its length
     apart = F.when(F.col("place") - F.lag("place").over(in_doc) <= 1 + MOST_BRIDGED, 0).otherwise(1)
     return (
-        repeated.select("doc_id", "place", "n", "first").distinct().withColumn("apart", apart)
+        repeated.select("doc_id", "place", "n", "at", "first").distinct().withColumn("apart", apart)
         .withColumn("run", F.struct("doc_id", F.sum("apart").over(in_doc).alias("run")))
         .withColumn("run_words", F.sum("n").over(Window.partitionBy("run")))
         .where(F.col("run_words") >= min_words)
-        .select("doc_id", "place", "n", F.col("run.run").alias("run"), F.col("first.doc_id").alias("component_id"),
+        .select("doc_id", "place", "n", "at", F.col("run.run").alias("run"), F.col("first.doc_id").alias("component_id"),
                 (F.struct("doc_id", "place") != F.col("first")).alias("removed"))
     )
 
 
+def equal_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, till, low, high, component_id, removed) of runs of words, ``EXACT`` at least, that occur more than once.
+
+    Words ``at`` to ``till`` of the text, in its pieces ``low`` to ``high``. Runs overlap; ``removed`` ones have their
+    first occurrence elsewhere. Of a run that overlaps its own first occurrence the rest goes.
+    """
+    texts = _texts(docs)
+    anchors = materialize(texts.mapInArrow(_anchors, "doc_id long, at int, anchor long"), "anchors")
+    repeated = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
+    around = materialize(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("at").alias("anchors")), "around")
+    windows = materialize(
+        bounded_batches(texts.join(around, "doc_id").select("doc_id", "text", "anchors"))
+        .mapInArrow(_named_windows, "doc_id long, at int, name long, low int, high int"), "windows",
+    )
+    place = F.struct("doc_id", "at")
+    firsts = materialize(
+        windows.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where(F.col("first") != F.col("last")).select("name", "first"), "first_windows",
+    )
+    own = F.col("first.doc_id") == F.col("doc_id")
+    found = (
+        windows.join(firsts, "name").withColumn("removed", place != F.col("first")).withColumn("till", F.col("at") + EXACT)
+        .withColumn("begin", F.when(own & F.col("removed"), F.greatest("at", F.col("first.at") + EXACT)).otherwise(F.col("at")))
+        .select("doc_id", "at", "begin", "till", "low", "high", F.col("first.doc_id").alias("component_id"), "removed").distinct()
+    )
+    # neighbours become one run: a document's windows are bounded by its length
+    by = Window.partitionBy("doc_id", "component_id", "removed").orderBy("at", "begin")
+    apart = F.when((F.col("at") - F.lag("at").over(by) <= 1) & (F.col("begin") <= F.lag("till").over(by)), 0).otherwise(1)
+    return (
+        found.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by)).groupBy("doc_id", "component_id", "removed", "run")
+        .agg(F.min("at").alias("at"), F.min("begin").alias("begin"), F.max("till").alias("till"), F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
+    )
+
+
+def _parts(docs: DataFrame, threshold: float, min_words: int, block: int) -> DataFrame:
+    """(doc_id, at, begin, till, low, high, component_id, removed, counted): repeated pieces, equal runs, and the spans of runs of pieces."""
+    pieces = materialize(
+        repeated_pieces(docs, threshold, min_words, block)
+        .withColumn("till", F.col("at") + F.col("n")), "repeated_pieces",
+    )
+    columns = ["doc_id", "at", "begin", "till", "low", "high", "component_id", "removed", "counted"]
+    one = pieces.select("doc_id", "at", F.col("at").alias("begin"), "till", F.col("place").alias("low"), F.col("place").alias("high"), "component_id", "removed", F.lit(True).alias("counted"))
+    span = pieces.groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.max("till").alias("till"), F.min("place").alias("low"), F.max("place").alias("high"), F.min("component_id").alias("component_id"))
+    span = span.select("doc_id", "at", F.col("at").alias("begin"), "till", "low", "high", "component_id", F.lit(False).alias("removed"), F.lit(False).alias("counted"))
+    return one.union(span).union(equal_runs(docs).withColumn("counted", F.lit(True)).select(columns))
+
+
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """One row for each repeated passage of a document: doc_id, first_piece, n_pieces, n_words, n_removed_words, component_id.
 
-    ``component_id`` is the smallest doc_id that has one of the passage's pieces first; documents
-    without such a passage have no row. Pieces stay at their first occurrence (smallest doc_id, then
-    place) and go elsewhere (``n_removed_words``). Null texts and doc_ids have no pieces, empty
-    texts neither; rows that share a doc_id and equal texts count once. Other columns are ignored.
+    Passages are runs of repeated pieces and runs of ``EXACT`` equal words; those that overlap are one, and
+    each word counts once. ``n_pieces`` are those with repeated words. ``component_id`` is the smallest doc_id
+    that has one of the passage's pieces or words first; documents without such a passage have no row. Words
+    stay at their first occurrence (smallest doc_id, then place) and go elsewhere (``n_removed_words``). Null
+    texts and doc_ids have no pieces, empty texts neither; rows that share a doc_id and equal texts count
+    once. Other columns are ignored.
     """
+    parts = _parts(docs, threshold, min_words, block)
+    before = Window.partitionBy("doc_id").orderBy("at", "till", "counted", "removed", "begin").rowsBetween(Window.unboundedPreceding, -1)
+    in_doc = Window.partitionBy("doc_id").orderBy("at", "till", "counted", "removed", "begin").rowsBetween(Window.unboundedPreceding, 0)
+    by_begin = Window.partitionBy("doc_id").orderBy("begin", "till").rowsBetween(Window.unboundedPreceding, -1)
+
+    def new_words(begin: str, which: str, over: Window):
+        reached = F.coalesce(F.max(F.when(F.col(which), F.col("till"))).over(over), F.lit(0))
+        return F.when(F.col(which), F.greatest(F.lit(0), F.col("till") - F.greatest(F.col(begin), reached))).otherwise(0)
+
+    apart = F.when(F.col("at") < F.max("till").over(before), 0).otherwise(1)
     return (
-        repeated_pieces(docs, threshold, min_words, block).groupBy("doc_id", "run")
-        .agg(F.min("place").cast("long").alias("first_piece"), F.count("*").alias("n_pieces"), F.sum("n").alias("n_words"),
-             F.sum(F.when(F.col("removed"), F.col("n")).otherwise(0)).alias("n_removed_words"), F.min("component_id").alias("component_id"))
+        parts.withColumn("apart", apart).withColumn("words", new_words("at", "counted", before)).withColumn("gone", new_words("begin", "removed", by_begin))
+        .withColumn("run", F.sum("apart").over(in_doc)).groupBy("doc_id", "run")
+        .agg(F.min("low").cast("long").alias("first_piece"),
+             F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("counted"), F.sequence("low", "high")))))).cast("long").alias("n_pieces"),
+             F.sum("words").cast("long").alias("n_words"), F.sum("gone").cast("long").alias("n_removed_words"), F.min("component_id").alias("component_id"))
         .drop("run")
     )
 
 
 def cut_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
-    """``docs`` with all removed pieces cut from ``text``; other columns, null texts and null ids stay as they are."""
-    gone = repeated_pieces(docs, threshold, min_words, block).where("removed").groupBy("doc_id").agg(
-        F.collect_set("place").alias("_gone")
+    """``docs`` with all removed words cut from ``text``; other columns, null texts and null ids stay as they are."""
+    gone = _parts(docs, threshold, min_words, block).where("removed and begin < till").groupBy("doc_id").agg(
+        F.collect_set(F.struct("begin", "till")).alias("_gone")
     ).withColumnRenamed("doc_id", "_id")
     names = list(docs.columns)
     at = names.index("text")
@@ -437,10 +549,12 @@ def cut_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
             for text, places in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if text is not None and places:
                     cut, raw = cut_texts([text]), text.encode("utf-8", "surrogatepass")
-                    kept, done = [], 0
-                    for k in sorted(places):
-                        kept.append(raw[done : cut.word_start[cut.first[k]]])
-                        done = cut.word_end[cut.first[k] + cut.count[k] - 1]
+                    kept, done, reached = [], 0, 0
+                    for part in sorted(places, key=lambda x: (x["begin"], x["till"])):
+                        begin, till = max(part["begin"], reached), min(part["till"], len(cut.word))
+                        if begin < till:
+                            kept.append(raw[done : cut.word_start[begin]])
+                            done, reached = cut.word_end[till - 1], till
                     text = b"".join([*kept, raw[done:]]).decode("utf-8", "surrogatepass")
                 texts.append(text)
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]

@@ -180,6 +180,28 @@ def test_passages_move_with_their_surroundings(spark):
     assert passages.repeated_passages(cases.no_documents(spark)).collect() == []
 
 
+def test_passages_of_any_shape(spark):
+    """Equal words at foreign offsets: no sentence ends, lines of three words, two sentences whose ends join foreign words."""
+    rng = random.Random(6)
+    fresh = iter(range(10**6))
+    some = lambda n: [f"z{next(fresh)}" for _ in range(n)]
+    plain, long, two = some(60), some(400), some(30) + some(30)
+    two[29] += "."
+    lines = lambda w: "\n".join(" ".join(w[i : i + 3]) for i in range(0, len(w), 3))
+    short, few = some(60), some(49)
+    say = " ".join
+    rows = [(1, say(some(7) + plain + some(90))), (2, say(some(41) + plain + some(3))), (3, say(some(5) + long)), (4, say(some(97) + long + some(9))),
+            (5, say(some(6)) + "\n" + lines(short) + "\n" + say(some(6))), (6, lines(some(1) + short)), (7, say(some(9) + two + some(8)) + "."), (8, say(some(13) + two + some(20)) + "."),
+            (9, say(some(5) + few + some(5))), (10, say(some(8) + few + some(2))), (11, "same " * 300)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed_words, r.component_id) for r in passages.repeated_passages(docs).collect()}
+    assert got == {1: (60, 0, 1), 2: (60, 60, 1), 3: (400, 0, 3), 4: (400, 400, 3), 5: (60, 0, 5), 6: (60, 60, 5), 7: (60, 0, 7), 8: (60, 60, 7), 11: (300, 250, 11)}
+    before = dict(rows)
+    for doc, text in ((r.doc_id, r.text) for r in passages.cut_passages(docs).collect()):
+        assert len(before[doc].split()) - len(text.split()) == got.get(doc, (0, 0))[1]
+
+
 def test_passage_components_match_brute_force(spark):
     rng = random.Random(9)
     words = [f"v{i}" for i in range(500)]
