@@ -1,8 +1,8 @@
 """Licence scans: sparse TF-IDF cosine to notice templates, then inheritance down the directories.
 
 Every line of a file (a possible header or notice) and the whole file are compared with the
-templates. Weights are term frequency times inverse document frequency over all files; words that no
-template has weigh most. An upper bound of the cosine, summed inside the scan, discards units
+templates. Weights are term frequency times inverse document frequency over all files, for words that no
+template has too: they are counted once it is known which units they matter for. An upper bound of the cosine, summed inside the scan, discards units
 that cannot reach the threshold; the rest are exploded to terms, weighed and joined exactly. A file
 without a notice of its own inherits from the nearest directory above it that has a licence
 file. Only DataFrame functions are used.
@@ -53,10 +53,11 @@ def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     )
 
 
-def candidate_units(files: DataFrame, templates: list[tuple[str, str]], threshold: float) -> tuple[DataFrame, DataFrame, Column]:
-    """(rows, vectors, weight of foreign words): rows has file, path and units, an array of (line, words) that may match.
+def candidate_units(files: DataFrame, templates: list[tuple[str, str]], threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, vectors, weights): rows has file, path and units, an array of (line, words) that may match.
 
-    ``vectors`` has the templates' terms with their inverse document frequency and unit weight.
+    ``vectors`` has the templates' terms with their inverse document frequency and unit weight, ``weights``
+    (term, idf) the inverse document frequency of all terms of the units.
     """
     spark = files.sparkSession
     vocabulary = template_terms(spark, templates)
@@ -66,7 +67,6 @@ def candidate_units(files: DataFrame, templates: list[tuple[str, str]], threshol
         seen.select(F.explode(F.concat("t", F.array(F.lit(""))))).toDF("term").groupBy("term").agg(F.count("*").alias("df")), "frequency"
     )
     total = (frequency.where("term = ''").agg(F.sum("df")).first()[0]) or 0
-    most = F.log(F.lit(1.0 + total)) + 1.0
     idf = (
         vocabulary.select("term").distinct().join(F.broadcast(frequency), "term", "left")
         .select("term", (F.log((1.0 + total) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
@@ -89,8 +89,8 @@ def candidate_units(files: DataFrame, templates: list[tuple[str, str]], threshol
         )
 
     def may_match(n: Column, own: Column, dot: Column, square: Column) -> Column:
-        """A squared cosine is at most dot^2 / (sum of squared weights), where tf^2 is at least tf."""
-        return (own >= LEAST_TERMS) & (dot * dot >= (threshold - 1e-9) ** 2 * (square + (n - own) * most * most))
+        """A squared cosine is at most dot^2 / (sum of squared weights), where tf^2 is at least tf and each idf at least 1."""
+        return (own >= LEAST_TERMS) & (dot * dot >= (threshold - 1e-9) ** 2 * (square + (n - own)))
 
     lines = F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), terms)
     marked = files.select("path", lines.alias("lines")).withColumn("bounds", F.transform("lines", bound))
@@ -108,19 +108,20 @@ def candidate_units(files: DataFrame, templates: list[tuple[str, str]], threshol
         ),
     )
     rows = materialize(marked.select(F.monotonically_increasing_id().alias("file"), "path", units.alias("units")), "units")
-    return rows, vectors, most
+    wanted = materialize(rows.select(F.explode(F.array_distinct(F.flatten(F.transform("units", lambda u: u["words"])))).alias("term")).distinct(), "wanted")
+    spread = materialize(files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "spread")
+    weights = wanted.join(spread, "term").select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    return rows, vectors, materialize(weights, "weights")
 
 
-def match_notices(rows: DataFrame, vectors: DataFrame, most: Column, threshold: float) -> DataFrame:
+def match_notices(rows: DataFrame, vectors: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
     """(file, line, licence, cosine): the best template of each unit of at least ``threshold``.
 
     ``line`` is the line from 0, or -1 for the whole file. Equal cosines are decided by the licence's name.
     """
     candidates = rows.select("file", F.explode("units").alias("u")).select("file", "u.line", "u.words")
     tf = candidates.select("file", "line", F.explode("words").alias("term")).groupBy("file", "line", "term").agg(F.count("*").alias("tf"))
-    values = tf.join(F.broadcast(vectors.select("term", "idf").distinct()), "term", "left").select(
-        "file", "line", "term", (F.col("tf") * F.coalesce("idf", most)).alias("w")
-    )
+    values = tf.join(weights, "term").select("file", "line", "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = values.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = values.join(F.broadcast(vectors.select("template", "licence", "term", "unit")), "term").groupBy("file", "line", "licence", "template").agg(
         F.sum(F.col("w") * F.col("unit")).alias("dot")
@@ -152,8 +153,8 @@ def scan_licenses(
     columns, whatever their names, are ignored; an empty table gives no rows.
     """
     plain = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    numbered, vectors, most = candidate_units(plain, templates, threshold)
-    notices = materialize(match_notices(numbered, vectors, most, threshold), "notices")
+    numbered, vectors, weights = candidate_units(plain, templates, threshold)
+    notices = materialize(match_notices(numbered, vectors, weights, threshold), "notices")
     best = notices.groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "line", "licence")).alias("own")).select(
         "file", F.col("own.licence").alias("own"), (-F.col("own.c")).alias("cosine"), F.col("own.line").alias("line")
     )

@@ -258,3 +258,17 @@ def test_licenses(spark):
     got = sorted(key((r.path, r.licence, r.inherited)) for r in licenses.scan_licenses(table_).collect())
     assert got == sorted(map(key, brute_licenses(files)))
     assert licenses.scan_licenses(table_.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", [100, 100_000])
+def test_common_foreign_words_weigh_little(spark, n):
+    """A notice among words that most files have is found however many files there are; rare words still hide it."""
+    from pyspark.sql import functions as F
+
+    files = spark.range(n).select(F.concat(F.lit("p/"), "id").alias("path"), F.when(
+        F.col("id") == 0, "This file is released under the MIT license. See LICENSE for details.").when(
+        F.col("id") == 1, "Zork is released under qux MIT foo license bar baz quux zip zap.").otherwise(
+        "see this file for details of what it does").alias("text"))
+    got = {r.path: r for r in licenses.scan_licenses(files).where("path in ('p/0', 'p/1')").collect()}
+    assert got["p/0"].licence == "MIT" and got["p/0"].line == -1 and not got["p/0"].inherited
+    assert got["p/1"].line is None
