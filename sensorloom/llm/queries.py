@@ -14,11 +14,14 @@ from sensorloom.llm import (
     embeddings,
     language,
     language_model,
+    lexical,
     licenses,
     line_dedup,
+    negatives,
     passages,
     quality,
     simhash,
+    topk,
 )
 from sensorloom.llm.tables import table
 
@@ -76,11 +79,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("doc_id", F.substring_index("path", "/", -1).cast("long"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.noisy_labels(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_bpe, op3_simhash, op4_language_id, op5_lm_scoring, op6_embedding_dedup,
         op7_substring_dedup, op8_quality_classifier, op9_decontamination, op10_license_scan,
+        op11_topk, op12_lexical_search, op13_hard_negatives,
     )
 }
 
@@ -89,4 +105,7 @@ ORACLES: dict[str, str] = {
     "op5_lm_scoring": language_model.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_license_scan": licenses.ORACLE_SQL,
+    "op11_topk": topk.ORACLE_SQL,
+    "op12_lexical_search": lexical.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }
