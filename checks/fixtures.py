@@ -202,6 +202,46 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def unsent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge rows from their writing to their upload: up to half an hour, some two hours, a few never."""
+    event_id = F.col("event_id")
+    wait = F.when(event_id % 500 == 1, F.lit(7200)).otherwise(event_id * 7919 % 1800)
+    sent = F.timestamp_micros(F.unix_micros("ts") + wait * 1_000_000)
+    return events(spark, sf_dir).select(
+        F.when(F.col("user_id") % 2 == 0, F.lit("edge-0")).otherwise(F.concat(F.lit("edge-"), (F.col("user_id") % 5).cast("string"))).alias("collector_id"),
+        F.col("ts").alias("persisted_at"), F.when(event_id % 4001 != 4000, sent).alias("sent_at"),
+    )
+
+
+def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event a batch, published within a minute and a half."""
+    wait = batch_number() * 7919 % 90
+    return manifest(spark, sf_dir).select(
+        F.col("received_at").alias("created_at"), F.timestamp_micros(F.unix_micros("received_at") + wait * 1_000_000).alias("published_at")
+    )
+
+
+def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads and raw store operations, sixty times as dense as the events, with stretches of failures."""
+    first = bounds(spark, sf_dir)["first"]
+    at = F.timestamp_micros(F.unix_micros(F.lit(first)) + F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) / 60))
+    event_id = F.col("event_id")
+    return events(spark, sf_dir).select(
+        F.when(event_id % 2 == 0, F.lit("upload")).otherwise(F.lit("raw-store")).alias("operation"), at.alias("started_at"),
+        F.timestamp_micros(F.unix_micros(at) + 250_000).alias("completed_at"),
+        F.when((event_id % 5 == 3) & (F.floor(event_id / 300) % 3 != 0), F.lit("FAILED")).otherwise(F.lit("COMPLETED")).alias("status"),
+    )
+
+
+def many_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay request of ten minutes around every event."""
+    around = lambda seconds: F.timestamp_micros(F.unix_micros("ts") + seconds * 1_000_000)
+    return events(spark, sf_dir).select(
+        F.concat(F.lit("replay-"), F.col("event_id").cast("string")).alias("replay_id"), F.lit("facility-alpha").alias("facility_id"),
+        around(-300).alias("from_time"), around(300).alias("to_time"),
+    )
+
+
 def replay_requests(spark: SparkSession, sf_dir: str) -> list[ReplayRequest]:
     b = bounds(spark, sf_dir)
     day = b["first"].replace(hour=0, minute=0, second=0, microsecond=0)
@@ -320,6 +360,20 @@ heartbeat AS (
     event_id % 1000 AS spool_observation_count, event_id % 600 AS oldest_unsent_observation_age_seconds,
     event_type <> 'error' AS source_connected FROM events
 ),
+unsent AS (
+  SELECT CASE WHEN user_id % 2 = 0 THEN 'edge-0' ELSE 'edge-' || (user_id % 5)::VARCHAR END AS collector_id, ts AS persisted_at,
+    CASE WHEN event_id % 4001 <> 4000 THEN ts + CASE WHEN event_id % 500 = 1 THEN 7200 ELSE event_id * 7919 % 1800 END * INTERVAL 1 SECOND END AS sent_at
+  FROM events
+),
+outbox AS (
+  SELECT received_at AS created_at, received_at + (batch_no * 7919 % 90) * INTERVAL 1 SECOND AS published_at FROM manifest
+),
+operation AS (
+  SELECT CASE WHEN event_id % 2 = 0 THEN 'upload' ELSE 'raw-store' END AS operation,
+    make_timestamp(epoch_us(first_ts) + (epoch_us(ts) - epoch_us(first_ts)) // 60 + 250000) AS completed_at,
+    CASE WHEN event_id % 5 = 3 AND event_id // 300 % 3 <> 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status
+  FROM events, bounds
+),
 request AS (
   SELECT '00000000-0000-4000-9000-000000000001' AS replay_id, day0 + INTERVAL 10 DAY AS from_time,
     day0 + INTERVAL 11 DAY AS to_time, last_ts + INTERVAL 2 DAY + INTERVAL 1 MINUTE AS requested_at FROM bounds

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.fixtures import plain, sql
 from sensorloom.functions.identity import checksum, content_digest
-from sensorloom.operators import aggregate, alerts, documents, evaluate, fleet, identity, order, query, validate, work
+from sensorloom.operators import aggregate, alerts, documents, evaluate, fleet, identity, order, query, series, validate, work
 from sensorloom.operators.aggregate import COUNTS
+from sensorloom.plans import job
 from sensorloom.plans.accept import accept_batches
 from sensorloom.plans.process import process_batches
 from sensorloom.plans.replay import replay
+from sensorloom.rules import MappingRule, MappingRules
 from sensorloom.runtime import configure, materialize, scratch_path
 from sensorloom.sources import canonical, history, raw
+from sensorloom.sources.runs import RunStore
 from sensorloom.streaming import ingest, metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,6 +300,24 @@ def tag_mapping_by_distinct_tag(spark, d):
     return evaluate.map_tags(fx.delivery(spark, d), fx.MAPPING_1, strategy="distinct").select(*_TAGS.split(", "))
 
 
+def _many_rules() -> MappingRules:
+    """The built-in rules among thousands that other controllers need, some of which share their beginning or have none."""
+    others = [
+        MappingRule(rf"CTRL_{n}\.UNIT\[(?<zone>\d{{2}})\]\.TEMP_PV", "unit-${zone}", "environment.air_temperature", "degC", "Cel")
+        for n in range(5000)
+    ]
+    late = [
+        MappingRule(r"CTRL_A\.ZONE\[(?<zone>\d{2})\]\.[A-Z_]+_PV", "late-${zone}", "environment.air_temperature", "degF", "Cel"),
+        MappingRule(r"(?:CTRL|PLC)_A\.ZONE\[(?<zone>\d{2})\]\.FAN_OUT", "loose-${zone}", "ventilation.output", "1", "%"),
+    ]
+    return MappingRules(fx.MAPPING_1.version, (*others[:2500], *fx.MAPPING_1.rules, *others[2500:], *late))
+
+
+@register("tag_mapping_many_rules", sql(f"SELECT {_TAGS} FROM tagged", mapping="1.1.0"))
+def tag_mapping_many_rules(spark, d):
+    return evaluate.map_tags(fx.delivery(spark, d), _many_rules()).select(*_TAGS.split(", "))
+
+
 @register("asset_template", sql("SELECT DISTINCT source_tag, 'zone-' || regexp_extract(source_tag, 'ZONE\\[(\\d{2})\\]', 1) AS asset_id FROM delivery"))
 def asset_template(spark, d):
     pattern, template = r"CTRL_A\.ZONE\[(?<zone>\d{2})\]\.\w+_\w+", "zone-${zone}"
@@ -445,6 +466,44 @@ def identity_conflicts(spark, d):
     return identity.identity_conflicts(accepted, _canonical(spark, d))
 
 
+def _laid_out(spark, d) -> RunStore:
+    """The stored identities and rejections as ledgers of one recorded run."""
+    store = RunStore(spark, scratch_path(spark, "ledgers"), buckets=16)
+    done = fx.stored(spark, d)
+    store.write_ledger("first", "identities", done.canonical.select(*job.IDENTITY.names), job.BY_ID)
+    store.write_ledger("first", "audit", identity.rejection_keys(done.rejections.where("substring(observation_id, 1, 1) < '6'")), identity.REJECTION_KEY)
+    store.record("first", 0)
+    return store
+
+
+@register("identity_conflicts_by_bucket", ORACLES["identity_conflicts"])
+def identity_conflicts_by_bucket(spark, d):
+    moved = (fx.batch_number() >= 1_000_000_000) & (F.col("source_sequence") % 2 == 1)
+    shifted = F.timestamp_micros(F.unix_micros("observed_at") + 7_000_000)
+    accepted = _accepted(spark, d).withColumn("observed_at", F.when(moved, shifted).otherwise(F.col("observed_at")))
+    store = _laid_out(spark, d)
+    return identity.identity_conflicts(accepted, job.identities(store), align=store.aligned)
+
+
+@register("dedup_against_buckets", ORACLES["dedup_against_history"])
+def dedup_against_buckets(spark, d):
+    firsts = identity.first_arrivals(_accepted(spark, d, fx.MAPPING_1))
+    store = _laid_out(spark, d)
+    return identity.mark_known(firsts, job.identities(store), store.aligned).select("observation_id", "known")
+
+
+@register(
+    "rejection_merge_by_bucket",
+    sql("""SELECT observation_id, batch_id, reason_code FROM evaluated
+    WHERE reason_code IS NOT NULL AND observation_id >= '6' GROUP BY ALL"""),
+)
+def rejection_merge_by_bucket(spark, d):
+    """Three of eight rejections are recorded already, in an audit bucketed by its whole key."""
+    store = _laid_out(spark, d)
+    audit = store.read_ledger("audit", job.AUDIT, identity.REJECTION_KEY)
+    return identity.merge_rejections(audit, fx.stored(spark, d).rejections, store.aligned).select("observation_id", "batch_id", "reason_code")
+
+
 @register(
     "receipt_resolution",
     sql(""", receipt AS (
@@ -626,6 +685,16 @@ def reconciliation_summary(spark, d):
 _OVERLAP = "manifest JOIN request ON minimum_observed_at < to_time AND maximum_observed_at >= from_time"
 
 
+@register(
+    "replay_selection_many",
+    sql("""SELECT 'replay-' || event_id::VARCHAR AS replay_id, batch_id, received_at FROM manifest JOIN events
+      ON minimum_observed_at < ts + INTERVAL 300 SECOND AND maximum_observed_at >= ts - INTERVAL 300 SECOND"""),
+)
+def replay_selection_many(spark, d):
+    """A request around every event: batches and requests meet in time bins."""
+    return work.overlapping_batches(fx.manifest(spark, d), fx.many_requests(spark, d)).select("replay_id", "batch_id", "received_at")
+
+
 @register("replay_selection", sql(f"SELECT replay_id, batch_id, received_at FROM {_OVERLAP}"))
 def replay_selection(spark, d):
     return work.select_replay_batches(fx.manifest(spark, d), fx.replay_requests(spark, d))
@@ -851,6 +920,132 @@ def stage_failure_alert(spark, d):
     return alerts.evaluate_alert(stats, "DatabaseWritesFailing")
 
 
+# Gauges sampled once a minute over all days that have events.
+_STEP = 60
+_SAMPLES = f"""sample AS (SELECT make_timestamp(t) AS sampled_at FROM (SELECT unnest(range(epoch_us(date_trunc('day', first_ts)),
+  epoch_us(date_trunc('day', last_ts) + INTERVAL 1 DAY), {_STEP}000000)) AS t FROM bounds))"""
+
+
+def _pending_sql(rows: str, opened: str, closed: str, keys: str = "") -> str:
+    """Pending rows and oldest age by a range join of every sample with the rows open at it."""
+    k, on = (f"{keys}, ", f"g.{keys} = r.{keys} AND ") if keys else ("", "")
+    grid = f"(SELECT {k}sampled_at FROM sample" + (f", (SELECT DISTINCT {keys} FROM {rows}))" if keys else ")")
+    return f"""SELECT {f'g.{keys}, ' if keys else ''}g.sampled_at, count(r.opened) AS pending,
+      coalesce(max((epoch_us(g.sampled_at) - epoch_us(r.opened)) // 1000000), 0)::BIGINT AS oldest_age_seconds
+      FROM {grid} g LEFT JOIN (SELECT {k}{opened} AS opened, coalesce({closed}, TIMESTAMP '2100-01-01') AS closed FROM {rows}) r
+      ON {on}r.opened <= g.sampled_at AND r.closed > g.sampled_at GROUP BY ALL"""
+
+
+def _sampled_sql(series: str, condition: str, name: str, columns: str, keys: str = "") -> str:
+    """Alert states over a series without gaps."""
+    rule = alerts.ALERTS[name]
+    part = f"PARTITION BY {keys} " if keys else ""
+    return sql(f"""SELECT '{name}' AS alert, '{rule.severity}' AS severity, {columns}, CASE WHEN active THEN since END AS active_since,
+      CASE WHEN NOT active THEN 'inactive' WHEN epoch_us(sampled_at) - epoch_us(since) >= {rule.for_seconds}000000 THEN 'firing' ELSE 'pending' END AS state
+      FROM (SELECT *, min(CASE WHEN active THEN sampled_at END) OVER (PARTITION BY {f'{keys}, ' if keys else ''}island) AS since FROM
+        (SELECT *, count(CASE WHEN NOT active THEN 1 END) OVER ({part}ORDER BY sampled_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM
+          (SELECT *, coalesce({condition}, false) AS active FROM gauge)))""", extra=f"{_SAMPLES}, gauge AS ({series})")
+
+
+def _over(spark, d) -> tuple:
+    """The sampled days and the step."""
+    b = fx.bounds(spark, d)
+    midnight = lambda t: t.replace(hour=0, minute=0, second=0, microsecond=0)
+    return F.lit(midnight(b["first"])), F.lit(midnight(b["last"]) + timedelta(days=1)), _STEP
+
+
+def _sampled_alert(gauge: DataFrame, name: str, keys: list[str] = []) -> DataFrame:
+    return alerts.evaluate_alert(gauge, name, keys, [series.AT], _STEP)
+
+
+_EDGE_SQL = _pending_sql("unsent", "persisted_at", "sent_at", "collector_id")
+
+
+@register("pending_series", sql(f"SELECT *, pending / 20 AS utilization_ratio FROM gauge", extra=f"{_SAMPLES}, gauge AS ({_EDGE_SQL})"))
+def pending_series(spark, d):
+    return series.pending_series(fx.unsent(spark, d), "persisted_at", "sent_at", *_over(spark, d), ["collector_id"], capacity=20)
+
+
+@register(
+    "spool_backlog_alert",
+    _sampled_sql(_EDGE_SQL, "pending / 20 >= 0.8", "CollectorSpoolBacklog", "collector_id, sampled_at, pending", "collector_id"),
+)
+def spool_backlog_alert(spark, d):
+    gauge = series.pending_series(fx.unsent(spark, d), "persisted_at", "sent_at", *_over(spark, d), ["collector_id"], capacity=20)
+    return _sampled_alert(gauge, "CollectorSpoolBacklog", ["collector_id"]).drop("utilization_ratio", "oldest_age_seconds")
+
+
+_REPORTED_SQL = """SELECT b.collector_id, sampled_at, arg_max(age, (received_at, beat)) AS oldest_age_seconds FROM sample s
+  JOIN (SELECT 'edge-' || (user_id % 3)::VARCHAR AS collector_id, ts AS received_at, event_id AS beat, event_id % 600 AS age FROM events) b
+  ON b.received_at <= s.sampled_at AND b.received_at >= s.sampled_at - INTERVAL 1 HOUR GROUP BY ALL"""
+_OLD_EDGE = _sampled_sql(_EDGE_SQL, "oldest_age_seconds > 300", "CollectorOldUnsentData", "'spool' AS branch, collector_id, sampled_at, oldest_age_seconds", "collector_id")
+_OLD_REPORTED = _sampled_sql(
+    f"SELECT collector_id, sampled_at, oldest_age_seconds FROM (SELECT * FROM sample, (SELECT DISTINCT 'edge-' || (user_id % 3)::VARCHAR AS collector_id FROM events)) LEFT JOIN ({_REPORTED_SQL}) USING (collector_id, sampled_at)",
+    "oldest_age_seconds > 300", "CollectorOldUnsentData", "'heartbeat' AS branch, collector_id, sampled_at, oldest_age_seconds", "collector_id",
+)
+
+
+@register("old_unsent_data_alert", f"SELECT * FROM ({_OLD_EDGE}) UNION ALL SELECT * FROM ({_OLD_REPORTED})")
+def old_unsent_data_alert(spark, d):
+    """Both branches of the rule: the age in the collector's own store, and the age its heartbeats report, while they are an hour old at most."""
+    over = _over(spark, d)
+    own = series.pending_series(fx.unsent(spark, d), "persisted_at", "sent_at", *over, ["collector_id"]).drop("pending")
+    beats = fx.heartbeats(spark, d).withColumn(
+        "collector_id", F.concat(F.lit("edge-"), (F.substring_index("collector_id", "-", -1).cast("long") % 3).cast("string"))
+    )
+    reported = series.level_series(
+        beats, "received_at", "oldest_unsent_observation_age_seconds", *over, ["collector_id"], stale_seconds=3600, tie_break=("beat",)
+    ).withColumnRenamed("oldest_unsent_observation_age_seconds", "oldest_age_seconds")
+    alert = lambda gauge, branch: _sampled_alert(gauge, "CollectorOldUnsentData", ["collector_id"]).withColumn("branch", F.lit(branch))
+    return alert(own, "spool").unionByName(alert(reported, "heartbeat"))
+
+
+@register(
+    "collector_offline_alert",
+    _sampled_sql(
+        """SELECT sampled_at, ((epoch_us(sampled_at) - epoch_us(received_at)) // 1000000)::BIGINT AS heartbeat_age_seconds
+          FROM sample ASOF LEFT JOIN (SELECT DISTINCT received_at FROM heartbeat) ON sampled_at >= received_at""",
+        "heartbeat_age_seconds > 90", "CollectorOffline", "sampled_at, heartbeat_age_seconds",
+    ),
+)
+def collector_offline_alert(spark, d):
+    age = series.age_series(fx.heartbeats(spark, d), "received_at", *_over(spark, d))
+    return _sampled_alert(age.withColumnRenamed("age_seconds", "heartbeat_age_seconds"), "CollectorOffline")
+
+
+@register(
+    "outbox_backlog_alert",
+    _sampled_sql(_pending_sql("outbox", "created_at", "published_at"), "pending > 10 OR oldest_age_seconds > 30",
+                 "TransactionalOutboxBacklog", "sampled_at, pending, oldest_age_seconds"),
+)
+def outbox_backlog_alert(spark, d):
+    gauge = series.pending_series(fx.outbox(spark, d), "created_at", "published_at", *_over(spark, d))
+    return _sampled_alert(gauge, "TransactionalOutboxBacklog")
+
+
+def _failures_sql(name: str, operation: str) -> str:
+    rule = alerts.ALERTS[name]
+    return _alert_sql(
+        f"SELECT {_bucket('completed_at', 300)} AS window_start, count(CASE WHEN status <> 'COMPLETED' THEN 1 END) AS failures "
+        f"FROM operation WHERE operation = '{operation}' GROUP BY 1", "failures > 3", name, rule.severity, rule.for_seconds, "window_start, failures",
+    )
+
+
+def _failures_alert(spark, d, name: str, operation: str):
+    stats = aggregate.stage_stats(fx.operations(spark, d).where(F.col("operation") == operation), "5 minutes").select("window_start", "failures")
+    return alerts.evaluate_alert(stats, name)
+
+
+@register("upload_failures_alert", _failures_sql("CollectorUploadFailures", "upload"))
+def upload_failures_alert(spark, d):
+    return _failures_alert(spark, d, "CollectorUploadFailures", "upload")
+
+
+@register("raw_store_failures_alert", _failures_sql("RawStoreOperationsFailing", "raw-store"))
+def raw_store_failures_alert(spark, d):
+    return _failures_alert(spark, d, "RawStoreOperationsFailing", "raw-store")
+
+
 _B = aggregate.LAG_BOUNDS
 _LE = ", ".join(f"count(CASE WHEN lag_ms <= {b}000 THEN 1 END) AS le_{b}" for b in _B)
 _P99 = " ".join(
@@ -872,6 +1067,21 @@ def lag_summary(spark, d):
     return aggregate.lag_summary(_canonical(spark, d), "1 day")
 
 
+@register(
+    "processing_lag_alert",
+    _alert_sql(
+        f"""SELECT window_start, samples, CASE {_P99} ELSE 300.0::DOUBLE END AS p99_seconds
+        FROM (SELECT {_bucket('processed_at', 300)} AS window_start, count(*) AS samples, {_LE}
+          FROM (SELECT processed_at, (epoch_us(processed_at) - epoch_us(observed_at)) // 1000 AS lag_ms FROM canonical
+            WHERE quality = 'GOOD' AND observed_at <= processed_at) GROUP BY 1)""",
+        "p99_seconds > 30", "ProcessingLagHigh", "warning", 300, "window_start, samples, p99_seconds",
+    ),
+)
+def processing_lag_alert(spark, d):
+    lag = aggregate.lag_summary(_canonical(spark, d), "5 minutes").select("window_start", "samples", "p99_seconds")
+    return alerts.evaluate_alert(lag, "ProcessingLagHigh")
+
+
 @register(
     "lag_percentiles",
     sql(f"""SELECT {_bucket('processed_at', 86400)} AS window_start, round(quantile_cont(lag_ms, 0.5) / 1000, 3) AS p50_seconds, round(quantile_cont(lag_ms, 0.99) / 1000, 3) AS p99_seconds
@@ -1124,6 +1334,44 @@ _REPEATED = "repeated AS (SELECT * FROM delivery UNION ALL SELECT * FROM deliver
 _REPEATED_SQL = f"{_REPEATED},{fx.decide_sql('3', '1.1.0', 'repeated')}"
 
 
+class _Killed(RunStore):
+    """Loses its job after the first output of a run."""
+
+    def write(self, run, name, rows, day=None, order=()):
+        super().write(run, name, rows, day, order)
+        raise InterruptedError(name)
+
+
+@register(
+    "process_rerun",
+    sql(f"""SELECT 'canonical' AS part, batch_id, observation_id, flags AS detail FROM canonical
+      UNION ALL SELECT DISTINCT 'rejection', batch_id, observation_id, reason_code FROM evaluated WHERE reason_code IS NOT NULL
+      UNION ALL SELECT 'attempt', batch_id, NULL, concat_ws('/', accepted_count, flagged_count, rejected_count, duplicate_count)
+      FROM (SELECT batch_id, {_COUNTS_SQL} FROM decided GROUP BY 1)""", mapping="1.1.0"),
+)
+def process_rerun(spark, d):
+    """Two runs, the second killed after its first output, run again and then called once more: the same as one run."""
+    store, b = RunStore(spark, scratch_path(spark, "runs"), buckets=16), fx.bounds(spark, d)
+    middle = F.lit(b["first"] + (b["last"] - b["first"]) / 2)
+    run = lambda s, name, rows: job.process_run(s, name, rows, fx.MAPPING_1, fx.QUALITY)
+    early, late = (fx.delivery(spark, d).where(c) for c in (F.col("received_at") < middle, F.col("received_at") >= middle))
+    run(store, "early", early)
+    try:
+        run(_Killed(spark, store.root, store.buckets), "late", late)
+    except InterruptedError:
+        run(store, "late", late)
+    run(store, "early", early)
+    run(store, "late", late)
+    counts = F.concat_ws("/", *[F.col(c).cast("string") for c in COUNTS])
+    return (
+        job.canonical(store).select(F.lit("canonical").alias("part"), F.col("raw_batch_id").alias("batch_id"), "observation_id", F.array_join("flags", ",").alias("detail"))
+    ).unionByName(
+        job.rejections(store).select(F.lit("rejection").alias("part"), "batch_id", "observation_id", F.col("reason_code").alias("detail"))
+    ).unionByName(
+        job.attempts(store).select(F.lit("attempt").alias("part"), "batch_id", F.lit(None).cast("string").alias("observation_id"), counts.alias("detail"))
+    )
+
+
 def _repeated(spark, d):
     """All deliveries, some batches of them read twice in one run."""
     once = fx.delivery(spark, d)
@@ -1153,7 +1401,8 @@ def process_rejections(spark, d):
     )
 
 
-_BROKEN = """CASE WHEN batch_no % 33 = 0 THEN 'Stored raw batch violates the worker envelope limits'
+_BROKEN = """CASE WHEN batch_no % 31 = 4 THEN 'Raw object checksum verification failed'
+  WHEN batch_no % 33 = 0 OR batch_no % 39 = 3 OR batch_no % 41 = 5 THEN 'Stored raw batch violates the worker envelope limits'
   WHEN batch_no % 35 = 1 THEN 'Batch manifest is missing: ' || batch_id
   WHEN batch_no % 37 = 2 THEN 'Stored raw batch holds an observation without event time' END"""
 
@@ -1166,7 +1415,7 @@ _BROKEN = """CASE WHEN batch_no % 33 = 0 THEN 'Stored raw batch violates the wor
         extra=f"sound AS (SELECT * FROM delivery WHERE {_BROKEN} IS NULL),{fx.decide_sql('4', '1.1.0', 'sound')}"),
 )
 def process_failures(spark, d):
-    """Unreadable documents, missing manifests and missing event times fail their batch only."""
+    """Changed bytes, unreadable documents, a foreign version, too many observations, missing manifests and missing times fail their batch only."""
     n = fx.batch_number()
     rows = fx.delivery(spark, d)
     unreadable = n % 33 == 0
@@ -1175,10 +1424,13 @@ def process_failures(spark, d):
             "item_order": F.when(~unreadable, F.col("item_order")),
             "source_sequence": F.when(~unreadable, F.col("source_sequence")),
             "observed_at": F.when(~(unreadable | (n % 35 != 1) & (n % 37 == 2) & (F.col("item_order") == 0)), F.col("observed_at")),
+            "contract_version": F.concat(F.lit("raw-observation.batch.v"), F.when(n % 39 == 3, F.lit("9")).otherwise(F.lit("1"))),
+            "item_count": F.when(n % 41 == 5, F.lit(501)).otherwise(F.lit(4)),
         }
     )
-    manifests = fx.manifest(spark, d).where((fx.batch_number() % 35 != 1) | (fx.batch_number() % 33 == 0)).select("batch_id", "received_at")
-    done = process_batches(damaged, fx.MAPPING_1, fx.QUALITY, manifests=manifests)
+    manifests = fx.manifest(spark, d).where((n % 35 != 1) | (n % 31 == 4)).select("batch_id", "received_at", "checksum")
+    digests = manifests.select("batch_id", F.when(n % 31 == 4, F.lit("sha256:changed")).otherwise(F.col("checksum")).alias("checksum"))
+    done = process_batches(damaged, fx.MAPPING_1, fx.QUALITY, manifests=manifests, digests=digests)
     return done.attempts.select("batch_id", "status", "last_error", "total_count")
 
 

@@ -34,3 +34,22 @@ def bad_identifier(c: Column) -> Column:
 
 def bad_uuid(c: Column) -> Column:
     return c.isNull() | ~c.rlike(LENIENT_UUID)
+
+
+def literal_prefix(pattern: str) -> str:
+    """The text that everything a regular expression matches as a whole begins with; may be shorter than the longest."""
+    if "|" in pattern or pattern.startswith("(?"):
+        return ""
+    out, at = [], 0
+    while at < len(pattern):
+        char = pattern[at]
+        if char == "\\":
+            if at + 1 == len(pattern) or pattern[at + 1].isalnum():  # a class, an anchor or a reference
+                break
+            char, at = pattern[at + 1], at + 1
+        elif char in "^$.[]()*+?{}":
+            break
+        out.append(char)
+        at += 1
+    # a quantifier may leave out the character before it
+    return "".join(out[:-1] if at < len(pattern) and pattern[at] in "*?{" else out)

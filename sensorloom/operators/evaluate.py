@@ -2,7 +2,8 @@
 
 Rules are pinned for a run and few, so they become CASE expressions inside one
 whole-stage-codegen span: no shuffle, no join and a single read of the raw data. With
-the strategy ``distinct`` each distinct tag is matched once and joined back instead.
+the strategy ``distinct`` each distinct tag is matched once and joined back instead; many
+rules are found through an index of their literal beginnings.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.identity import observation_id
-from sensorloom.functions.text import is_blank
+from sensorloom.functions.text import is_blank, literal_prefix
 from sensorloom.functions.timing import floor_seconds
 from sensorloom.operators.scan import lookup_join
 from sensorloom.operators.validate import field_limit_failure
@@ -97,18 +98,54 @@ def _map_distinct(obs: DataFrame, mapping: MappingRules) -> DataFrame:
     return lookup_join(obs, _map_inline(tags, mapping), ["source_tag"], mapped)
 
 
+def _index_rows(obs: DataFrame, mapping: MappingRules) -> DataFrame:
+    """One row a rule: its place, the literal text every tag it matches begins with, and its pattern."""
+    return obs.sparkSession.createDataFrame(
+        [(i, literal_prefix(r.tag_pattern), whole(r.tag_pattern), r.zone_group, r.asset_id_template, r.signal_id,
+          r.expected_source_unit, r.canonical_unit) for i, r in enumerate(mapping.rules)],
+        "_rule int, _prefix string, _pattern string, _group int, _template string, signal_id string, expected_unit string, unit string",
+    )
+
+
+def _map_indexed(obs: DataFrame, mapping: MappingRules) -> DataFrame:
+    """Distinct tags meet an index of the rules' literal beginnings in an equi-join; patterns are tried on these hits only.
+
+    A tag is looked up once for each length of beginning that the rules have. Rules without one are tried on every tag.
+    """
+    lengths = sorted({len(literal_prefix(r.tag_pattern)) for r in mapping.rules})
+    tags = obs.select("source_tag").where("source_tag is not null").distinct()
+    probes = tags.withColumn("_length", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(
+        F.length("source_tag") >= F.col("_length")
+    )
+    hits = (
+        probes.withColumn("_prefix", F.expr("left(source_tag, _length)"))
+        .join(_index_rows(obs, mapping), "_prefix")
+        .where(F.expr("source_tag rlike _pattern"))
+    )
+    carried = ["_rule", "_pattern", "_group", "_template", "signal_id", "expected_unit", "unit"]
+    first = hits.groupBy("source_tag").agg(F.min_by(F.struct(*carried), "_rule").alias("_first")).select("source_tag", "_first.*")
+    zone = F.expr("regexp_extract(source_tag, _pattern, _group)")
+    mapped = first.withColumn("asset_id", F.replace(F.col("_template"), F.lit("${zone}"), zone))
+    return lookup_join(obs, mapped, ["source_tag"], ["asset_id", "signal_id", "expected_unit", "unit"])
+
+
+#: Rules up to which each tag is tried on all of them inside the projection.
+INLINE_RULES = 64
+
+
 def map_tags(
     obs: DataFrame,
     mapping: MappingRules,
-    strategy: str = "inline",
+    strategy: str | None = None,
 ) -> DataFrame:
     """Add ``asset_id``, ``signal_id``, ``expected_unit`` and ``unit`` of the first matching rule.
 
-    All four are null for an unknown tag.
+    All four are null for an unknown tag. ``strategy`` is ``inline`` (a CASE over the rules), ``distinct`` (the
+    same for distinct tags, joined back) or ``indexed`` (an index of the rules' literal beginnings); by default
+    the number of rules decides.
     """
-    if strategy == "inline":
-        return _map_inline(obs, mapping)
-    return _map_distinct(obs, mapping)
+    strategy = strategy or ("inline" if len(mapping.rules) <= INLINE_RULES else "indexed")
+    return {"inline": _map_inline, "distinct": _map_distinct, "indexed": _map_indexed}[strategy](obs, mapping)
 
 
 def missing_tag() -> Column:

@@ -14,6 +14,13 @@ from sensorloom.schemas import ARRIVAL, DELIVERY, SOURCE_KEY, TOTAL_ARRIVAL
 # Stored canonical rows, or a function that opens them only if they are needed.
 History = DataFrame | Callable[[], DataFrame]
 
+# Deals rows out by keys like a history that is stored bucketed by them, so that a join leaves the history in place.
+Align = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def _aligned(rows: DataFrame, keys: list[str], align: Align | None) -> DataFrame:
+    return rows if align is None else align(rows, keys)
+
 
 def not_rejected() -> Column:
     return F.col("outcome") != "REJECTED"
@@ -40,17 +47,19 @@ def first_arrivals(accepted: DataFrame, order: list[str] = ARRIVAL, carry: tuple
     )
 
 
-def mark_known(accepted: DataFrame, canonical: DataFrame) -> DataFrame:
+def mark_known(accepted: DataFrame, canonical: DataFrame, align: Align | None = None) -> DataFrame:
     """Add ``known``: the id is already stored. ``accepted`` should hold one row per id."""
     stored = canonical.select("observation_id", F.lit(True).alias("_stored"))
     return (
-        accepted.join(stored, "observation_id", "left")
+        _aligned(accepted, ["observation_id"], align).join(stored, "observation_id", "left")
         .withColumn("known", F.coalesce("_stored", F.lit(False)))
         .drop("_stored")
     )
 
 
-def known_ids(firsts: DataFrame, canonical: History, positions: DataFrame | None = None) -> DataFrame:
+def known_ids(
+    firsts: DataFrame, canonical: History, positions: DataFrame | None = None, align: Align | None = None
+) -> DataFrame:
     """The ids of ``firsts`` (one row per id) that are stored already.
 
     An id contains its source key and sequence, so one beyond the highest stored
@@ -60,7 +69,11 @@ def known_ids(firsts: DataFrame, canonical: History, positions: DataFrame | None
     """
     if positions is None:
         canonical = canonical() if callable(canonical) else canonical
-        return firsts.select("observation_id").join(canonical.select("observation_id"), "observation_id", "left_semi")
+        wanted, stored = firsts.select("observation_id"), canonical.select("observation_id")
+        if align is None:
+            return wanted.join(stored, "observation_id", "left_semi")
+        # a semi-join moves below what its left side does, so the dealing out stands on the right
+        return stored.join(align(wanted, ["observation_id"]), "observation_id", "left_semi")
     placed = lookup_join(firsts, positions, SOURCE_KEY, ["max_sequence"])
     doubtful = materialize(
         placed.where("source_sequence <= max_sequence").select("observation_id", "source_sequence"), "doubtful"
@@ -70,7 +83,8 @@ def known_ids(firsts: DataFrame, canonical: History, positions: DataFrame | None
         return doubtful.select("observation_id")
     canonical = canonical() if callable(canonical) else canonical
     history = canonical.where(F.col("source_sequence").between(span["low"], span["high"])).select("observation_id")
-    return history.join(doubtful.select("observation_id"), "observation_id", "left_semi")
+    wanted = _aligned(doubtful.select("observation_id"), ["observation_id"], align)
+    return history.join(wanted, "observation_id", "left_semi")
 
 
 def mark_canonical(
@@ -78,6 +92,7 @@ def mark_canonical(
     canonical_prior: History | None = None,
     order: list[str] | None = None,
     positions_prior: DataFrame | None = None,
+    align: Align | None = None,
 ) -> DataFrame:
     """Add ``is_canonical``: first non-rejected arrival of an id that is not stored yet.
 
@@ -95,7 +110,7 @@ def mark_canonical(
     else:
         carried = first_arrivals(accepted, order, (*SOURCE_KEY, "source_sequence"))
         carried = materialize(carried, "firsts")
-        stored = known_ids(carried, canonical_prior, positions_prior).withColumn("_stored", F.lit(True))
+        stored = known_ids(carried, canonical_prior, positions_prior, align).withColumn("_stored", F.lit(True))
         firsts = carried.join(stored, "observation_id", "left").withColumn(
             "_known", F.coalesce("_stored", F.lit(False))
         )
@@ -123,7 +138,7 @@ def dedup_first(
 
 
 def identity_conflicts(
-    accepted: DataFrame, canonical: DataFrame | None = None, order: list[str] = ARRIVAL
+    accepted: DataFrame, canonical: DataFrame | None = None, order: list[str] = ARRIVAL, align: Align | None = None
 ) -> DataFrame:
     """Ids seen with another event time than the stored or first one.
 
@@ -143,7 +158,7 @@ def identity_conflicts(
     )
     if canonical is not None:
         stored = canonical.select("observation_id", F.col("observed_at").alias("_stored_at"))
-        holders = holders.join(stored, "observation_id", "left")
+        holders = _aligned(holders, ["observation_id"], align).join(stored, "observation_id", "left")
     else:
         holders = holders.withColumn("_stored_at", F.lit(None).cast("timestamp"))
     holders = holders.select("observation_id", "_copies", F.coalesce("_stored_at", "_holder_at").alias("stored_observed_at"))
@@ -211,15 +226,27 @@ NO_REPLAY = "00000000-0000-0000-0000-000000000000"
 REJECTION_KEY = ["observation_id", "batch_id", "mapping_version", "quality_rules_version", "_replay", "reason_code"]
 
 
-def merge_rejections(existing: DataFrame | None, new: DataFrame) -> DataFrame:
-    """The rejections of ``new`` that are not recorded yet, one per key, to be appended."""
+def rejection_keys(rejections: DataFrame) -> DataFrame:
+    """The key of each rejection, as an audit laid out by it holds them."""
+    return rejections.withColumn("_replay", F.coalesce("replay_id", F.lit(NO_REPLAY))).select(*REJECTION_KEY)
+
+
+def merge_rejections(existing: DataFrame | None, new: DataFrame, align: Align | None = None) -> DataFrame:
+    """The rejections of ``new`` that are not recorded yet, one per key, to be appended.
+
+    ``existing`` holds rejections or the keys of ``rejection_keys``.
+    """
     keyed = new.withColumn("_replay", F.coalesce("replay_id", F.lit(NO_REPLAY)))
     rest = [c for c in new.columns if c not in REJECTION_KEY]
     ranked = ["created_at", *[c for c in rest if c != "created_at"]]
     once = keyed.groupBy(*REJECTION_KEY).agg(F.min(F.struct(*ranked)).alias("_row"))
     if existing is not None:
-        recorded = existing.withColumn("_replay", F.coalesce("replay_id", F.lit(NO_REPLAY))).select(*REJECTION_KEY)
-        once = once.join(recorded, REJECTION_KEY, "left_anti")
+        recorded = existing.select(*REJECTION_KEY) if "_replay" in existing.columns else rejection_keys(existing)
+        if align is None:
+            once = once.join(recorded, REJECTION_KEY, "left_anti")
+        else:  # an anti-join would move below the new dealing out and undo it
+            found = align(once, REJECTION_KEY).join(recorded.withColumn("_recorded", F.lit(True)), REJECTION_KEY, "left")
+            once = found.where("_recorded is null").drop("_recorded")
     return once.select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in new.columns])
 
 

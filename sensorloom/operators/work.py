@@ -40,14 +40,65 @@ def replay_runs(spark, requests: list[ReplayRequest]) -> DataFrame:
     )
 
 
-def overlapping_batches(manifests: DataFrame, requests: list[ReplayRequest]) -> DataFrame:
-    """Manifest rows whose event interval touches a request, with its ``replay_id``."""
-    wanted = replay_runs(manifests.sparkSession, requests).select("replay_id", "facility_id", "from_time", "to_time")
+#: Requests that a plain join compares with every batch of their facility.
+FEW_REQUESTS = 8
+#: Days of a time bin, times LEVEL_FACTOR for each level above.
+BIN_DAYS, LEVELS, LEVEL_FACTOR = 1, 6, 16
+
+
+def _bin(micros: Column, level: Column) -> Column:
+    width = F.lit(BIN_DAYS * 86_400_000_000) * F.pow(F.lit(LEVEL_FACTOR), level).cast("long")
+    return F.floor(micros / width).cast("long")
+
+
+def overlapping_intervals(
+    left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str]
+) -> DataFrame:
+    """Rows of ``left`` and ``right`` with equal ``keys`` whose spans meet: an equi-join on time bins.
+
+    A left span holds both its ends, a right span its start only. A left row lies on the level whose bins are no
+    shorter than its span, so it is in two bins at most, however long it is; a right row is in the bins of its span on
+    every level. A pair is kept in the first bin the two have in common. Spans with a null end, or that end before they
+    start, meet nothing.
+    """
+    low, high = (F.unix_micros(c) for c in left_span)
+    longest = F.greatest(F.col("_high") - F.col("_low"), F.lit(1)) / F.lit(BIN_DAYS * 86_400_000_000)
+    level = F.least(F.greatest(F.ceil(F.log(longest) / F.log(F.lit(float(LEVEL_FACTOR)))), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+    spread = (
+        left.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_level", level)
+        .withColumn("_bin", F.explode(F.sequence(_bin(F.col("_low"), F.col("_level")), _bin(F.col("_high"), F.col("_level")))))
+    )
+    start, end = (F.unix_micros(c) for c in right_span)
+    wanted = (
+        right.withColumns({"_start": start, "_end": end}).where("_start < _end")
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+        .withColumn("_bin", F.explode(F.sequence(_bin(F.col("_start"), F.col("_level")), _bin(F.col("_end") - 1, F.col("_level")))))
+    )
+    first_common = F.greatest(_bin(F.col("_low"), F.col("_level")), _bin(F.col("_start"), F.col("_level")))
+    return (
+        spread.join(wanted, [*keys, "_level", "_bin"])
+        .where((F.col("_low") < F.col("_end")) & (F.col("_high") >= F.col("_start")) & (F.col("_bin") == first_common))
+        .drop("_low", "_high", "_start", "_end", "_level", "_bin")
+    )
+
+
+def overlapping_batches(manifests: DataFrame, requests: list[ReplayRequest] | DataFrame) -> DataFrame:
+    """Manifest rows whose event interval touches a request, with its ``replay_id``.
+
+    Many requests, or a table of them (replay_id, facility_id, from_time, to_time), meet the batches in time bins, so the
+    pairs that are compared grow with the pairs that overlap.
+    """
+    few = isinstance(requests, list) and len(requests) <= FEW_REQUESTS
+    table = replay_runs(manifests.sparkSession, requests) if isinstance(requests, list) else requests
+    wanted = table.select("replay_id", "facility_id", "from_time", "to_time")
+    if not few:
+        spans = ("minimum_observed_at", "maximum_observed_at"), ("from_time", "to_time")
+        return overlapping_intervals(manifests, wanted, ["facility_id"], *spans).drop("from_time", "to_time")
     overlaps = (F.col("minimum_observed_at") < F.col("to_time")) & (F.col("maximum_observed_at") >= F.col("from_time"))
     return manifests.join(wanted, "facility_id").where(overlaps).drop("from_time", "to_time")
 
 
-def select_replay_batches(manifests: DataFrame, requests: list[ReplayRequest]) -> DataFrame:
+def select_replay_batches(manifests: DataFrame, requests: list[ReplayRequest] | DataFrame) -> DataFrame:
     """The batches to replay, per request in receipt order."""
     return (
         overlapping_batches(manifests, requests)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom import schemas
 from sensorloom.operators.aggregate import COUNTS, batch_outcome_counts
 from sensorloom.operators.evaluate import evaluate_observations, numeric_value
-from sensorloom.operators.identity import History, mark_canonical, merge_rejections, not_rejected
+from sensorloom.operators.identity import Align, History, mark_canonical, merge_rejections, not_rejected
 from sensorloom.operators.order import compare_with_earlier, merge_positions, raise_out_of_order, source_positions
 from sensorloom.rules import MappingRules, QualityRules
 from sensorloom.runtime import materialize
@@ -18,6 +18,8 @@ from sensorloom.schemas import DELIVERY, SOURCE_KEY, TOTAL_ARRIVAL
 
 ERROR = "batch_error"
 RECEIPT = ["received_at", "processing_attempt_count"]
+#: What the checks of a batch need of each of its rows, where the input has it.
+CHECKED = ["contract_version", "item_count", "digest_failed"]
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ class Processed:
 
 
 def decide(
-    evaluated: DataFrame, canonical_prior: History | None = None, positions_prior: DataFrame | None = None
+    evaluated: DataFrame, canonical_prior: History | None = None, positions_prior: DataFrame | None = None, align: Align | None = None
 ) -> DataFrame:
     """Final outcome of every evaluated observation; ``evaluated`` is a stored table with a delivery number.
 
@@ -45,7 +47,7 @@ def decide(
     slim = evaluated.where(not_rejected()).select(
         "observation_id", *dict.fromkeys([*SOURCE_KEY, *TOTAL_ARRIVAL, "source_sequence", "observed_at"])
     )
-    marked = mark_canonical(slim, canonical_prior, TOTAL_ARRIVAL, positions_prior)
+    marked = mark_canonical(slim, canonical_prior, TOTAL_ARRIVAL, positions_prior, align)
     compared = compare_with_earlier(marked, positions_prior, TOTAL_ARRIVAL)
     exceptions = materialize(
         compared.where("out_of_order or not is_canonical").select(DELIVERY, "is_canonical", "out_of_order"), "exceptions"
@@ -65,26 +67,47 @@ def decide(
     )
 
 
-def with_receipts(batches: DataFrame, manifests: DataFrame) -> DataFrame:
+def with_receipts(batches: DataFrame, manifests: DataFrame, digests: DataFrame | None = None) -> DataFrame:
     """Batches (``batch_id`` or ``batchId``) with receipt time and attempt count of their manifest.
 
     Joined before the observations are exploded, this moves one row for each batch. A
-    batch without a manifest gets no receipt time.
+    batch without a manifest gets no receipt time. ``digests`` (batch_id, checksum) are computed anew from
+    the stored bytes: with them ``digest_failed`` tells whether any object of the batch differs from the
+    manifest's checksum, or none was found.
     """
     key = "batchId" if "batchId" in batches.columns else "batch_id"
     receipts = manifests.select(
-        F.col("batch_id").alias("_receipt_id"), *[c for c in RECEIPT if c in manifests.columns]
+        F.col("batch_id").alias("_receipt_id"), *[c for c in [*RECEIPT, *(["checksum"] if digests is not None else [])] if c in manifests.columns]
     )
-    return batches.drop(*RECEIPT).join(receipts, batches[key] == F.col("_receipt_id"), "left").drop("_receipt_id")
-
-
-def batch_error() -> Column:
+    if digests is not None:
+        computed = digests.groupBy(F.col("batch_id").alias("_receipt_id")).agg(
+            F.min("checksum").alias("_least"), F.max("checksum").alias("_greatest")
+        )
+        same = (F.col("_least") == F.col("checksum")) & (F.col("_greatest") == F.col("checksum"))
+        receipts = (
+            receipts.join(computed, "_receipt_id", "left")
+            .withColumn("digest_failed", ~F.coalesce(same, F.lit(False)))
+            .drop("_least", "_greatest", "checksum")
+        )
+    return batches.drop(*RECEIPT, "digest_failed").join(receipts, batches[key] == F.col("_receipt_id"), "left").drop("_receipt_id")
+
+
+def batch_error(columns: list[str]) -> Column:
     """Why a batch cannot be processed, seen at one of its rows; null if nothing is wrong with it.
 
-    An unreadable document or an empty batch is a row without an item.
+    The checks run in order: stored bytes, then the document's contract version and number of observations,
+    then its manifest and times. Those of ``CHECKED`` need their column. An unreadable document or an empty batch is a row
+    without an item.
     """
+    checked = {c: F.col(c) for c in CHECKED if c in columns}
+    none = F.lit(False)
+    limits = F.col("item_order").isNull()
+    if "contract_version" in checked:
+        limits = limits | ~checked["contract_version"].eqNullSafe(schemas.RAW_BATCH_CONTRACT)
+    limits = limits | (checked.get("item_count", F.lit(0)) > schemas.MAX_OBSERVATIONS)
     return (
-        F.when(F.col("item_order").isNull(), F.lit("Stored raw batch violates the worker envelope limits"))
+        F.when(F.coalesce(checked.get("digest_failed", none), none), F.lit("Raw object checksum verification failed"))
+        .when(limits, F.lit("Stored raw batch violates the worker envelope limits"))
         .when(F.col("received_at").isNull(), F.concat(F.lit("Batch manifest is missing: "), F.coalesce("batch_id", F.lit(""))))
         .when(F.col("observed_at").isNull(), F.lit("Stored raw batch holds an observation without event time"))
     )
@@ -99,6 +122,8 @@ def process_batches(
     positions_prior: DataFrame | None = None,
     processed_at: Column | None = None,
     replay_id: str | None = None,
+    digests: DataFrame | None = None,
+    align: Align | None = None,
 ) -> Processed:
     """One evaluation of ``obs``, written once, and its exceptions, read by the outputs.
 
@@ -106,18 +131,19 @@ def process_batches(
     compact per-source maxima, derived from it when not given. Running the same input
     against its own result adds no canonical row, and a batch that ``obs`` holds twice is
     stored once, its second copy being duplicates. A batch that cannot be processed has
-    no outcome but a ``FAILED`` attempt with the reason; the others go on.
+    no outcome but a ``FAILED`` attempt with the reason; the others go on. ``digests`` of the stored
+    objects are verified against ``manifests``. ``align`` deals new rows out like a history that is laid out by id.
     """
     if "raw_value" in obs.columns:
         obs = numeric_value(obs)
     if manifests is not None:
-        obs = with_receipts(obs, manifests)
+        obs = with_receipts(obs, manifests, digests)
     if processed_at is not None:
         obs = obs.withColumn("processed_at", processed_at)
     obs = obs.withColumn("source_sequence", F.coalesce("source_sequence", F.lit(0).cast("long")))
     evaluated = evaluate_observations(obs, mapping, quality).withColumns(
-        {"replay_id": F.lit(replay_id).cast("string"), ERROR: batch_error(), DELIVERY: F.monotonically_increasing_id()}
-    )
+        {"replay_id": F.lit(replay_id).cast("string"), ERROR: batch_error(obs.columns), DELIVERY: F.monotonically_increasing_id()}
+    ).drop(*CHECKED)
     # Three branches read the evaluation: decode, join and match rules only once.
     evaluated = materialize(evaluated, "evaluated")
     attempt = F.sha2(
@@ -130,7 +156,7 @@ def process_batches(
     if positions_prior is None and canonical_prior is not None:
         canonical_prior = canonical_prior() if callable(canonical_prior) else canonical_prior
         positions_prior = materialize(source_positions(canonical_prior), "positions")
-    decided = decide(evaluated, canonical_prior, positions_prior)
+    decided = decide(evaluated, canonical_prior, positions_prior, align)
     canonical = canonical_of(decided)
     reached = source_positions(canonical)
     return Processed(

@@ -76,20 +76,23 @@ def scan_batch_documents(spark: SparkSession, path: str, multiline: bool = True)
 def explode_observations(batches: DataFrame) -> DataFrame:
     """One row per observation with its order in the batch; a batch without any gives one empty row.
 
-    A missing sequence counts as zero.
+    A missing sequence counts as zero. Each row carries its batch's contract version and number of observations.
     """
-    kept = [c for c in ("received_at", "processing_attempt_count", "object_path") if c in batches.columns]
+    kept = [c for c in ("received_at", "processing_attempt_count", "object_path", "digest_failed") if c in batches.columns]
     exploded = batches.select(
         F.col("batchId").alias("batch_id"),
         F.col("collectorId").alias("collector_id"),
         F.col("collectorVersion").alias("collector_version"),
         F.col("facilityId").alias("facility_id"),
         F.col("createdAt").alias("created_at"),
+        F.col("contractVersion").alias("contract_version"),
+        F.coalesce(F.size("observations"), F.lit(0)).alias("item_count"),
         *kept,
         F.posexplode_outer("observations").alias("item_order", "_o"),
     )
     return exploded.select(
-        "batch_id", "collector_id", "collector_version", "facility_id", "created_at", *kept, "item_order",
+        "batch_id", "collector_id", "collector_version", "facility_id", "created_at", "contract_version", "item_count",
+        *kept, "item_order",
         F.col("_o.sourceSystem").alias("source_system"),
         F.col("_o.sourceEpoch").alias("source_epoch"),
         F.when(F.col("_o").isNotNull(), F.coalesce("_o.sourceSequence", F.lit(0))).alias("source_sequence"),

@@ -38,7 +38,7 @@ def test_tags_map_to_asset_and_signal(spark):
     assert decide(spark, rows, V1)[3].signal_id == "environment.air_temperature"
 
 
-@pytest.mark.parametrize("strategy", ["inline", "distinct"])
+@pytest.mark.parametrize("strategy", ["inline", "distinct", "indexed"])
 def test_first_matching_rule_wins(spark, strategy):
     rules = MappingRules(
         "controller-a-mapping-9.9.9",
