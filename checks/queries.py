@@ -1082,6 +1082,31 @@ def processing_lag_alert(spark, d):
     return alerts.evaluate_alert(lag, "ProcessingLagHigh")
 
 
+@register(
+    "lag_sketch",
+    sql(f"""SELECT {_bucket('processed_at', 21600)} - k * INTERVAL 6 HOUR AS window_start, count(*) AS samples, true AS p50_within, true AS p99_within
+    FROM canonical, (SELECT unnest(range(4)) AS k) WHERE quality = 'GOOD' AND observed_at <= processed_at GROUP BY 1"""),
+)
+def lag_sketch(spark, d):
+    """Sliding days from sketches of six hours: whether the exact ranks of the sketched percentiles are within three times the stated error."""
+    samples = _canonical(spark, d)
+    panes = materialize(aggregate.lag_sketches(samples, "6 hours"), "panes")
+    found = materialize(aggregate.sketched_percentiles(panes, "1 day", "6 hours"), "percentiles")
+    fresh = samples.where("quality = 'GOOD' and observed_at <= processed_at").select(
+        F.window("processed_at", "1 day", "6 hours")["start"].alias("window_start"),
+        (F.floor((F.unix_micros("processed_at") - F.unix_micros("observed_at")) / F.lit(1000)) / 1000).alias("lag"),
+    )
+    error = 3 * aggregate.rank_error()
+
+    def within(q: float, column: str):
+        below, upto = (F.count_if(c) / F.count("*") for c in (F.col("lag") < F.col(column), F.col("lag") <= F.col(column)))
+        return (below <= q + error) & (upto >= q - error)
+
+    return fresh.join(found, "window_start").groupBy("window_start", "samples").agg(
+        within(0.5, "p50_seconds").alias("p50_within"), within(0.99, "p99_seconds").alias("p99_within")
+    )
+
+
 @register(
     "lag_percentiles",
     sql(f"""SELECT {_bucket('processed_at', 86400)} AS window_start, round(quantile_cont(lag_ms, 0.5) / 1000, 3) AS p50_seconds, round(quantile_cont(lag_ms, 0.99) / 1000, 3) AS p99_seconds
@@ -1596,6 +1621,21 @@ def stream_outcome_rates(spark, d):
     return metrics.read_rates(spark, f"{out}/rates", "5 minutes")
 
 
+@register(
+    "stream_rates_tiered",
+    sql(f"""SELECT {_bucket('processed_at', 300)} AS window_start, outcome, count(*) AS observations, count(*) / 300.0::DOUBLE AS per_second
+    FROM decided GROUP BY 1, 2"""),
+)
+def stream_rates_tiered(spark, d):
+    """All outcomes in many micro-batches, whose counts are merged in tiers."""
+    out, landing = scratch_path(spark, "rates"), scratch_path(spark, "landing")
+    outcomes = _outcomes(spark, d).select("processed_at", "outcome")
+    outcomes.repartition(20).write.parquet(landing)
+    stream = spark.readStream.schema(outcomes.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    metrics.start_rates(stream, f"{out}/checkpoint", f"{out}/rates", "1 minute").awaitTermination()
+    return metrics.read_rates(spark, f"{out}/rates", "5 minutes")
+
+
 @register("stream_heartbeats", sql(_FLEET.format(status=_LIVE)))
 def stream_heartbeats(spark, d):
     out, landing = scratch_path(spark, "fleet"), scratch_path(spark, "landing")

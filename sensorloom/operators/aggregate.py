@@ -222,6 +222,39 @@ def lag_percentiles(samples: DataFrame, window: str, percentiles: tuple[float, .
     ).select(F.col("_w.start").alias("window_start"), *[f"p{q * 100:g}_seconds" for q in percentiles])
 
 
+SKETCH_SIZE = 400
+
+
+def rank_error(size: int = SKETCH_SIZE) -> float:
+    """By how much the rank of a sketched quantile may miss, at 99 % confidence; the fit published for this sketch."""
+    return 2.296 / size**0.9723
+
+
+def lag_sketches(samples: DataFrame, pane: str, size: int = SKETCH_SIZE, ts: str = "processed_at") -> DataFrame:
+    """(pane_start, samples, sketch): the lags of each pane in milliseconds, in a sketch of bounded size to be stored.
+
+    Sketches of any panes merge into those of longer windows, so days of lags are never read again.
+    """
+    fresh = samples.where((F.col("quality") == "GOOD") & (F.col("observed_at") <= F.col("processed_at"))).withColumn(
+        "_lag", lag_millis(F.col("processed_at"), F.col("observed_at"))
+    )
+    return fresh.groupBy(F.window(ts, pane).alias("_p")).agg(
+        F.count(F.lit(1)).alias("samples"), F.kll_sketch_agg_bigint("_lag", size).alias("sketch")
+    ).select(F.col("_p.start").alias("pane_start"), "samples", "sketch")
+
+
+def sketched_percentiles(
+    panes: DataFrame, window: str, slide: str | None = None, percentiles: tuple[float, ...] = (0.5, 0.99)
+) -> DataFrame:
+    """Percentiles in seconds of tumbling or sliding windows from stored panes; ranks are within ``rank_error``."""
+    at = F.window("pane_start", window, slide) if slide else F.window("pane_start", window)
+    merged = panes.groupBy(at.alias("_w")).agg(F.sum("samples").alias("samples"), F.kll_merge_agg_bigint("sketch").alias("_s"))
+    return merged.select(
+        F.col("_w.start").alias("window_start"), "samples",
+        *[(F.kll_sketch_get_quantile_bigint("_s", F.lit(q)) / 1000).alias(f"p{q * 100:g}_seconds") for q in percentiles],
+    )
+
+
 def pending_gauges(df: DataFrame, pending: Column, ts: str, now: Column, capacity: int | None = None) -> DataFrame:
     """Count and oldest age of pending rows; ``capacity`` adds the utilisation ratio."""
     gauges = df.agg(

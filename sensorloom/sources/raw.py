@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,24 +191,64 @@ def scan_object_digests(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def scan_object_sizes(spark: SparkSession, root: str, max_compressed: int = schemas.MAX_COMPRESSED_BYTES) -> DataFrame:
-    """Compressed and, for objects within the compressed limit, decompressed length."""
-    compressed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.gz")
-        .load(root)
-        .select(F.col("path").alias("object_key"), "length")
+#: Bytes that are inflated at a time, and of objects sent to Python at a time.
+INFLATE_STEP, BATCH_BYTES = 64 * 1024, "16m"
+
+
+def inflated_length(content: bytes, limit: int) -> int | None:
+    """Length of gzip data once inflated, counted up to ``limit`` + 1; null if it is not gzip data or breaks off.
+
+    Never holds more than INFLATE_STEP inflated bytes.
+    """
+    total, left = 0, content
+    while left:
+        inflate = zlib.decompressobj(wbits=31)
+        while not inflate.eof:
+            try:
+                total += len(inflate.decompress(left, INFLATE_STEP))
+            except zlib.error:
+                return None
+            if total > limit:
+                return limit + 1
+            left = inflate.unconsumed_tail
+            if not left and not inflate.eof:
+                total += len(inflate.flush())  # what the window still holds
+                return total if inflate.eof and total <= limit else (limit + 1 if total > limit else None)
+        left = inflate.unused_data
+    return total if content else None
+
+
+def _measure(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = [inflated_length(c.as_py(), limit) for c in batch.column("content")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("object_key"), batch.column("length"), pa.array(lengths, pa.int64())], ["object_key", "length", "decompressed_length"]
+            )
+
+    return run
+
+
+def scan_object_sizes(
+    spark: SparkSession, root: str, max_compressed: int = schemas.MAX_COMPRESSED_BYTES,
+    max_decompressed: int = schemas.MAX_DECOMPRESSED_BYTES,
+) -> DataFrame:
+    """Compressed and, for objects within the compressed limit, decompressed length.
+
+    Larger objects are not opened. Inflating stops at ``max_decompressed``, so an object that expands without end is
+    counted as one byte more than that and costs no more memory than any other. Damaged objects have no decompressed length.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(root)
+    measured = (
+        files.where(F.col("length") <= max_compressed)
+        .select(F.col("path").alias("object_key"), "length", "content")
+        .mapInArrow(_measure(max_decompressed), "object_key string, length long, decompressed_length long")
     )
-    # File metadata is filtered before any text is expanded.
-    text = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.gz")
-        .text(root, wholetext=True)
-        .where(F.col("_metadata.file_size") <= max_compressed)
-        .select(F.col("_metadata.file_path").alias("object_key"), F.octet_length("value").cast("long").alias("decompressed_length"))
+    refused = files.where(F.col("length") > max_compressed).select(
+        F.col("path").alias("object_key"), "length", F.lit(None).cast("long").alias("decompressed_length")
     )
-    return compressed.join(text, "object_key", "left")
+    return measured.unionByName(refused)
 
 
 def write_raw_batches(batches: DataFrame, root: str, known: DataFrame | None = None) -> None:

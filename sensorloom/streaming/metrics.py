@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sensorloom.operators.fleet import latest_heartbeats
 from sensorloom.operators.aggregate import outcome_rates
-from sensorloom.streaming.ingest import AVAILABLE_NOW, MICRO_BATCH, read_before
+from sensorloom.streaming import tiers
+from sensorloom.streaming.ingest import AVAILABLE_NOW, MICRO_BATCH
 
 
 def start_rates(
@@ -16,12 +17,13 @@ def start_rates(
 ) -> StreamingQuery:
     """Write the counts that each micro-batch adds to its windows of processing time.
 
-    Counts add up whenever they come, so no row is dropped for being late and no state is kept.
+    Counts add up whenever they come, so no row is dropped for being late and no state is kept. The counts of
+    earlier micro-batches are summed in tiers, so their number does not grow with that of the micro-batches.
     """
+    combine = lambda stored: stored.groupBy("window_start", *by).agg(F.sum("observations").alias("observations"))
 
     def effect(batch: DataFrame, micro_batch: int) -> None:
-        added = outcome_rates(batch, window, by).drop("per_second")
-        added.write.mode("overwrite").parquet(f"{out}/{MICRO_BATCH}={micro_batch}")
+        tiers.add(outcome_rates(batch, window, by).drop("per_second"), out, micro_batch, combine)
 
     return (
         outcomes.writeStream.foreachBatch(effect)
@@ -33,7 +35,7 @@ def start_rates(
 
 def read_rates(spark: SparkSession, out: str, window: str, by: tuple[str, ...] = ("outcome",), slide: str | None = None) -> DataFrame:
     """Counts and rates of all windows; with ``slide`` the stored windows are the panes of longer ones."""
-    stored = spark.read.parquet(out).groupBy("window_start", *by).agg(F.sum("observations").alias("observations"))
+    stored = tiers.read(spark, out).groupBy("window_start", *by).agg(F.sum("observations").alias("observations"))
     whole = F.window("window_start", window, slide) if slide else F.window("window_start", window)
     counted = stored.groupBy(whole.alias("_w"), *by).agg(F.sum("observations").alias("observations"))
     seconds = (F.unix_micros("_w.end") - F.unix_micros("_w.start")) / F.lit(1_000_000)
@@ -48,7 +50,8 @@ def stream_heartbeats(
     """Upsert the last heartbeat per collector; ``OFFLINE`` is decided when the status is read."""
 
     def effect(batch: DataFrame, micro_batch: int) -> None:
-        latest_heartbeats(batch, tie_break).write.mode("overwrite").parquet(f"{out}/{MICRO_BATCH}={micro_batch}")
+        latest = latest_heartbeats(batch, tie_break).withColumn(MICRO_BATCH, F.lit(micro_batch).cast("long"))
+        tiers.add(latest, out, micro_batch, _last_writes)
 
     return (
         heartbeats.writeStream.foreachBatch(effect)
@@ -58,14 +61,17 @@ def stream_heartbeats(
     )
 
 
-def read_fleet_status(spark: SparkSession, out: str) -> DataFrame | None:
-    """One row per collector: the last write wins."""
-    stored = read_before(spark, out)
-    if stored is None:
-        return None
-    rest = [c for c in stored.columns if c not in ("collector_id", MICRO_BATCH)]
+def _last_writes(stored: DataFrame) -> DataFrame:
+    """One row per collector: the latest heartbeat, of equal ones that of the later micro-batch."""
+    rest = [c for c in stored.columns if c != "collector_id"]
     return (
         stored.groupBy("collector_id")
         .agg(F.max_by(F.struct(*rest), F.struct("last_heartbeat", MICRO_BATCH)).alias("_last"))
         .select("collector_id", *[F.col(f"_last.{c}").alias(c) for c in rest])
     )
+
+
+def read_fleet_status(spark: SparkSession, out: str) -> DataFrame | None:
+    """One row per collector: the last write wins."""
+    stored = tiers.read(spark, out)
+    return None if stored is None else _last_writes(stored).drop(MICRO_BATCH)

@@ -4,12 +4,14 @@ import base64
 import gzip
 import hashlib
 import json
+import tracemalloc
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import EPOCH, T0, frame, observation, random_rows
+from sensorloom import schemas
 from sensorloom.operators import documents, query, validate, work
 from sensorloom.operators.evaluate import numeric_value
 from sensorloom.plans.process import process_batches
@@ -121,6 +123,24 @@ def test_object_sizes(spark, tmp_path):
     assert [r.reason_code for r in tight] == [None, "COMPRESSED_PAYLOAD_TOO_LARGE"] and tight[1].decompressed_length is None
 
 
+def test_inflating_stops_at_the_limit(spark, tmp_path):
+    bomb = gzip.compress(bytes(1 << 30), 1)
+    assert raw.inflated_length(gzip.compress(b"abc") + gzip.compress(b"de"), 10) == 5
+    assert [raw.inflated_length(c, 10) for c in (b"", b"no gzip", gzip.compress(b"x" * 10)[:-9], gzip.compress(b""))] == [None, None, None, 0]
+    assert [raw.inflated_length(gzip.compress(b"x" * n), 10) for n in (9, 10, 11)] == [9, 10, 11]
+    tracemalloc.start()
+    assert raw.inflated_length(bomb, schemas.MAX_DECOMPRESSED_BYTES) == schemas.MAX_DECOMPRESSED_BYTES + 1
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    objects = {"bomb": gzip.compress(bytes(200 << 20)), "sound": gzip.compress(b"{}"), "large": bytes(schemas.MAX_COMPRESSED_BYTES + 1)}
+    for name, content in objects.items():
+        (tmp_path / f"{name}.json.gz").write_bytes(content)
+    sizes = validate.check_object_sizes(raw.scan_object_sizes(spark, str(tmp_path)))
+    assert {r.object_key.split("/")[-1]: r.reason_code for r in sizes.collect()} == {
+        "bomb.json.gz": "PAYLOAD_TOO_LARGE", "sound.json.gz": None, "large.json.gz": "COMPRESSED_PAYLOAD_TOO_LARGE"
+    }
+
+
 def nested(spark, rows):
     flat = frame(spark, rows).withColumn("raw_value", F.parse_json(F.col("value").cast("string")))
     return raw.assemble_batches(flat.withColumn("created_at", F.col("received_at")))

@@ -9,7 +9,7 @@ from sensorloom.operators import aggregate, fleet
 from sensorloom.plans.process import process_batches
 from sensorloom.rules import mapping_rules, quality_rules
 from sensorloom.sources import raw
-from sensorloom.streaming import ingest, metrics
+from sensorloom.streaming import ingest, metrics, tiers
 
 V0 = mapping_rules("controller-a-mapping-1.0.0")
 QUALITY = quality_rules("quality-rules-1.0.0")
@@ -102,3 +102,22 @@ def test_fleet_gauges_without_collectors(spark):
     )
     row = fleet.fleet_gauges(empty, F.lit(T0)).first()
     assert row.heartbeat_age_seconds == float("inf") and row.spool_observations == 0
+
+
+def test_micro_batches_are_merged_in_tiers(spark, tmp_path):
+    out = str(tmp_path / "tiers")
+    combine = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
+    add = lambda number, n: tiers.add(spark.createDataFrame([("a", n), ("b", 1)], "k string, n long"), out, number, combine, fan=3)
+    assert tiers.read(spark, out) is None
+    total, opened = 0, []
+    for number in range(14):
+        if number % 5 == 4:
+            add(number, 999)  # an attempt that is run again
+        add(number, number)
+        total += number
+        assert {r.k: r.n for r in combine(tiers.read(spark, out)).collect()} == {"a": total, "b": number + 1}
+        opened.append(len(tiers.live(spark, out)))
+    assert max(opened) <= 6 and [t for _, t in tiers.live(spark, out)] == [2, 1, 0, 0]
+    kept = {p.name for p in (tmp_path / "tiers").iterdir() if not p.name.startswith("_")}
+    assert {f for f, _ in tiers.live(spark, out)} <= kept and len(kept) <= 10
+    assert len(list((tmp_path / "tiers" / "_live").glob("[0-9]*.json"))) == tiers.KEPT
