@@ -44,10 +44,12 @@ def integer_vectors(vectors: DataFrame, factor: int, *others: str) -> DataFrame:
     return materialize(kept.select(F.monotonically_increasing_id().alias("row"), "id", F.size("x").alias("dim"), F.col("x").alias("v"), *others), "vectors")
 
 
-def deal(candidates: DataFrame, queries: DataFrame, keys: list[str], shard_values: int = SHARD_VALUES) -> DataFrame:
+def deal(
+    candidates: DataFrame, queries: DataFrame, keys: list[str], shard_values: int = SHARD_VALUES, least_part: int = LEAST_PART
+) -> DataFrame:
     """Every query of ``queries`` beside all ``candidates`` of its ``keys`` (``dim`` among them), as sorted tasks.
 
-    Adds ``shard``, ``part`` and ``kind`` (0 a candidate, 1 a query). A partition holds whole tasks in order.
+    A part has ``least_part`` queries or more, as each part gets the shard's rows anew. Adds ``shard``, ``part`` and ``kind`` (0 a candidate, 1 a query). A partition holds whole tasks in order.
     """
     spark = candidates.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -62,7 +64,7 @@ def deal(candidates: DataFrame, queries: DataFrame, keys: list[str], shard_value
     work = counted.agg(F.sum(n * q)).first()[0] or 1.0
     wanted = F.greatest(F.ceil(q / TASK_QUERIES), F.ceil(n * q * slices / work / F.col("shards")))
     sizes = materialize(
-        counted.withColumn("parts", F.least(wanted, F.greatest(F.ceil(q / LEAST_PART), F.ceil(q / TASK_QUERIES))).cast("int")).select(*keys, "shards", "parts"),
+        counted.withColumn("parts", F.least(wanted, F.greatest(F.ceil(q / least_part), F.ceil(q / TASK_QUERIES))).cast("int")).select(*keys, "shards", "parts"),
         "parts",
     )
     tasks = int(sizes.agg(F.sum(F.col("shards").cast("long") * F.col("parts"))).first()[0] or 1)

@@ -29,6 +29,8 @@ LARGEST_PRIME = 1021
 #: Columns whose products of centred residues add up below 2^24, which float32 holds exactly.
 EXACT_COLUMNS = ((1 << 24) - 1) // ((LARGEST_PRIME - 1) // 2) ** 2
 QUERIES_AT_ONCE = 64
+#: A matrix product takes less time than bringing a shard to one more task for fewer anchors than this.
+LEAST_PART = 256
 
 
 @cache
@@ -178,13 +180,13 @@ def hard_negatives(
     """
     rows = blocks.integer_vectors(vectors.where("label is not null"), factor, "label").withColumn("label", F.col("label").cast("long"))
     anchors = rows.where(F.col("id") % every == 0 if is_anchor is None else is_anchor)
-    near = blocks.deal(rows, anchors, ["dim", "label"], shard_values).mapInArrow(
+    near = blocks.deal(rows, anchors, ["dim", "label"], shard_values, LEAST_PART).mapInArrow(
         _positives(positives), "row long, positive_row long, positive_id long, positive_score long"
     )
     order = Window.partitionBy("row").orderBy(F.desc("positive_score"), "positive_id", "positive_row")
     pairs = materialize(near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= positives).drop("nth"), "positives")
     asked = anchors.join(pairs.groupBy("row").agg(F.collect_list(F.struct("positive_row", "positive_score")).alias("positives")), "row")
-    found = blocks.deal(rows, asked.select(*rows.columns, "positives"), ["dim"], shard_values).mapInArrow(
+    found = blocks.deal(rows, asked.select(*rows.columns, "positives"), ["dim"], shard_values, LEAST_PART).mapInArrow(
         _negatives(negatives, *window), "row long, positive_row long, negative_id long, negative_score long"
     )
     rank = F.row_number().over(Window.partitionBy("row", "positive_row").orderBy(F.desc("negative_score"), "negative_id"))
