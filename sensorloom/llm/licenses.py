@@ -198,10 +198,11 @@ u as (select doc_id, -1 as line, text as unit from f
   union all select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1, unnest(string_split(text, chr(10))) from f),
 w as (select doc_id, line, term, count(*) as tf from (select doc_id, line, unnest(regexp_extract_all(lower(unit), '[a-z0-9+]+')) as term from u) group by all),
 df as (select term, count(*) as df from w where line = -1 group by term),
-idf as (select term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 as idf from known left join df using (term) cross join n),
+idf as (select term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 as idf, known.term is not null as own
+  from df full join known using (term) cross join n),
 tv as (select template, licence, term, tf * idf as w from tt join idf using (term)),
 tn as (select template, sqrt(sum(w * w)) as norm from tv group by template),
-x as (select doc_id, line, term, tf, tf * coalesce(idf, ln(1 + n) + 1) as w, idf is not null as own from w left join idf using (term) cross join n),
+x as (select doc_id, line, term, tf, tf * idf as w, own from w join idf using (term)),
 xl as (select doc_id, line, sqrt(sum(w * w)) as len from x group by all having sum(case when own then tf else 0 end) >= {LEAST_TERMS}),
 dots as (select doc_id, line, licence, template, sum(x.w * tv.w / norm) as dot from x join tv using (term) join tn using (template) group by all),
 c as (select doc_id, line, licence, round(dot / len, 9) as cosine from dots join xl using (doc_id, line)),
