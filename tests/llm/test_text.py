@@ -151,61 +151,65 @@ def test_codewords_differ(n):
     assert min(apart, default=1) >= (1 if n < 6 else 4)
 
 
-@pytest.mark.parametrize(("order", "size"), [(2, language_model.VOCABULARY), (3, 25), (3, language_model.VOCABULARY)])
-def test_language_model(spark, order, size):
-    rows = cases.rows()
-    by_doc = {}
-    for doc, text, *_ in rows:
-        by_doc.setdefault(doc, []).append(language_model.words_of(text))
-    every = Counter(w for texts in by_doc.values() for t in texts for w in t)
-    top = {w for w, n in every.items() if sum(m >= n for m in every.values()) <= size}
-    mapped = {d: [[w if w in top else b"?" for w in t] for t in texts] for d, texts in by_doc.items()}
-    counts = [Counter(tuple(t[i : i + k]) for texts in mapped.values() for t in texts for i in range(len(t) - k + 1)) for k in range(1, order + 1)]
-    total = sum(counts[0].values())
-
-    def s(gram):
-        if len(gram) == 1:
-            return counts[0][gram] / total
-        c = counts[len(gram) - 1][gram]
-        return c / counts[len(gram) - 2][gram[:-1]] if c >= 2 else 0.4 * s(gram[1:])
-
-    got = {r.doc_id: r for r in language_model.score(cases.documents(spark), order, size).collect()}
-    assert got.keys() == mapped.keys()
-    for d, texts in mapped.items():
-        expected = sum(math.log(s(tuple(t[max(0, j - order + 1) : j + 1]))) for t in texts for j in range(len(t)))
-        assert got[d].log_score == pytest.approx(expected, abs=1e-4)
-        assert got[d].n_words == sum(map(len, texts))
-        assert (got[d].mean_log_score is None) == (got[d].n_words == 0)
-    assert language_model.score(cases.no_documents(spark)).collect() == []
-
-
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_language_model_of_all_words(spark, order):
-    """More words than a closed vocabulary holds, most of them once: each is a word of its own, and no n-gram is dropped."""
-    rows = [r[:2] for r in cases.rows()] + [(900 + i, " ".join(f"u{i}x{j}" for j in range(7_000))) for i in range(10)]
-    rows += [(1000, "w1"), (1001, "only"), (1002, "w1 w2"), (1003, "two alone"), (1004, "w1 w2 w3"), (900, "u1x5 u1x6")]
+def two_folds(rows, order):
+    """Scores by stupid backoff with the counts of the other fold."""
+    fold = lambda d: int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[0] >= "8")
     by_doc = {}
     for doc, text in rows:
         by_doc.setdefault(doc, []).append(language_model.words_of(text))
-    counts = [Counter(tuple(t[i : i + k]) for texts in by_doc.values() for t in texts for i in range(len(t) - k + 1)) for k in range(1, order + 1)]
-    assert len(counts[0]) > language_model.VOCABULARY
-    total = sum(counts[0].values())
+    counts = [[Counter(tuple(t[i : i + k]) for d, texts in by_doc.items() if fold(d) != f for t in texts for i in range(len(t) - k + 1))
+               for k in range(1, order + 1)] for f in (0, 1)]
 
-    def s(gram):
+    def s(gram, c):
         if len(gram) == 1:
-            return counts[0][gram] / total
-        c = counts[len(gram) - 1][gram]
-        return c / counts[len(gram) - 2][gram[:-1]] if c else 0.4 * s(gram[1:])
+            return c[0].get(gram, language_model.UNSEEN) / max(1, sum(c[0].values()))
+        seen = c[len(gram) - 1][gram]
+        return seen / c[len(gram) - 2][gram[:-1]] if seen else language_model.BACKOFF * s(gram[1:], c)
 
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in language_model.score_all(docs, order).collect()}
-    assert got.keys() == by_doc.keys()
     for d, texts in by_doc.items():
-        expected = sum(math.log(s(tuple(t[max(0, j - order + 1) : j + 1]))) for t in texts for j in range(len(t)))
-        assert got[d].log_score == pytest.approx(expected, abs=1e-4)
-        assert got[d].n_words == sum(map(len, texts))
-        assert (got[d].mean_log_score is None) == (got[d].n_words == 0)
-    assert language_model.score_all(cases.no_documents(spark), order).collect() == []
+        grams = [tuple(t[max(0, j - order + 1) : j + 1]) for t in texts for j in range(len(t))]
+        yield d, sum(map(len, texts)), sum(math.log(s(g, counts[fold(d)])) for g in grams)
+
+
+@pytest.mark.parametrize(("order", "bits"), [(2, language_model.BITMAP_BITS), (3, language_model.BITMAP_BITS), (4, 64)])
+def test_language_model(spark, order, bits):
+    """Rare words, shared ones, short texts and repeated rows; with a bitmap that knows everything too."""
+    rows = [r[:2] for r in cases.rows()] + [(900 + i, " ".join(f"u{i % 3}x{j}" for j in range(900))) for i in range(6)]
+    rows += [(1000, "w1"), (1001, "only"), (1002, "w1 w2"), (1003, "two alone"), (1004, "w1 w2 w3"), (900, "u1x5 u1x6")]
+    got = {r.doc_id: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), order, bits).collect()}
+    expected = list(two_folds(rows, order))
+    assert got.keys() == {d for d, _, _ in expected}
+    for d, words, score in expected:
+        assert got[d].log_score == pytest.approx(score, abs=1e-4) and got[d].n_words == words
+        assert (got[d].mean_log_score is None) == (words == 0)
+
+
+def test_language_model_of_hard_tables(spark):
+    docs = cases.documents(spark)
+    assert language_model.score(docs.limit(0)).collect() == []
+    assert {r.doc_id: r.n_words for r in language_model.score(docs).collect()} == {d: n for d, n, _ in two_folds([r[:2] for r in cases.rows()], 2)}
+    alone = language_model.score(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).first()
+    assert alone.n_words == 3 and math.isfinite(alone.log_score)
+
+
+def test_nonsense_scores_below_text(spark):
+    """Text that only one document has, and text in a wrong order, score below the text itself."""
+    rng = random.Random(11)
+    following = {w: [rng.choice(cases.WORDS) for _ in range(3)] for w in cases.WORDS}
+
+    def prose(n):
+        out = [rng.choice(cases.WORDS)]
+        while len(out) < n:
+            out.append(rng.choice(following[out[-1]]))
+        return out
+
+    text = prose(300)
+    shuffled = rng.sample(text, len(text))
+    rows = [(i, " ".join(prose(400))) for i in range(60)]
+    rows += [(1000, " ".join(text)), (1001, " ".join(shuffled)), (1002, " ".join(f"zq{i}" for i in range(300)))]
+    got = {r.doc_id: r.mean_log_score for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1002] == min(got.values()) and got[1001] < got[1000] - 1
+    assert got[1001] < min(v for d, v in got.items() if d < 1000)
 
 
 def brute_licenses(files):
@@ -213,9 +217,9 @@ def brute_licenses(files):
     templates = [(n, Counter(words(t))) for n, t in licenses.TEMPLATES]
     known = {w for _, t in templates for w in t}
     total = len(files)
-    idf = lambda w: math.log((1 + total) / (1 + sum(w in words(t) for _, t in files))) + 1 if w in known else math.log(1 + total) + 1
-    cache = {w: idf(w) for w in known}
-    weigh = lambda c: {w: n * cache.get(w, math.log(1 + total) + 1) for w, n in c.items()}
+    idf = lambda w: math.log((1 + total) / (1 + sum(w in words(t) for _, t in files))) + 1
+    cache = {w: idf(w) for w in known | {w for _, t in files for w in words(t)}}
+    weigh = lambda c: {w: n * cache[w] for w, n in c.items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     vectors = [(n, weigh(t)) for n, t in templates]
     own, given = [], {}
@@ -234,7 +238,7 @@ def brute_licenses(files):
         own.append(min(best, default=None))
     for (path, _), o in zip(files, own):
         if o:
-            yield path, o[2], False
+            yield path, o[2], -o[0], False
             continue
         d, found = (path or "").rpartition("/")[0], None
         while path is not None and found is None:
@@ -242,7 +246,7 @@ def brute_licenses(files):
             if not d:
                 break
             d = d.rpartition("/")[0]
-        yield path, found[2] if found else None, found is not None
+        yield path, found[2] if found else None, -found[0] if found else 0.0, found is not None
 
 
 def test_licenses(spark):
@@ -255,8 +259,8 @@ def test_licenses(spark):
         ("m/n", "\n".join([prose(), "This work is licensed under the GNU General Public License, version 3.", prose()])),
     ]
     table_ = spark.createDataFrame([(*f, 3, "k") for f in files], "path string, text string, file int, licence string")
-    got = sorted(key((r.path, r.licence, r.inherited)) for r in licenses.scan_licenses(table_).collect())
-    assert got == sorted(map(key, brute_licenses(files)))
+    got = sorted(key((r.path, r.licence, round(r.cosine, 6), r.inherited)) for r in licenses.scan_licenses(table_).collect())
+    assert got == sorted(key((p, n, round(c, 6), i)) for p, n, c, i in brute_licenses(files))
     assert licenses.scan_licenses(table_.limit(0)).collect() == []
 
 
