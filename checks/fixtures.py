@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators.aggregate import COUNTS
 from sensorloom.plans.process import Processed, process_batches
 from sensorloom.rules import ReplayRequest, mapping_rules, quality_rules
-from sensorloom.runtime import configure
+from sensorloom.runtime import configure, materialize
 
 EPOCH = "00000000-0000-4000-8000-00000000000"
 MAPPING_0 = mapping_rules("controller-a-mapping-1.0.0")
@@ -262,7 +263,8 @@ def stored(spark: SparkSession, sf_dir: str) -> Processed:
     """The stored result of processing all deliveries under mapping 1.0.0, written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        _stored[key] = process_batches(delivery(spark, sf_dir), MAPPING_0, QUALITY)
+        done = process_batches(delivery(spark, sf_dir), MAPPING_0, QUALITY)
+        _stored[key] = replace(done, canonical=materialize(done.canonical, "canonical"), positions=materialize(done.positions, "positions"))
     return _stored[key]
 
 

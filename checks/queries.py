@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.fixtures import plain, sql
+from sensorloom import schemas
 from sensorloom.functions.identity import checksum, content_digest
 from sensorloom.operators import aggregate, alerts, documents, evaluate, fleet, identity, order, query, series, validate, work
 from sensorloom.operators.aggregate import COUNTS
@@ -165,6 +166,38 @@ def cursor_read(spark, d):
     )
 
 
+def _by_day(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The stored samples in folders by event day, and the index of their sequences."""
+    path, index = scratch_path(spark, "canonical"), scratch_path(spark, "days")
+    canonical.write_canonical(_canonical(spark, d), path)
+    history.day_index(_canonical(spark, d)).write.parquet(index)
+    return spark.read.parquet(path), spark.read.parquet(index)
+
+
+@register(
+    "cursor_read_by_day",
+    sql("SELECT source_sequence, observation_id, value FROM canonical, (SELECT max(event_id) // 3 AS cursor FROM events) "
+        "WHERE source_epoch LIKE '%1' AND source_sequence > cursor"),
+)
+def cursor_read_by_day(spark, d):
+    """Stored samples after a cursor, from the days that hold such sequences."""
+    stored, index = _by_day(spark, d)
+    cursor = fx.bounds(spark, d)["top"] // 3
+    return history.read_after_cursor(stored, _FIRST_EPOCH, cursor, limit=None, index=index).select("source_sequence", "observation_id", "value")
+
+
+@register(
+    "known_ids_by_day",
+    sql("SELECT DISTINCT observation_id FROM evaluated JOIN canonical USING (observation_id) WHERE evaluated.reason_code IS NULL AND evaluated.batch_no >= 1000000000"),
+)
+def known_ids_by_day(spark, d):
+    """The ids of the re-deliveries that are stored already, looked up in the days of their sequences."""
+    stored, index = _by_day(spark, d)
+    again = _accepted(spark, d).where(fx.batch_number() >= 1_000_000_000)
+    firsts = identity.first_arrivals(again, carry=(*schemas.SOURCE_KEY, "source_sequence"))
+    return identity.known_ids(firsts, stored, fx.stored(spark, d).positions, index=index)
+
+
 @register("cursor_after_epoch_change", sql("SELECT max(source_sequence) AS next_sequence FROM delivery WHERE source_epoch LIKE '%2'"))
 def cursor_after_epoch_change(spark, d):
     live = fx.delivery(spark, d)
@@ -1526,7 +1559,7 @@ def replay_from_store(spark, d):
     root = _raw_store(spark, d)
     read = lambda selected: raw.explode_observations(raw.scan_selected_batches(spark, root, selected, multiline=False))
     at = F.lit(fx.bounds(spark, d)["last"] + timedelta(days=2))
-    done = replay(fx.replay_requests(spark, d)[0], fx.manifest(spark, d), read, _canonical(spark, d), at)
+    done = replay(fx.replay_requests(spark, d)[0], fx.manifest(spark, d), read, _canonical(spark, d), at, fx.stored(spark, d).positions)
     return done.result.outcomes.select(*_RESULT.split(", "))
 
 
@@ -1553,7 +1586,7 @@ def _replayed_with_gaps(spark, d):
     at = F.lit(fx.bounds(spark, d)["last"] + timedelta(days=2))
     manifests = fx.manifest(spark, d).withColumn("processing_attempt_count", fx.batch_number() % 4)
     stored = fx.delivery(spark, d).where(fx.batch_number() % 11 != 0)
-    return replay(fx.replay_requests(spark, d)[0], manifests, stored, _canonical(spark, d), at)
+    return replay(fx.replay_requests(spark, d)[0], manifests, stored, _canonical(spark, d), at, fx.stored(spark, d).positions)
 
 
 @register("replay_attempts", sql(_REPLAY_STATES, extra=_REPLAY_SQL))
@@ -1573,7 +1606,7 @@ def replay_missing_object(spark, d):
 
 def _replayed(spark, d):
     at = F.lit(fx.bounds(spark, d)["last"] + timedelta(days=2))
-    return replay(fx.replay_requests(spark, d)[0], fx.manifest(spark, d), fx.delivery(spark, d), _canonical(spark, d), at)
+    return replay(fx.replay_requests(spark, d)[0], fx.manifest(spark, d), fx.delivery(spark, d), _canonical(spark, d), at, fx.stored(spark, d).positions)
 
 
 # ---------------------------------------------------------------- streaming

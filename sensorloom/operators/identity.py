@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators.scan import lookup_join
 from sensorloom.runtime import materialize
 from sensorloom.schemas import ARRIVAL, DELIVERY, SOURCE_KEY, TOTAL_ARRIVAL
+from sensorloom.sources.history import HIGH, LOW, days_with, on_days
 
 # Stored canonical rows, or a function that opens them only if they are needed.
 History = DataFrame | Callable[[], DataFrame]
@@ -58,14 +59,16 @@ def mark_known(accepted: DataFrame, canonical: DataFrame, align: Align | None =
 
 
 def known_ids(
-    firsts: DataFrame, canonical: History, positions: DataFrame | None = None, align: Align | None = None
+    firsts: DataFrame, canonical: History, positions: DataFrame | None = None, align: Align | None = None,
+    index: DataFrame | None = None, day: str = "observed_date",
 ) -> DataFrame:
     """The ids of ``firsts`` (one row per id) that are stored already.
 
     An id contains its source key and sequence, so one beyond the highest stored
     sequence of its key is new for certain. With ``positions`` only the other ids are
     looked up, in the part of the history that their sequences span; usually there
-    are none and the history is not read at all.
+    are none and the history is not read at all. With the day ``index`` of the history too, only
+    days that hold sequences of that span of their source key are read, of the partition column ``day``.
     """
     if positions is None:
         canonical = canonical() if callable(canonical) else canonical
@@ -76,12 +79,15 @@ def known_ids(
         return stored.join(align(wanted, ["observation_id"]), "observation_id", "left_semi")
     placed = lookup_join(firsts, positions, SOURCE_KEY, ["max_sequence"])
     doubtful = materialize(
-        placed.where("source_sequence <= max_sequence").select("observation_id", "source_sequence"), "doubtful"
+        placed.where("source_sequence <= max_sequence").select("observation_id", *SOURCE_KEY, "source_sequence"), "doubtful"
     )
     span = doubtful.agg(F.min("source_sequence").alias("low"), F.max("source_sequence").alias("high")).first()
     if span["low"] is None:
         return doubtful.select("observation_id")
     canonical = canonical() if callable(canonical) else canonical
+    if index is not None:
+        spans = doubtful.groupBy(*SOURCE_KEY).agg(F.min("source_sequence").alias(LOW), F.max("source_sequence").alias(HIGH))
+        canonical = on_days(canonical, days_with(index, spans), day)
     history = canonical.where(F.col("source_sequence").between(span["low"], span["high"])).select("observation_id")
     wanted = _aligned(doubtful.select("observation_id"), ["observation_id"], align)
     return history.join(wanted, "observation_id", "left_semi")

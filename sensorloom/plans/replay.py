@@ -30,6 +30,7 @@ def replay(
     canonical_prior: DataFrame,
     processed_at: Column,
     positions_prior: DataFrame | None = None,
+    digests: DataFrame | None = None,
 ) -> Replayed:
     """Process the exact requested event interval again under the pinned versions.
 
@@ -37,18 +38,16 @@ def replay(
     selected batches only. Only new ids become canonical, so repeating a replay adds nothing. Manifests are
     never changed. Every selected batch gets an attempt: without a row inside the interval one that
     counts nothing, and a failed one if it is not in the store or cannot be processed, which fails
-    the run too.
+    the run too. ``digests`` of the stored objects are verified against the manifests' checksums.
     """
     request.check()
-    kept = ["batch_id", "facility_id", "collector_id", "received_at", "processing_attempt_count"]
+    kept = ["batch_id", "facility_id", "collector_id", "received_at", "processing_attempt_count", "checksum"]
     selected = materialize(
         overlapping_batches(manifests, [request]).select("replay_id", *[c for c in kept if c in manifests.columns]),
         "replay-batches",
     )
-    if callable(obs):
-        wanted = obs(selected)
-    else:
-        wanted = obs.join(selected.select("batch_id"), "batch_id", "left_semi")
+    read = obs if callable(obs) else lambda batches: obs.join(batches.select("batch_id"), "batch_id", "left_semi")
+    wanted = read(selected)
     # rows without an item or event time stay in, so that their batch fails instead of vanishing
     unplaced = F.col("item_order").isNull() | F.col("observed_at").isNull()
     low, high = F.lit(utc(request.from_time)), F.lit(utc(request.to_time))
@@ -62,10 +61,13 @@ def replay(
         positions_prior=positions_prior,
         processed_at=processed_at,
         replay_id=request.replay_id,
+        digests=digests,
     )
     attempts = materialize(result.attempts, "attempts")
-    stored = wanted.where("batch_id is not null").select("batch_id").distinct().withColumn("_stored", F.lit(True))
-    untried = selected.join(attempts.select("batch_id"), "batch_id", "left_anti").join(stored, "batch_id", "left")
+    untried = materialize(selected.join(attempts.select("batch_id"), "batch_id", "left_anti"), "untried")
+    # only batches without a row inside are looked for in the store again
+    stored = untried.select("batch_id").limit(0) if untried.isEmpty() else read(untried).where("batch_id is not null").select("batch_id").distinct()
+    untried = untried.join(stored.withColumn("_stored", F.lit(True)), "batch_id", "left")
     untried = untried.select(
         "batch_id", "replay_id", F.lit(request.mapping_version).alias("mapping_version"),
         F.lit(request.quality_rules_version).alias("quality_rules_version"), attempt_number(untried), "_stored",

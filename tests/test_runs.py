@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+import re
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import T0, frame, identity, observation, random_rows, restated
+from helpers import EPOCH, T0, frame, identity, observation, random_rows, restated
 from sensorloom.operators import identity as ids
 from sensorloom.plans import job
 from sensorloom.plans.process import process_batches
 from sensorloom.rules import mapping_rules, quality_rules
+from sensorloom.schemas import SOURCE_KEY
+from sensorloom.sources import history
+from sensorloom.sources.canonical import write_canonical
 from sensorloom.sources.runs import ConflictingRun, RunStore
 
 V0 = mapping_rules("controller-a-mapping-1.0.0")
@@ -176,3 +180,27 @@ def test_worker_checks_fail_their_batch_only(spark):
         "batch-0": None, "batch-1": limits, "batch-2": limits, "batch-3": limits, "batch-4": bytes_, "batch-5": bytes_,
     }
     assert [r.raw_batch_id for r in done.canonical.collect()] == ["batch-0"]
+
+
+def test_only_days_of_the_looked_up_sequences_are_read(spark, tmp_path):
+    rows = [observation(source_sequence=i, observed_at=T0 + timedelta(days=i // 10), received_at=T0 + timedelta(days=i // 10)) for i in range(60)]
+    rows += [observation(source_sequence=100 + i, source_tag="CTRL_A.ZONE[04].RH_PV", raw_unit="%", observed_at=T0 + timedelta(days=i), received_at=T0 + timedelta(days=i)) for i in range(6)]
+    done = process_batches(frame(spark, rows).withColumn("processed_at", F.col("received_at")), V0, QUALITY)
+    write_canonical(done.canonical, str(tmp_path / "canonical"))
+    stored = spark.read.parquet(str(tmp_path / "canonical"))
+    index = history.merge_day_index(history.day_index(done.canonical), history.day_index(done.canonical))
+    again = [observation(source_sequence=i) for i in (12, 15, 33, 999)] + [observation(source_sequence=101, source_tag="CTRL_A.ZONE[04].RH_PV", raw_unit="%")]
+    firsts = ids.first_arrivals(process_batches(frame(spark, again), V0, QUALITY).outcomes, carry=(*SOURCE_KEY, "source_sequence"))
+    found = ids.known_ids(firsts, stored, done.positions, index=index)
+    assert found.count() == 4
+    scanned = re.findall(r"PartitionFilters: \[([^]]*)]", found._jdf.queryExecution().executedPlan().toString())
+    assert any("2024-05-02" in s and "2024-05-04" in s and "2024-05-01" not in s and "2024-05-05" not in s for s in map(days_in, scanned))
+    page = history.read_after_cursor(stored, EPOCH, 54, limit=None, index=index)
+    assert sorted(r.source_sequence for r in page.collect()) == [*range(55, 60), *range(100, 106)]
+    nothing = history.read_after_cursor(stored, EPOCH, 5_000, limit=None, index=index)
+    assert nothing.collect() == []
+
+
+def days_in(filters: str) -> str:
+    """Partition filters with day numbers spelled out."""
+    return re.sub(r"\b(19\d{3})\b", lambda m: str(date(1970, 1, 1) + timedelta(days=int(m[1]))), filters)
