@@ -1628,6 +1628,30 @@ def stream_process(spark, d):
     return spark.read.parquet(f"{out}/outcomes").select(*_RESULT.split(", "))
 
 
+_STREAM_ERROR = """CASE WHEN batch_no % 39 = 3 THEN 'Stored raw batch violates the worker envelope limits'
+  WHEN batch_no % 31 = 4 THEN 'Raw object checksum verification failed' END"""
+
+
+@register(
+    "stream_failures",
+    sql(f"""SELECT batch_id, CASE WHEN error IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status, error AS last_error,
+      count(CASE WHEN error IS NULL THEN 1 END) AS total_count FROM (SELECT *, {_STREAM_ERROR} AS error FROM delivery) GROUP BY ALL"""),
+)
+def stream_failures(spark, d):
+    """Batches of a foreign version and batches whose bytes changed get a failed attempt; the others are processed."""
+    out, landing = scratch_path(spark, "stream"), scratch_path(spark, "landing")
+    foreign = F.substring("batchId", 25, 12).cast("long") % 39 == 3
+    version = F.when(foreign, F.lit("raw-observation.batch.v9")).otherwise(F.col("contractVersion"))
+    raw.write_raw_batches(fx.raw_documents(spark, d).withColumn("contractVersion", version), landing)
+    manifests = fx.manifest(spark, d).select("batch_id", "received_at", "checksum")
+    changed = F.when(fx.batch_number() % 31 == 4, F.lit("sha256:changed")).otherwise(F.col("checksum"))
+    ingest.stream_process(
+        spark, landing, f"{out}/checkpoint", out, fx.MAPPING_0, fx.QUALITY, lambda: manifests,
+        F.timestamp_micros(F.unix_micros("received_at") + 1_000_000), digests=lambda: manifests.withColumn("checksum", changed),
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/attempts").select("batch_id", "status", "last_error", "total_count")
+
+
 @register("stream_order_state", sql("SELECT batch_id, item_order, out_of_order, flags FROM decided WHERE reason_code IS NULL"))
 def stream_order_state(spark, d):
     out, landing = scratch_path(spark, "order"), scratch_path(spark, "landing")

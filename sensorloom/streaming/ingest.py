@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sensorloom.operators.identity import merge_rejections
 from sensorloom.operators.order import flag_out_of_order, merge_positions, source_positions
 from sensorloom.operators.validate import validate_batches
-from sensorloom.plans.process import process_batches, with_receipts
+from sensorloom.plans.process import empty_attempts, process_batches, with_receipts
 from sensorloom.rules import MappingRules, QualityRules
 from sensorloom.runtime import materialize, scratch_scope
 from sensorloom.sources.canonical import write_canonical, write_rejections
@@ -69,6 +69,17 @@ def rejections_before(spark: SparkSession, out: str, micro_batch: int, attempts:
     return None if recorded is None else recorded.join(again, "batch_id", "left_semi")
 
 
+def refused_attempts(refused: DataFrame, mapping: MappingRules, quality: QualityRules) -> DataFrame:
+    """A failed attempt that counted nothing for each refused batch with an id."""
+    at = F.current_timestamp()
+    rows = refused.where("batchId is not null").select(F.col("batchId").alias("batch_id")).distinct().select(
+        "batch_id", F.lit(None).cast("string").alias("replay_id"), F.lit(mapping.version).alias("mapping_version"),
+        F.lit(quality.version).alias("quality_rules_version"), F.lit(1).alias("attempt_number"),
+        F.sha2(F.concat_ws("|", "batch_id", F.lit("live"), F.unix_micros(at).cast("string")), 256).alias("processing_attempt_id"),
+    )
+    return empty_attempts(rows, "FAILED", at, F.lit("Stored raw batch violates the worker envelope limits"))
+
+
 def raw_batch_stream(spark: SparkSession, root: str, multiline: bool = False, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(STORED_BATCH).options(**json_options(multiline))
     if files_per_trigger:
@@ -88,10 +99,12 @@ def stream_process(
     multiline: bool = False,
     files_per_trigger: int | None = None,
     trigger: dict | None = None,
+    digests: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Process new raw files under ``root`` into ``out``/canonical, rejections, outcomes, attempts, positions.
 
-    Batches with an invalid envelope go to ``out``/refused. ``manifests`` is read anew for each micro-batch and gives the receipt times.
+    Batches with an invalid envelope go to ``out``/refused and, where they have an id, get a failed attempt.
+    ``digests`` (batch_id, checksum) of the stored objects are verified against the manifests. ``manifests`` is read anew for each micro-batch and gives the receipt times.
     ``processed_at`` may use the columns of an observation. Files must arrive in
     receipt order between micro-batches; within one the arrival order is restored.
     """
@@ -110,7 +123,7 @@ def stream_process(
         carried = carried_positions(session, out, micro_batch)
         history = lambda: read_before(session, f"{out}/canonical", micro_batch)
         done = process_batches(
-            explode_observations(with_receipts(sound, manifests())),
+            explode_observations(with_receipts(sound, manifests(), digests and digests())),
             mapping,
             quality,
             canonical_prior=None if carried is None else history,
@@ -122,7 +135,8 @@ def stream_process(
         write_rejections(merge_rejections(recorded, done.rejections), folder("rejections"), mode="overwrite")
         save_positions(done.positions, out, micro_batch)
         done.outcomes.write.mode("overwrite").parquet(folder("outcomes"))
-        done.attempts.write.mode("overwrite").parquet(folder("attempts"))
+        attempts = done.attempts.unionByName(refused_attempts(refused, mapping, quality))
+        attempts.write.mode("overwrite").parquet(folder("attempts"))
 
     return (
         raw_batch_stream(spark, root, multiline, files_per_trigger)
