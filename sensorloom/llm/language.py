@@ -28,7 +28,8 @@ ROUNDS = 150
 DECAY = 1e-4
 AMBIGUOUS_GAP = 0.5
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and number signs that are neither digits nor letters.
+WORD_SIGN = re.compile(r"[^\W\d_]")
 ROWS_AT_ONCE = 64
 
 
@@ -39,7 +40,7 @@ def _letters() -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    return any(sign[0].isalpha() for sign in WORD_SIGN.finditer(text or ""))
 
 
 def features(text: str | None) -> np.ndarray:

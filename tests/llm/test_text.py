@@ -132,6 +132,11 @@ def test_language_on_held_out_rows(spark):
     assert (got.lang_pred == got.lang).mean() >= 0.97
 
 
+def test_number_signs_are_no_letters():
+    texts = ["²", "½ Ⅷ ①", "12 _ -", "", None, "a", "é²", "½ 中"]
+    assert [language.has_letter(t) for t in texts] == [False] * 5 + [True] * 3
+
+
 def test_language_edge_cases(spark):
     docs = cases.documents(spark)
     got = language.identify(docs, language.fit(docs)).collect()
