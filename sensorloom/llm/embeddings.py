@@ -44,6 +44,8 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; by their largest component first, so that no square overflows or vanishes."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 

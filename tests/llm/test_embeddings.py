@@ -28,6 +28,12 @@ def test_against_brute_force(spark, block):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+def test_very_long_and_very_short_vectors(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [2.0, 2.0]), (4, [1e308, -1e308]), (5, [5e-324, -5e-324]), (6, [1e200, -1e-200])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
 def test_edge_cases(spark):
     a, b = [1.0, 2.0, 0.0], [0.0, -1.0, 3.0]
     rows = [
