@@ -35,7 +35,7 @@ def test_run_equals_the_stages_done_by_hand(spark):
     texts = {r.doc_id: r.text for r in documents.collect()}
     texts = {i: t for i, t in texts.items() if model.score(quality.indicators(t)) >= quality.THRESHOLD}
     assert 0 < len(texts) < documents.count()
-    texts = brute_line_dedup(sorted(texts.items()))
+    texts = {i: t for (i, _), t in brute_line_dedup(sorted(texts.items())).items()}
     texts = {i: texts[i] for i, c in groups(texts).items() if i == c}
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     bad = {r[0] for r in brute_contamination(texts.items(), items) if r[-1]}
