@@ -22,7 +22,7 @@ from sensorloom.rules import MappingRule, MappingRules
 from sensorloom.runtime import configure, materialize, scratch_path
 from sensorloom.sources import canonical, history, raw
 from sensorloom.sources.runs import RunStore
-from sensorloom.streaming import ingest, metrics
+from sensorloom.streaming import absence, ingest, metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1703,3 +1703,25 @@ def stream_heartbeats(spark, d):
         stream = spark.readStream.schema(beats.schema).parquet(landing)
         metrics.stream_heartbeats(stream, f"{out}/checkpoint", f"{out}/status", ("beat",)).awaitTermination()
     return metrics.read_fleet_status(spark, f"{out}/status")
+
+
+# the clock is the fleet's own: the latest heartbeat of all, in whole milliseconds
+_OFFLINE = """, latest AS (SELECT collector_id, max(received_at) AS last_heartbeat, bool_or(source_connected) FILTER (received_at = newest) AS connected
+    FROM (SELECT *, max(received_at) OVER (PARTITION BY collector_id) AS newest FROM heartbeat) GROUP BY 1),
+  clock AS (SELECT max(epoch_ms(last_heartbeat)) AS now_ms FROM latest)
+SELECT collector_id, last_heartbeat,
+  CASE WHEN epoch_ms(last_heartbeat) + 90000 < now_ms THEN 'OFFLINE' WHEN connected THEN 'ONLINE' ELSE 'SOURCE_DISCONNECTED' END AS current_status
+FROM latest, clock"""
+
+
+@register("stream_offline", sql(_OFFLINE))
+def stream_offline(spark, d):
+    """Collectors that fall silent in the stream, without any row of theirs: the batch inventory at the time of the last heartbeat."""
+    out, landing = scratch_path(spark, "absence"), scratch_path(spark, "landing")
+    beats = fx.heartbeats(spark, d)
+    middle = F.lit(fx.bounds(spark, d)["last"] - timedelta(days=15))
+    for part in (F.col("received_at") < middle, F.col("received_at") >= middle):
+        beats.where(part).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(beats.schema).parquet(landing)
+        absence.stream_absence(stream, f"{out}/checkpoint", f"{out}/status", "event").awaitTermination()
+    return absence.read_status(spark, f"{out}/status").drop("changed_at")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-from datetime import timedelta
+import time
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from sensorloom.operators import aggregate, fleet
 from sensorloom.plans.process import process_batches
 from sensorloom.rules import mapping_rules, quality_rules
 from sensorloom.sources import raw
-from sensorloom.streaming import ingest, metrics, tiers
+from sensorloom.streaming import absence, ingest, metrics, tiers
 
 V0 = mapping_rules("controller-a-mapping-1.0.0")
 QUALITY = quality_rules("quality-rules-1.0.0")
@@ -121,3 +122,48 @@ def test_micro_batches_are_merged_in_tiers(spark, tmp_path):
     kept = {p.name for p in (tmp_path / "tiers").iterdir() if not p.name.startswith("_")}
     assert {f for f, _ in tiers.live(spark, out)} <= kept and len(kept) <= 10
     assert len(list((tmp_path / "tiers" / "_live").glob("[0-9]*.json"))) == tiers.KEPT
+
+
+def _beats(spark, rows, path):
+    frame_ = spark.createDataFrame(rows, "collector_id string, received_at timestamp, source_connected boolean")
+    frame_.coalesce(1).write.mode("append").parquet(path)
+    return frame_.schema
+
+
+def _watch(spark, schema, landing, out, clock):
+    stream = spark.readStream.schema(schema).parquet(landing)
+    absence.stream_absence(stream, f"{out}/checkpoint", f"{out}/status", clock).awaitTermination()
+    return {r.collector_id: (r.current_status, r.changed_at) for r in absence.read_status(spark, f"{out}/status").collect()}
+
+
+def test_collector_goes_offline_without_a_row_of_its_own(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    schema = _beats(spark, [("a", at(0), True), ("b", at(5), False), ("b", at(3), True), (None, at(4), True), ("c", None, True)], landing)
+    naive = lambda s: at(s).replace(tzinfo=None)
+    assert _watch(spark, schema, landing, out, "event") == {"a": ("ONLINE", naive(0)), "b": ("SOURCE_DISCONNECTED", naive(5))}
+    _beats(spark, [("d", at(92), True)], landing)
+    assert _watch(spark, schema, landing, out, "event") == {
+        "a": ("OFFLINE", naive(90)), "b": ("SOURCE_DISCONNECTED", naive(5)), "d": ("ONLINE", naive(92)),
+    }
+    _beats(spark, [("a", at(100), True), ("d", at(101), False)], landing)
+    assert _watch(spark, schema, landing, out, "event") == {
+        "a": ("ONLINE", naive(100)), "b": ("OFFLINE", naive(95)), "d": ("SOURCE_DISCONNECTED", naive(101)),
+    }
+
+
+def test_absence_by_the_processing_clock(spark, tmp_path):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    schema = _beats(spark, [("old", now - timedelta(hours=1), True), ("new", now + timedelta(hours=1), True)], landing)
+    stream = spark.readStream.schema(schema).parquet(landing)
+    query = absence.stream_absence(stream, f"{out}/checkpoint", f"{out}/status", trigger={"processingTime": "1 second"})
+    try:
+        got, deadline = {}, time.monotonic() + 60
+        while got.get("old") != "OFFLINE" and time.monotonic() < deadline and query.isActive:
+            time.sleep(1)
+            status = absence.read_status(spark, f"{out}/status")
+            got = {} if status is None else {r.collector_id: r.current_status for r in status.collect()}
+    finally:
+        query.stop()
+    assert got == {"old": "OFFLINE", "new": "ONLINE"}
