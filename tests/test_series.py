@@ -117,3 +117,24 @@ def test_candidates_of_the_interval_join_grow_with_its_results(spark):
 ])
 def test_literal_prefix(pattern, prefix):
     assert literal_prefix(pattern) == prefix
+
+
+def test_dense_short_spans_compare_little_more_than_overlaps(spark):
+    """Ten-minute requests and batches of a few minutes, thousands a day: bins follow the spans, not the day."""
+    at = lambda seconds: F.timestamp_micros(F.lit(int(DAY.timestamp() * 1_000_000)) + (seconds * 1_000_000).cast("long"))
+    start = F.col("id") * 86_400 / 3000
+    batches = spark.range(3000).select(F.lit("f").alias("k"), F.col("id").alias("l"), at(start).alias("low"), at(start + F.col("id") % 5 * 100).alias("high"))
+    requests = spark.range(3000).select(F.lit("f").alias("k"), F.col("id").alias("r"), at(start - 300).alias("start"), at(start + 300).alias("stop"))
+    spans = ["k"], ("low", "high"), ("start", "stop")
+    kept = work.overlapping_intervals(batches, requests, *spans).count()
+    on = (batches.k == requests.k) & (F.col("low") < F.col("stop")) & (F.col("high") >= F.col("start"))
+    assert kept == batches.join(requests, on).count() > 50_000
+    assert work._sharing_bins(batches, requests, *spans).count() < 5 * kept
+
+
+def test_long_requests_take_few_bins(spark):
+    """A request of a century among short batches lies in a few bins of each level that batches are on."""
+    a = spark.createDataFrame([(i, "x", DAY + timedelta(days=i), DAY + timedelta(days=i, seconds=30)) for i in range(50)], "l int, k string, low timestamp, high timestamp")
+    b = spark.createDataFrame([(1, "x", datetime(1970, 1, 1), datetime(2261, 1, 1))], "r int, k string, start timestamp, stop timestamp")
+    spans = ["k"], ("low", "high"), ("start", "stop")
+    assert work.overlapping_intervals(a, b, *spans).count() == 50 == work._sharing_bins(a, b, *spans).count()
