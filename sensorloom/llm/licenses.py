@@ -3,13 +3,15 @@
 Every line of a file (a possible header or notice) and the whole file are compared with the
 templates. Weights are term frequency times inverse document frequency over all files, for words that no
 template has too: they are counted once it is known which units they matter for. An upper bound of the cosine, summed inside the scan, discards units
-that cannot reach the threshold; the rest are exploded to terms, weighed and joined exactly. A file
+that cannot reach the threshold, first by the least weight a word can have, then by that of the most frequent words; the rest are exploded to terms, weighed and joined exactly. A file
 without a notice of its own inherits from the nearest directory above it that has a licence
 file. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ THRESHOLD = 0.6
 FILE_THRESHOLD = 0.6
 LEAST_TERMS = 2
 BETWEEN_WORDS = r"[^a-z0-9+]+"
+#: Ranks, by files that have them, at which the most frequent words are cut into groups of like weight.
+RANKS = [16, 64, 256, 1024]
 
 #: Notices as projects state them in a line or a licence file, by their public licence identifiers.
 TEMPLATES = [
@@ -62,11 +66,13 @@ def candidate_units(files: DataFrame, templates: list[tuple[str, str]], threshol
     spark = files.sparkSession
     vocabulary = template_terms(spark, templates)
     known = sorted({r[0] for r in vocabulary.select("term").distinct().collect()})  # the templates' words
-    seen = files.select(F.array_distinct(F.filter(terms(F.col("text")), lambda w: w.isin(known))).alias("t"))
-    frequency = materialize(
-        seen.select(F.explode(F.concat("t", F.array(F.lit(""))))).toDF("term").groupBy("term").agg(F.count("*").alias("df")), "frequency"
+    # the empty term counts the files
+    spread = materialize(
+        files.select(F.explode(F.concat(F.array_distinct(terms(F.col("text"))), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")),
+        "spread",
     )
-    total = (frequency.where("term = ''").agg(F.sum("df")).first()[0]) or 0
+    frequency = spread.where(F.col("term").isin(known))
+    total = (spread.where("term = ''").agg(F.sum("df")).first()[0]) or 0
     idf = (
         vocabulary.select("term").distinct().join(F.broadcast(frequency), "term", "left")
         .select("term", (F.log((1.0 + total) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
@@ -92,6 +98,25 @@ def candidate_units(files: DataFrame, templates: list[tuple[str, str]], threshol
         """A squared cosine is at most dot^2 / (sum of squared weights), where tf^2 is at least tf and each idf at least 1."""
         return (own >= LEAST_TERMS) & (dot * dot >= (threshold - 1e-9) ** 2 * (square + (n - own)))
 
+    frequent = spread.where((F.col("term") != "") & ~F.col("term").isin(known)).orderBy(F.desc("df"), "term").limit(RANKS[-1] + 1).collect()
+    groups = [frequent[low:high] for low, high in zip([0, *RANKS], [*RANKS, RANKS[-1] + 1])]
+
+    def can_match(words: Column) -> Column:
+        """As ``may_match``, each foreign word weighing no less than the most frequent one of its group."""
+        least = lambda group: (math.log((1.0 + total) / (1.0 + group[0]["df"])) + 1.0) ** 2
+        weights = [([r["term"] for r in g], least(g)) for g in groups if g]
+        # words beyond the last group are as rare as its first or rarer; without one, no word is left
+        rest = weights.pop()[1] if groups[-1] else 1.0
+
+        def of_word(w: Column) -> Column:
+            case = F.when(w.isin(known), F.lit(0.0))
+            for group, value in weights:
+                case = case.when(w.isin(group), F.lit(value))
+            return case.otherwise(F.lit(rest))
+
+        b = F.aggregate(words, F.lit(0.0), lambda s, w: s + of_word(w))
+        return F.exists(F.array(bound(words)), lambda x: x["dot"] * x["dot"] >= (threshold - 1e-9) ** 2 * (x["square"] + b))
+
     lines = F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), terms)
     marked = files.select("path", lines.alias("lines")).withColumn("bounds", F.transform("lines", bound))
     total_of = lambda name, kind: F.aggregate("bounds", F.lit(0).cast(kind), lambda s, b: s + b[name])
@@ -107,9 +132,8 @@ def candidate_units(files: DataFrame, templates: list[tuple[str, str]], threshol
             lambda u: F.struct(u["line"].alias("line"), F.get("lines", u["line"]).alias("words")),
         ),
     )
-    rows = materialize(marked.select(F.monotonically_increasing_id().alias("file"), "path", units.alias("units")), "units")
+    rows = materialize(marked.select(F.monotonically_increasing_id().alias("file"), "path", F.filter(units, lambda u: can_match(u["words"])).alias("units")), "units")
     wanted = materialize(rows.select(F.explode(F.array_distinct(F.flatten(F.transform("units", lambda u: u["words"])))).alias("term")).distinct(), "wanted")
-    spread = materialize(files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "spread")
     weights = wanted.join(spread, "term").select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     return rows, vectors, materialize(weights, "weights")
 

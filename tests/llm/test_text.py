@@ -281,3 +281,17 @@ def test_common_foreign_words_weigh_little(spark, n):
     got = {r.path: r for r in licenses.scan_licenses(files).where("path in ('p/0', 'p/1')").collect()}
     assert got["p/0"].licence == "MIT" and got["p/0"].line == -1 and not got["p/0"].inherited
     assert got["p/1"].line is None
+
+
+def test_licence_units_of_many_rare_words_are_discarded(spark):
+    """A notice among 200 words that no other file has cannot match; the bound by word frequencies tells, before terms are exploded."""
+    from pyspark.sql import functions as F
+
+    notice = dict(licenses.TEMPLATES)["MPL-2.0"]
+    rare = " ".join(f"rare{i}x" for i in range(200))
+    files = [("a/long", f"{notice} {rare}"), ("b/short", f"{notice} thanks"), *[(f"c/{i}", "alpha beta gamma delta of the code") for i in range(300)]]
+    table_ = spark.createDataFrame(files, "path string, text string")
+    units, _, _ = licenses.candidate_units(table_, licenses.TEMPLATES, licenses.THRESHOLD)
+    assert {r.path for r in units.where(F.size("units") > 0).collect()} == {"b/short"}
+    got = {r.path: (r.licence, r.inherited) for r in licenses.scan_licenses(table_).collect()}
+    assert got["b/short"] == ("MPL-2.0", False) and got["a/long"] == (None, False)
