@@ -16,17 +16,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.components import connected_components
 from sensorloom.llm.tables import bounded_batches, id_and_text
-from sensorloom.runtime import materialize
+from sensorloom.runtime import materialize, materialize_alone
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -38,8 +38,10 @@ MOST_BRIDGED = 1
 LONGEST = 64
 BLOCK = 2048
 SEEN_PIECES = 300_000
-CHARS_AT_ONCE = 500_000
+CHARS_AT_ONCE = 250_000
 SMALL_GROUP = 12
+#: Parts, by name and by document, in which windows are matched and joined up one after the other, so that disk holds the shuffle of one.
+SLICES = 4
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x2545F4914F6CDD1D  # odd, so its powers have inverses modulo 2**64
@@ -191,15 +193,16 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Cut, np.ndarray, np.ndarray]]:
     """(texts, pieces, names) of the pieces that this task has not met lately: copies meet early."""
-    seen: set[int] = set()
+    seen = np.empty(0, np.int64)  # sorted; an array has a tenth of a set's size
     for batch in batches:
         for _, texts in _groups_of_texts(batch):
             cut = cut_texts(texts)
             names, at = np.unique(cut.names(), return_index=True)
-            new = np.fromiter((n != 0 and n not in seen for n in names.tolist()), bool, len(names))
             if len(seen) > SEEN_PIECES:
-                seen.clear()
-            seen.update(names[new].tolist())
+                seen = seen[:0]
+            place = np.searchsorted(seen, names)
+            new = (names != 0) & (np.r_[seen, 0][place] != names)
+            seen = np.insert(seen, place[new], names[new])
             if new.any():
                 yield cut, at[new], names[new]
 
@@ -430,7 +433,7 @@ def piece_links(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
 
 def repeated_pieces(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, place, n, at, run, component_id, removed) of the pieces of passages that occur more than once."""
-    nodes = materialize(connected_components(piece_links(docs, threshold, block)), "pieces")
+    nodes = materialize_alone(docs.sparkSession, lambda: connected_components(piece_links(docs, threshold, block)), "pieces")
     found = materialize(_texts(docs).mapInArrow(_occurrences, "doc_id long, place int, piece long, n int, at int"), "occurrences")
     named = materialize(
         found.join(nodes.toDF("node", "class"), found["piece"] == F.col("node"), "left")
@@ -461,14 +464,45 @@ def equal_runs(docs: DataFrame) -> DataFrame:
     Words ``at`` to ``till`` of the text, in its pieces ``low`` to ``high``. Runs overlap; ``removed`` ones have their
     first occurrence elsewhere. Of a run that overlaps its own first occurrence the rest goes.
     """
+    spark = docs.sparkSession
+    windows = materialize_alone(spark, lambda: _repeated_windows(docs), "windows")
+    found = _union([_found(windows.where(_slice("name") == i)) for i in range(SLICES)])
+    # neighbours become one run: a document's windows are bounded by its length; dealt out once, by document
+    by = Window.partitionBy("doc_id", "component_id", "removed").orderBy("at", "begin")
+    apart = F.when((F.col("at") - F.lag("at").over(by) <= 1) & (F.col("begin") <= F.lag("till").over(by)), 0).otherwise(1)
+
+    def runs(part: DataFrame) -> DataFrame:
+        one = part.repartition("doc_id").distinct().withColumn("till", F.col("at") + EXACT)
+        return (
+            one.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by)).groupBy("doc_id", "component_id", "removed", "run")
+            .agg(F.min("at").alias("at"), F.min("begin").alias("begin"), F.max("till").alias("till"), F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
+        )
+
+    return _union([materialize(runs(found.where(_slice("doc_id") == i)), "runs") for i in range(SLICES)])
+
+
+def _slice(column: str) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit("slice")), F.lit(SLICES))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def _repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, name, low, high) of the runs of ``EXACT`` words whose anchor occurs more than once."""
     texts = _texts(docs)
     anchors = materialize(texts.mapInArrow(_anchors, "doc_id long, at int, anchor long"), "anchors")
     repeated = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
     around = materialize(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("at").alias("anchors")), "around")
-    windows = materialize(
+    return (
         bounded_batches(texts.join(around, "doc_id").select("doc_id", "text", "anchors"))
-        .mapInArrow(_named_windows, "doc_id long, at int, name long, low int, high int"), "windows",
+        .mapInArrow(_named_windows, "doc_id long, at int, name long, low int, high int")
     )
+
+
+def _found(windows: DataFrame) -> DataFrame:
+    """(doc_id, at, begin, low, high, component_id, removed) of the windows whose name occurs more than once."""
     place = F.struct("doc_id", "at")
     firsts = materialize(
         windows.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -476,30 +510,25 @@ def equal_runs(docs: DataFrame) -> DataFrame:
     )
     own = F.col("first.doc_id") == F.col("doc_id")
     found = (
-        windows.join(firsts, "name").withColumn("removed", place != F.col("first")).withColumn("till", F.col("at") + EXACT)
+        windows.join(firsts, "name").withColumn("removed", place != F.col("first"))
         .withColumn("begin", F.when(own & F.col("removed"), F.greatest("at", F.col("first.at") + EXACT)).otherwise(F.col("at")))
-        .select("doc_id", "at", "begin", "till", "low", "high", F.col("first.doc_id").alias("component_id"), "removed").distinct()
-    )
-    # neighbours become one run: a document's windows are bounded by its length
-    by = Window.partitionBy("doc_id", "component_id", "removed").orderBy("at", "begin")
-    apart = F.when((F.col("at") - F.lag("at").over(by) <= 1) & (F.col("begin") <= F.lag("till").over(by)), 0).otherwise(1)
-    return (
-        found.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by)).groupBy("doc_id", "component_id", "removed", "run")
-        .agg(F.min("at").alias("at"), F.min("begin").alias("begin"), F.max("till").alias("till"), F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
+        .select("doc_id", "at", "begin", "low", "high", F.col("first.doc_id").alias("component_id"), "removed")
     )
+    return materialize(found, "found")
 
 
 def _parts(docs: DataFrame, threshold: float, min_words: int, block: int) -> DataFrame:
     """(doc_id, at, begin, till, low, high, component_id, removed, counted): repeated pieces, equal runs, and the spans of runs of pieces."""
-    pieces = materialize(
-        repeated_pieces(docs, threshold, min_words, block)
-        .withColumn("till", F.col("at") + F.col("n")), "repeated_pieces",
+    spark = docs.sparkSession
+    pieces = materialize_alone(
+        spark, lambda: repeated_pieces(docs, threshold, min_words, block).withColumn("till", F.col("at") + F.col("n")), "repeated_pieces",
     )
+    runs = materialize_alone(spark, lambda: equal_runs(docs), "equal_runs")
     columns = ["doc_id", "at", "begin", "till", "low", "high", "component_id", "removed", "counted"]
     one = pieces.select("doc_id", "at", F.col("at").alias("begin"), "till", F.col("place").alias("low"), F.col("place").alias("high"), "component_id", "removed", F.lit(True).alias("counted"))
     span = pieces.groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.max("till").alias("till"), F.min("place").alias("low"), F.max("place").alias("high"), F.min("component_id").alias("component_id"))
     span = span.select("doc_id", "at", F.col("at").alias("begin"), "till", "low", "high", "component_id", F.lit(False).alias("removed"), F.lit(False).alias("counted"))
-    return one.union(span).union(equal_runs(docs).withColumn("counted", F.lit(True)).select(columns))
+    return one.union(span).union(runs.withColumn("counted", F.lit(True)).select(columns))
 
 
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
