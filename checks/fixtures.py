@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators.aggregate import COUNTS
+from sensorloom.operators.order import source_positions
 from sensorloom.plans.process import Processed, process_batches
 from sensorloom.rules import ReplayRequest, mapping_rules, quality_rules
 from sensorloom.runtime import configure, materialize
@@ -264,7 +265,9 @@ def stored(spark: SparkSession, sf_dir: str) -> Processed:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         done = process_batches(delivery(spark, sf_dir), MAPPING_0, QUALITY)
-        _stored[key] = replace(done, canonical=materialize(done.canonical, "canonical"), positions=materialize(done.positions, "positions"))
+        canonical = materialize(done.canonical, "canonical")
+        # of the stored rows: done.positions would join all rows with their exceptions once more for the same maxima
+        _stored[key] = replace(done, canonical=canonical, positions=materialize(source_positions(canonical), "positions"))
     return _stored[key]
 
 
