@@ -1310,12 +1310,14 @@ def retention(spark, d):
       source_sequence::VARCHAR AS source_sequence, strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS observed_at FROM canonical"""),
 )
 def canonical_document(spark, d):
-    field = lambda path: F.get_json_object("json", path)
-    return documents.documents_as_json(_canonical(spark, d)).select(
-        field("$.contractVersion").alias("contract"), field("$.observationId").alias("observation_id"),
-        field("$.assetId").alias("asset_id"), field("$.value").isNotNull().alias("has_value"),
-        field("$.source.sourceTag").alias("source_tag"), field("$.source.sourceSequence").alias("source_sequence"),
-        field("$.observedAt").alias("observed_at"),
+    # one parse for all fields of a document, one for those of its source
+    fields = ["contractVersion", "observationId", "assetId", "value", "observedAt", "source"]
+    read = documents.documents_as_json(_canonical(spark, d)).select(F.json_tuple("json", *fields).alias(*fields))
+    return read.select(
+        F.col("contractVersion").alias("contract"), F.col("observationId").alias("observation_id"),
+        F.col("assetId").alias("asset_id"), F.col("value").isNotNull().alias("has_value"),
+        F.json_tuple("source", "sourceTag", "sourceSequence").alias("source_tag", "source_sequence"),
+        F.col("observedAt").alias("observed_at"),
     )
 
 
