@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -189,6 +190,34 @@ def test_language_model(spark, order, bits):
         assert (got[d].mean_log_score is None) == (words == 0)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("share", [1, 8, 40, 10**9])
+def test_language_model_wherever_records_meet(spark, order, share):
+    """Nothing is frequent, some words, some words and longer n-grams, or all: the scores are the same."""
+    rng = random.Random(share)
+    rows = [(i if i % 9 else None, " ".join(rng.choices("abcdef", [20, 8, 4, 2, 1, 1], k=rng.choice([0, 1, 2, 3, 60])))) for i in range(60)]
+    got = {r.doc_id: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), order, frequent_share=share).collect()}
+    expected = list(two_folds(rows, order))
+    assert got.keys() == {d for d, _, _ in expected}
+    for d, words, score in expected:
+        assert got[d].log_score == pytest.approx(score, abs=1e-6) and got[d].n_words == words
+
+
+def test_language_model_moves_one_record_for_each_word():
+    """What is dealt out does not grow with the order: a word has one record, or two around a frequent one."""
+    rng = np.random.default_rng(5)
+    word, sizes = rng.integers(0, 1 << 62, 30_000, dtype=np.uint64), np.full(30, 1000)
+    word[::5] = 7
+    packed = pa.RecordBatch.from_arrays(
+        [pa.array([x.tobytes()], pa.binary()) for x in (np.arange(30), np.zeros(30, np.uint8), sizes, word)], ["docs", "flags", "sizes", "words"]
+    )
+    frequent = language_model.Frequent(language_model._gram(word[:1], np.array([0]), 1), 64)
+    slices = [[b for b in language_model._deal(3, frequent, 4, i)(iter([packed]))] for i in range(language_model.SLICES)]
+    found = [sum(len(x.as_py()) // 8 for b in part for x in b["docs"]) for part in slices]
+    assert sum(found) == 30_000 * 6 // 5 and max(found) < 1.2 * sum(found) / language_model.SLICES
+    assert {x.as_py() % language_model.SLICES for b in slices[3] for x in b["group"]} == {3}
+
+
 def test_language_model_of_hard_tables(spark):
     docs = cases.documents(spark)
     assert language_model.score(docs.limit(0)).collect() == []
