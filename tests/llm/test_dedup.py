@@ -264,3 +264,24 @@ def test_edge_cases_of_passages(spark):
     passages.repeated_passages(cases.documents(spark)).collect()
     cut = passages.cut_passages(cases.documents(spark))
     assert cut.columns == cases.documents(spark).columns and cut.count() == len(cases.rows())
+
+
+def test_copies_name_no_runs_of_their_own(spark, monkeypatch):
+    """Runs are named once for each different span around a repeated anchor, however many texts have it."""
+    made, write = {}, passages.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(passages, "materialize", counted)
+    text = " ".join(f"v{i}" for i in range(400))
+    rows = [(i, text) for i in range(40)]
+    rows += [(50, "x " + text[: text.index(" v120")] + " y"), (51, "z\n" + text[: text.index(" v120")])]
+    rows += [(60, "p q " * 60)]
+    got = sorted(map(tuple, passages.equal_runs(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "at", "till", "removed").collect()))
+    assert [r[:3] for r in got if r[0] == 0] == [(0, 0, 400)] and {r for r in got if 0 < r[0] < 40} == {(i, 0, 400, True) for i in range(1, 40)}
+    assert [r for r in got if r[0] in (50, 51)] == [(50, 1, 121, True), (51, 1, 121, True)]
+    assert {r[0] for r in got} == {*range(40), 50, 51, 60}
+    assert made["windows"] < 351  # one text has 351 runs, all have 14,000
