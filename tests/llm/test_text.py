@@ -218,6 +218,27 @@ def test_language_model_moves_one_record_for_each_word():
     assert {x.as_py() % language_model.SLICES for b in slices[3] for x in b["group"]} == {3}
 
 
+def test_language_model_groups_do_not_grow_with_the_corpus(spark, monkeypatch):
+    """However many words there are, what is dealt to one place has a fixed number of records at most."""
+    monkeypatch.setattr(language_model, "RECORDS_OF_GRAM", 100, raising=False)
+    words = [f"w{i}" for i in range(40)]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(words, k=300))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = docs.selectExpr("struct(doc_id, 0 as fold) as id", "text").repartition(3).mapInArrow(language_model._packed, language_model.PACKED)
+    frequent = language_model._frequent(packed, 3, 4, 64, 200 * 300)
+    dealt = Counter()
+    for row in packed.collect():
+        sizes, word = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["words"], np.uint64)
+        for kind, by, *_ in language_model._records(word, sizes, 1, frequent, lambda by: np.ones(len(by), bool)):
+            dealt.update((kind, x) for x in by.tolist())
+    assert max(dealt.values()) <= 200
+    assert len(frequent.bitmap) > 4 * len(frequent.grams)
+    got = {r.doc_id: r for r in language_model.score(docs, frequent_share=4).collect()}
+    for d, n, score in two_folds(rows, 3):
+        assert got[d].n_words == n and got[d].log_score == pytest.approx(score, abs=1e-6)
+
+
 def test_language_model_of_hard_tables(spark):
     docs = cases.documents(spark)
     assert language_model.score(docs.limit(0)).collect() == []
