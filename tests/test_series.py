@@ -138,3 +138,37 @@ def test_long_requests_take_few_bins(spark):
     b = spark.createDataFrame([(1, "x", datetime(1970, 1, 1), datetime(2261, 1, 1))], "r int, k string, start timestamp, stop timestamp")
     spans = ["k"], ("low", "high"), ("start", "stop")
     assert work.overlapping_intervals(a, b, *spans).count() == 50 == work._sharing_bins(a, b, *spans).count()
+
+
+def test_short_spans_are_dealt_to_one_bin(spark):
+    """Requests of ten minutes around batches of a few minutes, some of an hour: a request is not copied for each level that batches are on."""
+    at = lambda seconds: F.timestamp_micros(F.lit(int(DAY.timestamp() * 1_000_000)) + (seconds * 1_000_000).cast("long"))
+    n = F.col("id")
+    long = F.when(n % 50 == 0, 3600).when(n % 50 == 1, 900).otherwise(n % 5 * 20)
+    batches = spark.range(1000).select(F.lit("f").alias("k"), n.alias("l"), at(n * 400).alias("low"), at(n * 400 + long).alias("high"))
+    requests = spark.range(4000).select(F.lit("f").alias("k"), n.alias("r"), at(n * 100 - 300).alias("start"), at(n * 100 + 300).alias("stop"))
+    spans = ["k"], ("low", "high"), ("start", "stop")
+    moved = sum(row.n for side in work._binned(batches, requests, *spans) for row in [side.agg(F.count("*").alias("n")).first()])
+    assert moved < 4000 + 3 * 1000
+    pairs = [(i, j) for i in range(1000) for j in range(max(0, 4 * i - 3), 4000) if j * 100 - 300 <= i * 400 + (3600 if i % 50 == 0 else 900 if i % 50 == 1 else i % 5 * 20)
+             and j * 100 + 300 > i * 400]
+    assert sorted((r.l, r.r) for r in work.overlapping_intervals(batches, requests, *spans).collect()) == pairs
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pairs_of_spans_share_one_bin_at_most(spark, seed):
+    """Spans from points to years on both sides, whichever side lies in one bin and whichever levels are joined or spread."""
+    rng = random.Random(seed)
+
+    def side(n):
+        longest = [rng.choice([1, 50, 4000, 10**6, 10**8]) for _ in range(3)]
+        low = [DAY + timedelta(seconds=rng.randrange(-(10**rng.choice([3, 5, 7])), 10**6)) for _ in range(n)]
+        return [(i, x, x + timedelta(seconds=rng.randrange(rng.choice(longest)))) for i, x in enumerate(low)]
+
+    left, right = side(rng.choice([20, 300])), side(rng.choice([20, 300]))
+    a, b = (spark.createDataFrame([("x", *r) for r in rows], f"k string, {c} int, {c}low timestamp, {c}high timestamp") for rows, c in ((left, "l"), (right, "r")))
+    spans = ["k"], ("llow", "lhigh"), ("rlow", "rhigh")
+    expected = sorted((i, j) for i, low, high in left for j, start, stop in right if start < stop and low < stop and high >= start)
+    assert sorted((r.l, r.r) for r in work.overlapping_intervals(a, b, *spans).collect()) == expected
+    compared = [(r.l, r.r) for r in work._sharing_bins(a, b, *spans).collect()]
+    assert len(compared) == len(set(compared))
